@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, license_scan, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, license_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op2_cws_fingerprint": cws_fingerprint.query,
     "op4_chat_format": chat_format.query,
     "op9_url_filter": url_filter.query,
 }
