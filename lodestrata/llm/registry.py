@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, cws_fingerprint, license_scan, source_mix, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, license_scan, quality_cnn, source_mix, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_cws_fingerprint": cws_fingerprint.query,
     "op4_chat_format": chat_format.query,
+    "op5_quality_cnn": quality_cnn.query,
     "op6_source_mix": source_mix.query,
     "op9_url_filter": url_filter.query,
 }
