@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, cws_fingerprint, license_scan, quality_cnn, source_mix, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, license_scan, minhash_dedup, quality_cnn, source_mix, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_chat_format": chat_format.query,
     "op5_quality_cnn": quality_cnn.query,
     "op6_source_mix": source_mix.query,
+    "op7_minhash_dedup": minhash_dedup.query,
     "op9_url_filter": url_filter.query,
 }
 ORACLES = {
+    "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }
