@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, cws_fingerprint, license_scan, minhash_dedup, quality_cnn, source_mix, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, ga_packing, license_scan, minhash_dedup, quality_cnn, source_mix, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_cnn": quality_cnn.query,
     "op6_source_mix": source_mix.query,
     "op7_minhash_dedup": minhash_dedup.query,
+    "op8_ga_packing": ga_packing.query,
     "op9_url_filter": url_filter.query,
 }
 ORACLES = {
