@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, cws_fingerprint, ga_packing, license_scan, minhash_dedup, quality_cnn, source_mix, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, ga_packing, license_scan, minhash_dedup, projected_ann, quality_cnn, source_mix, token_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_cws_fingerprint": cws_fingerprint.query,
+    "op3_projected_ann": projected_ann.query,
     "op4_chat_format": chat_format.query,
     "op5_quality_cnn": quality_cnn.query,
     "op6_source_mix": source_mix.query,
     "op7_minhash_dedup": minhash_dedup.query,
     "op8_ga_packing": ga_packing.query,
     "op9_url_filter": url_filter.query,
+    "op10_token_scan": token_scan.query,
 }
 ORACLES = {
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,

@@ -34,19 +34,22 @@ def _bytes_of_letters() -> dict[str, int]:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """``plain``: the strings of special tokens are ordinary text, so their ids never come from a text."""
+
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.full.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         added = {t.content for t in self.full.get_added_tokens_decoder().values()}
         letters = _bytes_of_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
         self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.marks = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+        self.marks = re.compile("|".join(map(re.escape, sorted(added)))) if added and not plain else None
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text without special tokens added; null: none."""
@@ -57,6 +60,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, plain: bool = False) -> Encoder:
     """One encoder for all tasks of a worker."""
-    return Encoder(path)
+    return Encoder(path, plain)
