@@ -1,19 +1,27 @@
 """MinHash near-duplicate components with odd sketches.
 
-Each document's set of distinct word shingles gives 128 MinHash samples. Four samples make a band
-key; documents that share a key are candidates. The samples are also folded into a 256-bit parity
+Each document's set of distinct word shingles gives 256 MinHash samples. Four of the first 128 make
+a band key; documents that share a key are candidates. All samples are folded into a 512-bit parity
 bitmap (odd sketch): the population count of two sketches' XOR estimates their similarity, and
-candidates whose estimate is far below the threshold are dropped. Every link is confirmed on the
-full sets.
-
-Documents with equal sets are one class from the start, so copies are never paired. Within a band
-bucket, each class is first held against the bucket's least class only. Once those links are joined
-into components, only pairs of different components that still share a bucket are left; all of
-them are compared. Links inside a component need no proof, so nothing is lost, and a bucket of many
-near copies costs one comparison for each.
-
+candidates whose estimate is far below what they would need are dropped. Every link is confirmed on
+the full sets.
+
+Documents with equal sets are one class from the start, so copies are never paired. A band bucket's
+centre is the class that shares buckets with most others, and every class of the bucket is held
+against it. Classes linked to the centre are in one component and need no further proof; with
+D = (1 - t) / (1 + t) times two sets' sizes, a pair is linked if its sets differ in at most D shingles.
+
+* Classes within distance 3(1 - t) of the centre are described by their differences from it: two
+  sets differ in exactly those shingles in which their differences differ. If one of two isn't
+  linked to the centre, a link needs more than half of the other's differences in common, so only
+  pairs that share one of the rarest differences (a prefix filter) are looked at.
+* Classes beyond distance 2(1 - t) are compared with each other, as far as sketches allow a link;
+  by the triangle inequality they can't be linked to any of those within 2(1 - t) unless they lie
+  within 3(1 - t), where the first rule finds them.
+
+Nothing is lost by either rule, and a group of many near copies costs one comparison for each.
 At threshold t a pair misses every band with a chance of (1 - t**4)**32: 6e-11 at 0.85, 5e-8 at
-0.8. The sketch's margin of 0.3 adds about 1e-6.
+0.8. The sketches' margins add less than 1e-5.
 """
 
 from __future__ import annotations
@@ -31,11 +39,12 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import bound_batches, materialize, table
 from lodestrata.llm.components import connected_components
 
-SAMPLES, BAND_ROWS = 128, 4
-BANDS = SAMPLES // BAND_ROWS
-SKETCH_BITS = 256
-#: Sketches may estimate so much below the threshold before a candidate is dropped.
-MARGIN = 0.30
+SAMPLES, BAND_ROWS, BANDS = 256, 4, 32
+SKETCH_BITS = 512
+SKETCH = [f"o{k}" for k in range(SKETCH_BITS // 64)]
+#: Sketches may estimate so much below a similarity before it is taken to be out of reach.
+MARGIN = 0.15
+WIDE_MARGIN = 0.25
 #: Class ids up to which a list of them is broadcast (8 bytes each, about 30 in a hash table).
 BROADCAST_IDS = 200_000
 
@@ -80,18 +89,18 @@ def min_samples(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix((samples.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _BAND[:, :BAND_ROWS]).sum(axis=1) + _BAND[:, BAND_ROWS]).view(np.int64)
+        return _mix((samples[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64) * _BAND[:, :BAND_ROWS]).sum(axis=1) + _BAND[:, BAND_ROWS]).view(np.int64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Four longs: the parity of the samples that fall on each of 256 bits."""
+    """Eight longs: the parity of the samples that fall on each of 512 bits."""
     at = (_mix(samples.astype(np.uint64) | _LANE) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_differing_bits(threshold: float) -> int:
-    """XOR population count at which the sketches' estimate is MARGIN below the threshold."""
-    return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES / SKETCH_BITS * (1 - threshold + MARGIN))))
+def most_differing_bits(similarity: float) -> int:
+    """XOR population count at which two sketches' estimate falls below ``similarity``."""
+    return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES / SKETCH_BITS * (1 - similarity))))
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -105,10 +114,10 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 bands.append(band_keys(samples) if len(s) else None)
                 odd.append(odd_sketch(samples))
-            odd = np.array(odd, np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"id": batch["id"], "n": n, "cls": cls, "bands": bands, **{f"o{k}": odd[:, k] for k in range(4)}})
+            odd = np.array(odd, np.int64).reshape(-1, len(SKETCH))
+            yield pd.DataFrame({"id": batch["id"], "n": n, "cls": cls, "bands": bands, **{c: odd[:, k] for k, c in enumerate(SKETCH)}})
 
-    return docs.mapInPandas(run, f"id {dict(docs.dtypes)['id']}, n long, cls long, bands array<long>, o0 long, o1 long, o2 long, o3 long")
+    return docs.mapInPandas(run, f"id {dict(docs.dtypes)['id']}, n long, cls long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -127,19 +136,68 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInPandas(run, "cls long, n long, shingles array<long>").dropDuplicates(["cls"])
 
 
-def _alike(a: str, b: str, per_cent: int) -> Column:
-    """Lengths and sketches leave the pair possible."""
+def _possible(a: str, b: str, per_cent: int, margin: float) -> Column:
+    """Lengths and sketches leave the pair a similarity of ``per_cent`` hundredths."""
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    differing = sum((F.bit_count(F.col(f"{a}.o{k}").bitwiseXOR(F.col(f"{b}.o{k}"))) for k in range(4)), F.lit(0))
-    return (low * 100 >= high * per_cent) & (differing <= most_differing_bits(per_cent / 100))
+    differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    return (low * 100 >= high * per_cent) & (differing <= most_differing_bits(per_cent / 100 - margin))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the threshold, in whole numbers."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
     right = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).cast("long").alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * per_cent).select("u", "v")
+    return pairs.join(right, "v").join(left, "u")
+
+
+def _reaches(per_cent: int) -> Column:
+    """The sets of u and v, of which ``common`` are in both, have that similarity: in whole numbers."""
+    return F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * per_cent
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    common = F.size(F.array_intersect("su", "sv")).cast("long")
+    return _with_sets(pairs, sets).withColumn("common", common).drop("su", "sv")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, cls, size, u): classes that share a band key with others, and the bucket's centre."""
+    banded = classes.select("cls", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(banded.join(shared, "key"), "buckets")
+    # The class that meets most others is the centre; ties are broken by id.
+    weight = members.groupBy("cls").agg((F.sum("size") * 1024 + F.pmod(F.first("cls"), F.lit(1024))).alias("weight"))
+    centres = members.join(weight, "cls").groupBy("key").agg(F.max_by("cls", "weight").alias("u"))
+    return materialize(members.join(centres, "key"), "buckets")
+
+
+def _by_difference(stars: DataFrame, sets: DataFrame, facts: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (u, v) around one centre that share a rare difference from it, not both linked to it.
+
+    ``stars``: (u, v, nu, nv, common, linked), v within reach of the centre u.
+    """
+    alpha = (100 - per_cent) / (100 + per_cent)
+    open_ = stars.groupBy("u").agg(F.count("*").alias("n"), F.min("linked").alias("closed")).where("n > 1 and not closed").select("u")
+    around = _with_sets(stars.join(open_, "u", "left_semi").select("u", "v", "linked"), sets)
+    far = around.select("u", "v", "linked", "nu", "nv", F.concat(F.array_except("su", "sv"), F.array_except("sv", "su")).alias("d"))
+    far = materialize(far.withColumn("size", F.size("d")), "differences")
+    each = far.select("u", "v", F.explode("d").alias("x"))
+    rarity = each.groupBy("u", "x").agg(F.count("*").alias("n")).where("n > 1")
+    # What one class alone has can't be shared, but takes up its places in the prefix: it comes first.
+    ranked = each.join(rarity, ["u", "x"]).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("shared"))
+    half = F.floor((F.col("size") + alpha * (F.col("nu") - F.col("nv"))) / 2) + 1
+    to_linked = F.ceil(F.col("size") - alpha * F.col("nv") * (1 + 100 / per_cent) - 1e-9)
+    least = F.greatest(F.when(F.col("linked"), half).otherwise(F.least(half, to_linked)), F.lit(1))
+    alone = F.col("size") - F.size("shared")
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.col("size") - least + 1 - alone, F.lit(0)).cast("int"))
+    probes = far.select("u", "v", "linked", "size", "nu", "nv").join(ranked, ["u", "v"]).select("u", "v", "linked", F.explode(prefix["x"]).alias("x"))
+    placed = facts.join(roots, F.col("cls") == F.col("node"), "left").select(*facts.columns, F.coalesce("root", "cls").alias("root"))
+    one = probes.where("linked").alias("p")
+    other = probes.where("not linked").alias("q")
+    met = one.join(other, (F.col("p.u") == F.col("q.u")) & (F.col("p.x") == F.col("q.x"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
+    both = other.join(other.alias("r"), (F.col("q.u") == F.col("r.u")) & (F.col("q.x") == F.col("r.x")) & (F.col("q.v") < F.col("r.v"))).select(F.col("q.v").alias("a"), F.col("r.v").alias("b"))
+    pairs = met.unionByName(both).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    known = pairs.join(placed.alias("b"), F.col("v") == F.col("b.cls")).join(placed.alias("a"), F.col("u") == F.col("a.cls"))
+    return known.where((F.col("a.root") != F.col("b.root")) & _possible("a", "b", per_cent, MARGIN)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -154,25 +212,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(_sketches(own, words), "sketches")
-    attributes = ["cls", "n", "o0", "o1", "o2", "o3"]
-    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "o0", "o1", "o2", "o3", "bands")]), "classes")
-    banded = classes.select("cls", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("cls").alias("u"), F.max("cls").alias("most")).where("u < most").select("key", "u")
-    # Only classes that share a bucket matter from here on.
-    banded = materialize(banded.join(shared, "key").select("key", "u", "cls"), "buckets")
-    facts = classes.select(*attributes)
-    pairs = banded.where("cls <> u").select("u", F.col("cls").alias("v")).distinct()
-    first = pairs.join(facts.alias("b"), F.col("v") == F.col("b.cls")).join(facts.alias("a"), F.col("u") == F.col("a.cls")).where(_alike("a", "b", per_cent)).select("u", "v")
-    sets = materialize(_sets(own, classes.select("cls", "id").join(banded.select("cls").distinct(), "cls", "left_semi"), words), "sets")
-    edges = materialize(_confirmed(first, sets, per_cent), "links")
+    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")]), "classes")
+    facts = classes.select("cls", "n", *SKETCH)
+    buckets = _buckets(classes)
+    ring, near = max(1, 100 - 3 * (100 - per_cent)), max(1, 100 - 2 * (100 - per_cent))
+
+    pairs = buckets.where("cls <> u").groupBy("u", F.col("cls").alias("v")).agg(F.max("size").alias("size"))
+    reached = pairs.join(facts.alias("b"), F.col("v") == F.col("b.cls")).join(facts.alias("a"), F.col("u") == F.col("a.cls"))
+    # A bucket of two has no pair but this one, so it must be a link; others are placed around the centre.
+    reached = reached.where(F.when(F.col("size") == 2, _possible("a", "b", per_cent, MARGIN)).otherwise(_possible("a", "b", ring, WIDE_MARGIN))).select("u", "v")
+    sets = materialize(_sets(own, classes.select("cls", "id").join(buckets.select("cls").distinct(), "cls", "left_semi"), words), "sets")
+    stars = materialize(_measured(reached, sets).where(_reaches(ring)).withColumn("linked", _reaches(per_cent)), "stars")
+    edges = stars.where("linked").select("u", "v")
     roots = connected_components(edges)
 
-    # What still lies in one bucket but in different components.
-    placed = banded.join(roots, banded["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = materialize(placed.join(mixed, "key", "left_semi").join(facts, "cls"), "mixed")
-    more = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _alike("a", "b", per_cent)).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct()
-    late = materialize(_confirmed(more.join(first, ["u", "v"], "left_anti"), sets, per_cent), "links")
+    candidates = _by_difference(stars, sets, facts, roots, per_cent)
+    beyond = buckets.where("cls <> u and size > 2").select("key", "u", F.col("cls").alias("v")).join(stars.where(_reaches(near)).select("u", "v"), ["u", "v"], "left_anti").select("key", F.col("v").alias("cls"))
+    several = beyond.groupBy("key").agg(F.count("*").alias("left")).where("left > 1").select("key")
+    rest = beyond.join(several, "key", "left_semi").join(facts, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    rest = materialize(rest.drop("node"), "rest")
+    apart = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", per_cent, MARGIN)).select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"))
+    late = materialize(_measured(candidates.unionByName(apart).distinct(), sets).where(_reaches(per_cent)).select("u", "v"), "links")
     if not late.isEmpty():
         roots = connected_components(edges.unionByName(late))
 
