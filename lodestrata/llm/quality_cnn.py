@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         every = pd.concat(list(batches)).sort_values(["id", "text"]).drop_duplicates("id")
         yield pd.DataFrame({"net": [fit(every["text"].tolist(), every["y"].tolist(), prior, seed).dumps()]})
 
-    return ByteNet.loads(bytes(sample.coalesce(1).mapInPandas(run, "net binary").first().net))
+    return ByteNet.loads(bytes(sample.repartition(1).mapInPandas(run, "net binary").first().net))
 
 
 def score_documents(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
