@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _schema(fields: str) -> T.StructType:
+    """From "name type, ...", without a session, so that executors can import it."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
 
 
 CHUNK_FIELDS = "chunk_id string, file_path string, language string, start_line int, end_line int, text string, kind string, symbol string, docstring string"
@@ -23,5 +27,5 @@ EDGES = _schema("src string, dst string, edge_type string")
 POSTINGS = _schema("term string, chunk_id string, ord bigint, tf bigint")
 LENGTHS = _schema("chunk_id string, ord bigint, dl bigint")
 VECTORS = _schema("chunk_id string, ord bigint, bucket int, w double")
-PARSED = _schema(f"file_path string, chunks array<struct<{CHUNK_FIELDS.replace(' ', ':').replace(',:', ',')}>>, symbols array<struct<{SYMBOL_FIELDS.replace(' ', ':').replace(',:', ',')}>>, imports array<string>")
+PARSED = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("chunks", T.ArrayType(_schema(CHUNK_FIELDS))), T.StructField("symbols", T.ArrayType(_schema(SYMBOL_FIELDS))), T.StructField("imports", T.ArrayType(T.StringType()))])
 EDGE_TYPES = ("contains", "imports", "calls", "inherits")
