@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lodestrata.plans import code, relations, retrieval
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _part in (retrieval, relations, code):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
