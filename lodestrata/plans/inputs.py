@@ -32,7 +32,9 @@ def _literal(v: object) -> str:
         return "NULL"
     if isinstance(v, bool):
         return str(v).lower()
-    if isinstance(v, (int, float)):
+    if isinstance(v, float):
+        return f"{v}::DOUBLE"
+    if isinstance(v, int):
         return str(v)
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(map(_literal, v)) + "]"
