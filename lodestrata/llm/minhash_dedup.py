@@ -186,15 +186,18 @@ def _by_difference(stars: DataFrame, sets: DataFrame, facts: DataFrame, roots: D
     ranked = each.join(rarity, ["u", "x"]).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("shared"))
     half = F.floor((F.col("size") + alpha * (F.col("nu") - F.col("nv"))) / 2) + 1
     to_linked = F.ceil(F.col("size") - alpha * F.col("nv") * (1 + 100 / per_cent) - 1e-9)
-    least = F.greatest(F.when(F.col("linked"), half).otherwise(F.least(half, to_linked)), F.lit(1))
+    # Two open classes must share more than half of either's differences; an open and a linked one perhaps less of the open one's.
     alone = F.col("size") - F.size("shared")
-    prefix = F.slice("shared", F.lit(1), F.greatest(F.col("size") - least + 1 - alone, F.lit(0)).cast("int"))
-    probes = far.select("u", "v", "linked", "size", "nu", "nv").join(ranked, ["u", "v"]).select("u", "v", "linked", F.explode(prefix["x"]).alias("x"))
+    reach = lambda least: F.greatest(F.col("size") - F.greatest(least, F.lit(1)) + 1 - alone, F.lit(0)).cast("int")
+    least = F.when(F.col("linked"), half).otherwise(F.least(half, to_linked))
+    probes = far.select("u", "v", "linked", "size", "nu", "nv").join(ranked, ["u", "v"])
+    probes = probes.withColumn("short", reach(half)).select("u", "v", "linked", "short", F.posexplode(F.slice("shared", F.lit(1), reach(least))["x"]).alias("pos", "x"))
     placed = facts.join(roots, F.col("cls") == F.col("node"), "left").select(*facts.columns, F.coalesce("root", "cls").alias("root"))
     one = probes.where("linked").alias("p")
     other = probes.where("not linked").alias("q")
+    near = probes.where("not linked and pos < short")
     met = one.join(other, (F.col("p.u") == F.col("q.u")) & (F.col("p.x") == F.col("q.x"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
-    both = other.join(other.alias("r"), (F.col("q.u") == F.col("r.u")) & (F.col("q.x") == F.col("r.x")) & (F.col("q.v") < F.col("r.v"))).select(F.col("q.v").alias("a"), F.col("r.v").alias("b"))
+    both = near.alias("q").join(near.alias("r"), (F.col("q.u") == F.col("r.u")) & (F.col("q.x") == F.col("r.x")) & (F.col("q.v") < F.col("r.v"))).select(F.col("q.v").alias("a"), F.col("r.v").alias("b"))
     pairs = met.unionByName(both).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     known = pairs.join(placed.alias("b"), F.col("v") == F.col("b.cls")).join(placed.alias("a"), F.col("u") == F.col("a.cls"))
     return known.where((F.col("a.root") != F.col("b.root")) & _possible("a", "b", per_cent, MARGIN)).select("u", "v")
