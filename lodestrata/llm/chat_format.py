@@ -5,10 +5,10 @@ expression over the array, flattens it: text parts give their text, others a num
 ``<|image:1|>`` that is repeated nowhere in texts, since control strings inside texts are escaped.
 Attachment references and the tokens that each placeholder expands to are recorded beside it.
 
-Template of a turn: ``<|turn|>role<|body|> content <|end|>`` and a line feed. Inside roles and
+Template of a turn: ``<|turn|>role <|body|> content <|end|>`` and a line feed. Inside roles and
 texts a control string (those of this template and of common public templates) gets one backslash
-more before it than it had; removing one restores the text exactly. The space before ``<|end|>``
-keeps a text's own last backslash apart from the template's marks.
+more before it than it had; removing one restores the text exactly. The spaces before
+``<|body|>`` and ``<|end|>`` keep a text's own last backslash apart from the template's marks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from lodestrata.llm.common import table
 
 #: Control strings that may not appear bare in a formatted text.
 CONTROL = r"(?:</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z0-9_:]+\|>)"
-TURN, BODY, END = "<|turn|>", "<|body|> ", " <|end|>\n"
+TURN, BODY, END = "<|turn|>", " <|body|> ", " <|end|>\n"
 MASKED_ROLE = "assistant"
 #: Tokens that an attachment of each kind expands to, for one unit (tile, second, page).
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
@@ -94,7 +94,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 def read_back(formatted: Column) -> Column:
     """The turns in a formatted text: array of struct(role, text), exactly as they were."""
     pieces = F.filter(F.split(formatted, rf"(?<!\\){_quoted(TURN)}"), lambda _, i: i > 0)
-    split = lambda s: F.split(s, rf"(?<!\\){_quoted(BODY)}", 2)
+    split = lambda s: F.split(s, _quoted(BODY), 2)
     return F.transform(pieces, lambda s: F.struct(unescape(split(s)[0]).alias("role"), unescape(F.regexp_replace(split(s)[1], rf"{_quoted(END)}\z", "")).alias("text")))
 
 
@@ -127,7 +127,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
   SELECT *, length(regexp_replace(role, '(\\*)((?:</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z0-9_:]+\|>))', '\1\\\2', 'g'))
-    + length(regexp_replace(text, '(\\*)((?:</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z0-9_:]+\|>))', '\1\\\2', 'g')) + 26 AS n
+    + length(regexp_replace(text, '(\\*)((?:</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z0-9_:]+\|>))', '\1\\\2', 'g')) + 27 AS n
   FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
