@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from lodestrata.answer import build_prompt, extractive_answer
 from lodestrata.functions.parsing import parse_files
 from lodestrata.operators.resolve import build_graph
-from lodestrata.plans.inputs import stated, table, values
+from lodestrata.plans.inputs import QuerySet, stated, table, values
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+OWN = QuerySet()
+register = OWN.register
 
 
 PYTHON = '''"""Module."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ QUERY = "the edition of thonheouin onerth ionst inwh onerth onerth blein hear"
 CANDIDATES = 40
 
 
+class QuerySet:
+    """Queries by name, and the SQL of those that have one."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.oracles: dict[str, str] = {}
+
+    def register(self, name: str, sql: str | None = None) -> Callable:
+        def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+            self.queries[name] = f
+            if sql:
+                self.oracles[name] = sql
+            return f
+
+        return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

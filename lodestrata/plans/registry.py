@@ -7,5 +7,5 @@ from lodestrata.plans import code, relations, retrieval
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _part in (retrieval, relations, code):
-    QUERIES |= _part.QUERIES
-    ORACLES |= _part.ORACLES
+    QUERIES |= _part.OWN.queries
+    ORACLES |= _part.OWN.oracles

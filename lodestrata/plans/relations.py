@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import language_of, module_of
 from lodestrata.operators import graph, lookup, ranking, resolve
-from lodestrata.plans.inputs import stated, table, values
+from lodestrata.plans.inputs import QuerySet, stated, table, values
 from lodestrata.sources.index import diff_files, with_order
 from lodestrata.sources.repos import plan_sync
 from lodestrata.sources.tree import ignored
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+OWN = QuerySet()
+register = OWN.register
 
 
 # A typed graph over the star schema: parts contain suppliers' offers, suppliers call their nation,

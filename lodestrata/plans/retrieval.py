@@ -8,21 +8,11 @@ from pyspark.sql import functions as F
 from lodestrata.functions.hashing import bucket, sign
 from lodestrata.functions.text import boosted_terms, chunk_id, embedded_text, split_identifier, tokenize
 from lodestrata.operators import dense, fusion, lexical, lookup
-from lodestrata.plans.inputs import CANDIDATES, QUERY, SQL_DOCUMENT_TOKENS, document_tokens, sql_bm25, sql_hashed, sql_tokens, stated, table, values
+from lodestrata.plans.inputs import QuerySet, CANDIDATES, QUERY, SQL_DOCUMENT_TOKENS, document_tokens, sql_bm25, sql_hashed, sql_tokens, stated, table, values
 from lodestrata.storage import materialize, spread
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+OWN = QuerySet()
+register = OWN.register
 
 
 IDENTIFIERS = [(1, "getUserById"), (2, "parse_config_file"), (3, "HTTPServerError"), (4, "MAX_RETRY_2x"), (5, "__init__"), (6, "class"), (7, "a1B2"), (8, "x"), (9, "ABCd_eF"), (10, "")]

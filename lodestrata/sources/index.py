@@ -85,10 +85,17 @@ def diff_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_order(rows: DataFrame) -> DataFrame:
-    """``ord`` over (file_path, place): one running sum over files, of which each is one row."""
-    starts = rows.groupBy("file_path").agg(F.count("*").alias("n"))
-    offset = F.coalesce(F.sum("n").over(W.orderBy("file_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(starts.select("file_path", offset.alias("offset")), "file_path").withColumn("ord", (F.col("offset") + F.col("place")).cast("long")).drop("offset", "place")
+    """``ord`` over (file_path, place): a prefix sum over files in two levels.
+
+    Files, one row each, are range-partitioned by path; sums run within each range, and only one row
+    for each range goes into the sum over all ranges.
+    """
+    counts = rows.groupBy("file_path").agg(F.count("*").alias("n"))
+    ranges = materialize(counts.repartitionByRange("file_path").withColumn("part", F.spark_partition_id()), "ranges")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = ranges.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(W.orderBy("part")).alias("base"))
+    offsets = ranges.withColumn("within", before(W.partitionBy("part").orderBy("file_path"))).join(parts, "part").select("file_path", (F.col("base") + F.col("within")).alias("offset"))
+    return rows.join(offsets, "file_path").withColumn("ord", (F.col("offset") + F.col("place")).cast("long")).drop("offset", "place")
 
 
 def _unnested(parsed: DataFrame, column: str) -> DataFrame:
