@@ -13,6 +13,8 @@ from lodestrata.sources.index import IndexTables, make_embedder
 from lodestrata.sources.tree import INDEX_DIR
 
 RESULT_DECIMALS = 6
+#: Values up to which a query's terms or buckets become a filter on the stored table.
+FILTER_VALUES = 1024
 
 
 class CodeIndex:
@@ -30,16 +32,26 @@ class CodeIndex:
         tokens = queries.select("query_id", tokenize(F.col("text")).alias("tokens"))
         terms = lexical.query_terms(tokens, F.col("tokens"))
         lengths = self.table("lengths")
-        legs = {"bm25": lexical.top_candidates(lexical.bm25_scores(self.table("postings"), lengths, terms), candidates)}
+        posts = self._only(self.table("postings"), "term", terms)
+        legs = {"bm25": lexical.top_candidates(lexical.bm25_scores(posts, lengths, terms), candidates)}
         if use_dense:
             _, embed = make_embedder(self.tables.meta["embedder"])
             asked = queries.select("query_id", F.col("text").alias("embed_text"))
             vectors = self._query_vectors(asked, embed)
-            legs["dense"] = lexical.top_candidates(dense.sparse_scores(self.table("vectors"), vectors, lengths), candidates)
+            legs["dense"] = lexical.top_candidates(dense.sparse_scores(self._only(self.table("vectors"), "bucket", vectors), vectors, lengths), candidates)
         ids = lengths.select("ord", "chunk_id")
         fused = fusion.reciprocal_rank_fusion(legs).join(ids, "ord").select("query_id", "chunk_id", "score", "sources")
         return ranking.ranked_hits(fused, self.table("chunks"), self.table("edges"), k, language, kind)
 
+    @staticmethod
+    def _only(stored: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+        """The rows whose ``column`` is asked for, as a filter that reaches the scan while the values are few.
+
+        Postings are sorted by term and vectors by bucket, so the filter skips row groups.
+        """
+        few = [r[0] for r in asked.select(column).distinct().limit(FILTER_VALUES + 1).collect()]
+        return stored.where(F.col(column).isin(few)) if len(few) <= FILTER_VALUES else stored
+
     def _query_vectors(self, asked: DataFrame, embed) -> DataFrame:
         """Vectors of the queries, not rounded; one without terms is all zeros and still ranks everything."""
         if self.tables.meta["embedder"].startswith("hashing"):

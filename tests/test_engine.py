@@ -193,3 +193,10 @@ def test_stream_refresh(spark, tmp_path):
     put("2.json", ("a.py", "python", "def h():\n    pass\n", 2), ("b.py", "python", None, 2))
     run()
     assert [(r.file_path, r.symbol) for r in current_chunks(spark, target).collect()] == [("a.py", "h")]
+
+
+def test_query_terms_reach_the_scan(spark, index, capsys):
+    asked = spark.createDataFrame([("login",), ("user",)], "term string")
+    index._only(index.table("postings"), "term", asked).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PushedFilters: [In(term, [login,user])]" in plan or "PushedFilters: [In(term, [user,login])]" in plan
