@@ -36,9 +36,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("term_doc_freq", f"WITH {SQL_DOCUMENT_TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tokens) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Within a document terms are counted without a shuffle; one shuffle by term is left.
-    terms = document_tokens(spark, sf_dir).select(F.explode("tokens").alias("term"), "doc_id")
-    return terms.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("cf"))
+    # A document's distinct terms and all its terms leave it in one pass, so one shuffle by term is enough.
+    marked = lambda c, first: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
+    terms = document_tokens(spark, sf_dir).select(F.explode(F.concat(marked(F.array_distinct("tokens"), 1), marked("tokens", 0))).alias("x"))
+    return terms.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.sum(1 - F.col("x.first")).alias("cf"))
 
 
 def fixed_query_scores(tokens: DataFrame, query: str, key: str = "doc_id", round_to: int = 6) -> DataFrame:
