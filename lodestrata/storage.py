@@ -20,21 +20,43 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+#: Paths of this process's intermediate tables, until they are dropped.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+
+    The table stays until ``drop_table`` or ``cleanup``, as results may be read at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _written.add(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files behind materialised tables that nothing reads any more."""
+    for df in tables:
+        names = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+        for path in [p for p in _written if p.rsplit("/", 1)[1] in names]:
+            _delete(df.sparkSession, path)
+            _written.discard(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process, once its results have been read or written; returns their number."""
+    count = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return count
 
 
 def spread(df: DataFrame) -> DataFrame:
