@@ -185,12 +185,19 @@ def _block_bounds(docs: DataFrame, id_col: str, block_rows: int) -> list[int]:
     return sorted(r.low for r in parts.toLocalIterator())
 
 
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n blocks, such that hash partitioning sends each to a partition of its own."""
+    place = F.pmod(F.hash("id"), F.lit(n))
+    found = {r.place: r.id for r in spark.range(24 * n + 64).groupBy(place.alias("place")).agg(F.min("id").alias("id")).toLocalIterator()}
+    return [found.get(k, -1 - k) for k in range(n)]
+
+
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each document beside its edited text and the next document, in descending order of id.
 
     Null texts count as empty, a null id comes after all others. Rows of one id follow each other
     in the order of their texts; the last row's next is the first. A table of one row compares it
-    with itself, an empty table gives no rows.
+    with itself, an empty table gives no rows. Rows of one id lie in one block, whatever their number.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -208,12 +215,13 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def block_of(ids: pd.Series) -> pd.Series:
         return pd.Series(n - np.searchsorted(bounds, ids.to_numpy(), side="right"), dtype="int32")
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def blocks_of(ids: pd.Series) -> pd.Series:
         own = n - np.searchsorted(bounds, ids.to_numpy(), side="right")
         first = np.isin(ids.to_numpy(), heads)
-        return pd.Series([[b, (b - 1) % n] if f else [b] for b, f in zip(own.tolist(), first.tolist(), strict=True)])
+        return pd.Series([[slots[b], slots[(b - 1) % n]] if f else [slots[b]] for b, f in zip(own.tolist(), first.tolist(), strict=True)])
 
+    slots = _slots(spark, n)
     heads = np.array([r.high for r in rows.select("id", block_of("id").alias("block")).groupBy("block").agg(F.max("id").alias("high")).toLocalIterator()], np.int64)
     # A head goes to its own block and, to be looked at only, to the end of the block before; the very first to the very last.
     dealt = rows.select("id", "text", F.posexplode(blocks_of("id")).alias("ahead", "block"))
