@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     clean = clean.where(F.size("v") == dim)
     v_blocks, q_blocks = max(1, -(-n // vector_block)), max(1, -(-asked // query_block))
     pair = lambda a, b: (a * q_blocks + b).cast("int").alias("pair")
-    dealt = lambda blocks, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks))
+    dealt = lambda blocks, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(blocks))
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     held = clean.select("id", "v", dealt(v_blocks, 1).alias("vb"), each(q_blocks).alias("qb")).select(pair(F.col("vb"), F.col("qb")), "id", "v")
     asks = clean.where(F.col("id") % every == 0).select("id", "v", dealt(q_blocks, 2).alias("qb"), each(v_blocks).alias("vb")).select(pair(F.col("vb"), F.col("qb")), "id", "v")
