@@ -37,20 +37,27 @@ class Encoder:
     """``plain``: the strings of special tokens are ordinary text, so their ids never come from a text."""
 
     def __init__(self, path: str, plain: bool = False) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        added = {t.content for t in self.full.get_added_tokens_decoder().values()}
+            held = json.load(f)
+        self.path, self.plain = path, plain
+        added = {t["content"] for t in held.get("added_tokens", ())}
         letters = _bytes_of_letters()
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+        ranks = {bytes(letters[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in added}
         self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.marks = re.compile("|".join(map(re.escape, sorted(added)))) if added and not plain else None
 
+    @functools.cached_property
+    def full(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = self.plain
+        return found
+
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text without special tokens added; null: none."""
         text = text or ""
