@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bound_batches, materialize, table
+from lodestrata.llm.common import bound_batches, drop_table, materialize, table
 from lodestrata.llm.components import connected_components
 
 SAMPLES, BAND_ROWS, BANDS = 256, 4, 32
@@ -238,6 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     late = materialize(_measured(candidates.unionByName(apart).distinct(), sets).where(_reaches(per_cent)).select("u", "v"), "links")
     if not late.isEmpty():
         roots = connected_components(edges.unionByName(late))
+    # Sketches, classes and roots are all that the result is read from.
+    drop_table(buckets, sets, stars, rest, late)
 
     rooted = classes.select("cls", "id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("least")), "root").select("cls", "least")
