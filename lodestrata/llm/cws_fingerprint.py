@@ -35,6 +35,8 @@ SAMPLE_BITS = 16
 FEATURE_BITS = 17
 #: Repeated words whose draws one worker keeps; beyond it they are drawn anew.
 KEPT_HEAVY = 8192
+#: Words whose features one worker keeps, at about 150 bytes each.
+KEPT_FEATURES = 200_000
 #: Documents in a block, about.
 BLOCK_ROWS = 4096
 
@@ -52,6 +54,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Features(dict):
+    """Features of words; those of the first words met are kept."""
+
+    def __missing__(self, word: str) -> int:
+        feature = (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2654435761 & 0xFFFFFFFF) >> (32 - FEATURE_BITS)
+        if len(self) < KEPT_FEATURES:
+            self[word] = feature
+        return feature
+
+
 class Sampler:
     """Consistent weighted samples of bags of words.
 
@@ -60,10 +72,13 @@ class Sampler:
     """
 
     def __init__(self, samples: int = SAMPLES, kept: int = KEPT_HEAVY) -> None:
-        self.samples, self.kept = samples, kept
+        self.samples = samples
         self.first = np.empty((1 << FEATURE_BITS, samples), np.float32)
         self.drawn = np.zeros(1 << FEATURE_BITS, bool)
-        self.heavy: dict[int, np.ndarray] = {}
+        self.heavy = np.empty((kept, 3, samples), np.float32)
+        self.place = np.full(1 << FEATURE_BITS, -1, np.int32)
+        self.held = 0
+        self.features = _Features()
         self.lane = np.arange(samples)
 
     def _draw(self, features: np.ndarray) -> np.ndarray:
@@ -76,24 +91,23 @@ class Sampler:
         return np.stack([-np.log(u[:, 0] * u[:, 1]), u[:, 4], np.log(-np.log(u[:, 2] * u[:, 3]))], axis=1)
 
     def _all_draws(self, features: np.ndarray) -> np.ndarray:
-        new = [f for f in features.tolist() if f not in self.heavy]
-        if new:
-            if len(self.heavy) + len(new) > self.kept:
-                self.heavy.clear()
-                new = features.tolist()
-            self.heavy.update(zip(new, self._draw(np.array(new)), strict=True))
-        return np.stack([self.heavy[f] for f in features.tolist()])
+        new = features[self.place[features] < 0]
+        if len(new):
+            if self.held + len(new) > len(self.heavy):
+                self.place[:] = -1
+                self.held, new = 0, features
+            if len(new) > len(self.heavy):
+                return self._draw(features)
+            rows = np.arange(self.held, self.held + len(new))
+            self.heavy[rows], self.place[new], self.held = self._draw(new), rows, self.held + len(new)
+        return self.heavy[self.place[features]]
 
     def sample(self, bag: Counter) -> np.ndarray | None:
         """16-bit samples, None for an empty bag."""
         if not bag:
             return None
-        weight: dict[int, int] = {}
-        for word, n in bag.items():
-            f = (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2654435761 & 0xFFFFFFFF) >> (32 - FEATURE_BITS)
-            weight[f] = weight.get(f, 0) + n
-        features = np.fromiter(weight, np.int64, len(weight))
-        counts = np.fromiter(weight.values(), np.float32, len(weight))
+        features = np.fromiter(map(self.features.__getitem__, bag), np.int64, len(bag))
+        counts = np.fromiter(bag.values(), np.float32, len(bag))
         best, code = None, None
         for k in range(0, len(features), 2048):
             value, own = self._part(features[k : k + 2048], counts[k : k + 2048])
