@@ -15,8 +15,15 @@ import re
 import numpy as np
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Whatever isn't ASCII text, Latin letters or common punctuation, and runs too long for the fast way.
-_SLOW = re.compile("[^\\n\\r\\t\\x20-\\x7e¡-ɏ‐-‧‰-⁞]|\\S{2000}|\\s{2000}")
+#: Whatever isn't ASCII text, Latin letters or common punctuation.
+_ODD = re.compile("[^\\n\\r\\t\\x20-\\x7e¡-ɏ‐-‧‰-⁞]")
+#: Half the length of a run, of white space or without any, that is too long for the fast way.
+_HALF_RUN = 1000
+
+
+def _has_long_run(text: str) -> bool:
+    """A run of twice that length holds one of these stretches whole; a stretch of two words is none."""
+    return any(len(text[k : k + _HALF_RUN].split(None, 1)) < 2 for k in range(0, len(text) - _HALF_RUN + 1, _HALF_RUN))
 
 
 def default_path() -> str:
@@ -61,7 +68,7 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text without special tokens added; null: none."""
         text = text or ""
-        if _SLOW.search(text) or self.marks and self.marks.search(text):
+        if _ODD.search(text) or self.marks and self.marks.search(text) or _has_long_run(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
