@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 DIM = 512
 
 
-def _byte(digest: Column, k: int) -> Column:
-    return F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("long")
+#: Hexadecimal digits of even numbers.
+_EVEN = tuple("02468ace")
 
 
 def bucket(term: Column, dim: int = DIM) -> Column:
     """The digest's first four bytes, least first, modulo ``dim``."""
-    digest = F.md5(term)
-    return (sum((_byte(digest, k) * (1 << 8 * k) for k in range(1, 4)), _byte(digest, 0)) % dim).cast("int")
+    first = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
+    byte = lambda k: F.shiftright(first, 8 * (3 - k)).bitwiseAND(255)
+    return (sum((F.shiftleft(byte(k), 8 * k) for k in range(1, 4)), byte(0)) % dim).cast("int")
 
 
 def sign(term: Column) -> Column:
-    return F.when(_byte(F.md5(term), 4) % 2 == 0, 1.0).otherwise(-1.0)
+    """By the parity of the digest's fifth byte."""
+    return F.when(F.substring(F.md5(term), 10, 1).isin(*_EVEN), 1.0).otherwise(-1.0)

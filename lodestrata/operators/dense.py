@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import DIM, bucket, sign
+from lodestrata.operators.lexical import exploded
 
 #: Stored vectors keep so many decimals.
 DECIMALS = 6
@@ -14,15 +16,14 @@ DECIMALS = 6
 def hashed_vectors(tokens: DataFrame, *ids: str, dim: int = DIM, round_to: int | None = DECIMALS) -> DataFrame:
     """(ids, tokens) -> (ids, bucket, w): signed counts, damped by a logarithm, of length one.
 
-    Terms are counted before they are hashed, so a digest is taken once for each distinct term of a
-    document. Buckets whose counts cancel have no row, nor have documents without terms.
+    Buckets whose counts cancel have no row, nor have documents without terms. Token arrays are
+    dealt by id once, before they are exploded; counts, norms and their join need no further shuffle.
     """
-    counts = tokens.select(*ids, F.explode("tokens").alias("term")).groupBy(*ids, "term").agg(F.count("*").alias("tf"))
-    signed = counts.withColumn("bucket", bucket(F.col("term"), dim)).groupBy(*ids, "bucket").agg(F.sum(F.col("tf") * sign(F.col("term"))).alias("v")).where("v <> 0")
-    damped = signed.withColumn("v", F.signum("v") * F.log1p(F.abs("v")))
-    norm = damped.groupBy(*ids).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    w = F.col("v") / F.col("norm")
-    return damped.join(norm, list(ids)).select(*ids, "bucket", (F.round(w, round_to) if round_to is not None else w).alias("w"))
+    terms = exploded(tokens.repartition(*ids), *ids)
+    signed = terms.select(*ids, bucket(F.col("term"), dim).alias("bucket"), sign(F.col("term")).alias("sign")).groupBy(*ids, "bucket").agg(F.sum("sign").alias("v")).where("v <> 0")
+    damped = signed.select(*ids, "bucket", (F.signum("v") * F.log1p(F.abs("v"))).alias("v"))
+    w = F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(*ids)))
+    return damped.select(*ids, "bucket", (F.round(w, round_to) if round_to is not None else w).alias("w"))
 
 
 def sparse_scores(vectors: DataFrame, queries: DataFrame, everything: DataFrame, key: str = "ord", round_to: int | None = None) -> DataFrame:

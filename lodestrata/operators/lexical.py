@@ -12,9 +12,18 @@ QUERY_TF = 2
 CANDIDATES = 40
 
 
+def exploded(tokens: DataFrame, *ids: str) -> DataFrame:
+    """(ids, tokens) -> (ids, term).
+
+    An inner explode would make the optimiser test the array's size at the scan, which evaluates the
+    tokeniser a second time; an outer one with a filter above it doesn't.
+    """
+    return tokens.select(*ids, F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
+
+
 def postings(tokens: DataFrame, *ids: str) -> DataFrame:
     """(ids, tokens) -> (term, ids, tf)."""
-    return tokens.select(*ids, F.explode("tokens").alias("term")).groupBy("term", *ids).agg(F.count("*").alias("tf"))
+    return exploded(tokens, *ids).groupBy("term", *ids).agg(F.count("*").alias("tf"))
 
 
 def lengths(tokens: DataFrame, *ids: str) -> DataFrame:
@@ -42,7 +51,7 @@ def contribution(idf_: Column, tf: Column, dl: Column, avgdl: Column, qtf: Colum
 
 def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     """(query_id, ...) -> (query_id, term, qtf)."""
-    return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return exploded(queries.select("query_id", tokens.alias("tokens")), "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_scores(posts: DataFrame, dl: DataFrame, queries: DataFrame, key: str = "ord", round_to: int | None = None) -> DataFrame:

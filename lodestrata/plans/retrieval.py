@@ -38,8 +38,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A document's distinct terms and all its terms leave it in one pass, so one shuffle by term is enough.
     marked = lambda c, first: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
-    terms = document_tokens(spark, sf_dir).select(F.explode(F.concat(marked(F.array_distinct("tokens"), 1), marked("tokens", 0))).alias("x"))
-    return terms.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.sum(1 - F.col("x.first")).alias("cf"))
+    terms = document_tokens(spark, sf_dir).select(F.explode_outer(F.concat(marked(F.array_distinct("tokens"), 1), marked("tokens", 0))).alias("x"))
+    return terms.where("x is not null").groupBy("x.term").agg(F.sum("x.first").alias("df"), F.sum(1 - F.col("x.first")).alias("cf"))
 
 
 def fixed_query_scores(tokens: DataFrame, query: str, key: str = "doc_id", round_to: int = 6) -> DataFrame:
@@ -75,8 +75,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("q"))
     terms = materialize(lexical.query_terms(queries, F.col("q")), "query-terms")
     # Only the queries' terms become postings.
-    exploded = tokens.select("doc_id", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = exploded.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    found = lexical.exploded(tokens, "doc_id").join(terms.select("term").distinct(), "term", "left_semi")
+    posts = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     scores = lexical.bm25_scores(posts, lexical.lengths(tokens, "doc_id"), terms, key="doc_id", round_to=6)
     return lexical.top_candidates(scores, 5, key="doc_id").select("query_id", "doc_id", "score", (F.col("rank") + 1).alias("rank"))
 
@@ -90,7 +90,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("hash_bucket", f"WITH {SQL_DOCUMENT_TOKENS}, terms AS (SELECT DISTINCT unnest(t) AS term FROM tokens) SELECT term, ('0x' || substr(md5(term), 1, 2))::INT + 256 * (('0x' || substr(md5(term), 3, 2))::INT % 2) AS bucket, CASE WHEN ('0x' || substr(md5(term), 9, 2))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM terms")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = document_tokens(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    terms = lexical.exploded(document_tokens(spark, sf_dir)).distinct()
     return terms.select("term", bucket(F.col("term")).alias("bucket"), sign(F.col("term")).alias("sign"))
 
 
