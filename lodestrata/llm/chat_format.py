@@ -14,6 +14,7 @@ more before it than it had; removing one restores the text exactly. The spaces b
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import table
@@ -70,27 +71,29 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     """
     content = visit_parts(F.col(parts_col) if parts_col else text_part(F.col(text_col)))
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), content.alias("v"))
-    rows = rows.select("conv_id", F.struct("turn", "role", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments"), F.col("v.expanded_tokens").alias("tokens")).alias("t"))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY))
-    sizes = F.transform("ts", lambda t: F.struct(F.length(head(t)).alias("head"), F.length(t["content"]).alias("body")))
-    # Running offsets in one pass: each turn's start is the sum of those before it.
-    starts = F.aggregate("sizes", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")), lambda a, s: F.struct((a["at"] + s["head"] + s["body"] + len(END)).alias("at"), F.concat(a["spans"], F.array(F.struct((a["at"] + s["head"]).alias("start"), (a["at"] + s["head"] + s["body"]).alias("end")))).alias("spans")))
-    return (
-        chats.withColumn("sizes", sizes)
-        .withColumn("loss_mask", F.transform("ts", lambda t: t["role"] == MASKED_ROLE))
-        .select(
-            "conv_id",
-            F.size("ts").cast("long").alias("n_turns"),
-            F.array_join(F.transform("ts", lambda t: F.concat(head(t), t["content"], F.lit(END))), "").alias("formatted"),
-            "loss_mask",
-            F.filter(starts["spans"], lambda s, i: F.element_at("loss_mask", i + 1)).alias("loss_spans"),
-            F.flatten(F.transform("ts", lambda t: t["attachments"])).alias("attachments"),
-            F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("expanded_tokens"),
-        )
+    rows = rows.select("conv_id", "turn", "role", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments"), F.col("v.expanded_tokens").alias("tokens"))
+    # Where each turn begins in its conversation: a running sum, which a window takes in one pass however long the conversation.
+    size = F.length(_head(F.col("role"))) + F.length("content") + len(END)
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments")
+    start = F.coalesce(F.sum(size).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    placed = rows.select("conv_id", F.struct(start.alias("start"), "role", "content", "attachments", "tokens").alias("t"))
+    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    body = lambda t: t["start"] + F.length(_head(t["role"]))
+    return chats.select(
+        "conv_id",
+        F.size("ts").cast("long").alias("n_turns"),
+        F.array_join(F.transform("ts", lambda t: F.concat(_head(t["role"]), t["content"], F.lit(END))), "").alias("formatted"),
+        F.transform("ts", lambda t: t["role"] == MASKED_ROLE).alias("loss_mask"),
+        F.transform(F.filter("ts", lambda t: t["role"] == MASKED_ROLE), lambda t: F.struct(body(t).alias("start"), (body(t) + F.length(t["content"])).alias("end"))).alias("loss_spans"),
+        F.flatten(F.transform("ts", lambda t: t["attachments"])).alias("attachments"),
+        F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("expanded_tokens"),
     )
 
 
+def _head(role: Column) -> Column:
+    return F.concat(F.lit(TURN), escape(role), F.lit(BODY))
+
+
 def read_back(formatted: Column) -> Column:
     """The turns in a formatted text: array of struct(role, text), exactly as they were."""
     pieces = F.filter(F.split(formatted, rf"(?<!\\){_quoted(TURN)}"), lambda _, i: i > 0)
