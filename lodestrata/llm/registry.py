@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
+    "op6_source_mix": source_mix.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }

@@ -47,7 +47,8 @@ def quality_weight(text: Column, size: Column) -> Column:
 def with_keys(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """``docs`` and the columns __src (never null), __size and __key (a long, least first)."""
     size = word_count(F.col(text_col))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     with_size = docs.withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))).withColumn("__size", size)
     es = F.exp(F.log(u) / quality_weight(F.col(text_col), F.col("__size")))
     return with_size.withColumn("__key", F.least(F.floor((1.0 - es) * float(1 << KEY_BITS)), F.lit((1 << KEY_BITS) - 1)).cast("long"))
@@ -67,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     level = ranked.withColumn("share", share).withColumn("full", F.col("share") > F.col("ratio"))
     # The first source that isn't full sets the share of all that follow.
     final = F.min(F.when(~F.col("full"), F.struct("ratio", "__src", "share"))).over(everything)["share"]
-    return level.select("__src", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("w") * final)).alias("target"))
+    return level.select("__src", "source_size", F.round(F.when(F.col("full"), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("w") * final)), 6).alias("target"))
 
 
 def plan_mix(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -133,3 +134,30 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
+ORACLE_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), keyed AS (
+  SELECT doc_id, source, size, floor((1 - exp(ln((('0x' || substr(md5(doc_id::VARCHAR || ':20'), 1, 13))::BIGINT + 0.5::DOUBLE) / 2::DOUBLE ** 52)
+    / greatest(0.25::DOUBLE, 1 / (1 + abs(length(t) / greatest(size, 1)::DOUBLE - 6.5) / 6.5)))) * 2::DOUBLE ** 50) AS k FROM base
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM base GROUP BY source
+), ranked AS (
+  SELECT *, source_size * 3.0::DOUBLE AS most, source_size * 3.0::DOUBLE / w AS ratio FROM src
+), shares AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS share
+  FROM ranked WINDOW before AS (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, round(CASE WHEN share > ratio THEN most ELSE least(most, w * (SELECT min_by(share, ratio) FROM shares WHERE share <= ratio)) END, 6)::DOUBLE AS target FROM shares
+), wanted AS (
+  SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words FROM targets
+), cut AS (
+  SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs FROM wanted
+), run AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + greatest(0, least(size, words - epochs * source_size - before)))::BIGINT AS taken
+FROM run JOIN cut ON run.source IS NOT DISTINCT FROM cut.source
+"""
