@@ -16,7 +16,9 @@ _shipped: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Add the package to the session's files, once, unless workers find it by their path or folder."""
     context = spark.sparkContext
-    found = {os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    # Workers inherit the path; the driver's folder is theirs only where they run beside it.
+    here = [os.getcwd()] if context.master.startswith("local") and "cluster" not in context.master else []
+    found = {os.path.abspath(p) for p in (*here, *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
     if context.applicationId in _shipped or str(_PACKAGE.parent) in found:
         return
     archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata.zip"
