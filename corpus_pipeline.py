@@ -23,11 +23,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
-    gone = materialize(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "gone")
+    """One row of each group of near-duplicates: one with the group's least id, null last.
+
+    Rows are told apart by a key that is written out with them, never by their ids.
+    """
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = materialize(near_duplicates(keyed, "__row").select("__row", "component_id"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    stay = found.join(keyed.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
+    gone = materialize(found.select("__row").join(stay, "__row", "left_anti"), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,11 @@ def test_empty_and_odd_documents(spark):
         for _, stage in pipeline.STAGES:
             held = stage(spark, held, SF)
         assert held.count() >= 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    texts = [(None, a), (1, a), (None, b), (2, c), (2, c), (3, a + " end"), (4, c + " end"), (4, "quite another text that stands under the id four"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (None, b), (2, c), (4, texts[7][1]), (None, None), (None, "")], key=repr)
