@@ -7,7 +7,7 @@ after aggregation; the sharing is solved at once by ordering them by limit over
 Selection (Efraimidis-Spirakis): a document with quality weight w draws u from a hash and gets the
 exponential key -ln(u)/w, least first. A source first takes as many whole epochs as its target
 holds; the rest goes to the documents of least keys whose running sum of sizes fits, and what then
-remains is taken from the start of the next document.
+remains is taken from the start of the next document, or by that document as a whole.
 
 The running sum is found without sorting a source in one task: keys are 50-bit numbers, and the
 cut is narrowed digit by digit over sums for each digit, so a window never holds more than one
@@ -28,10 +28,13 @@ MAX_EPOCHS = 3
 #: Bits of the key decided at each step.
 DIGITS = (12, 12, 12, 14)
 KEY_BITS = sum(DIGITS)
+#: The same for the 64 bits that order rows of one key.
+TIE_DIGITS = (16, 16, 16, 16)
 #: Sources up to which their cuts are broadcast, at about 100 bytes each.
 BROADCAST_SOURCES = 50_000
 SEED = 20
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]*"
 
 
 def word_count(text: Column) -> Column:
@@ -71,32 +74,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return level.select("__src", "source_size", F.round(F.when(F.col("full"), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("w") * final)), 6).alias("target"))
 
 
-def plan_mix(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row for each source: __src, source_size, target, epochs, cut (a key), at_cut (words), tied (rows at the cut)."""
-    rows = materialize(keyed.select("__src", "__size", "__key"), "mix-keys")
-    sizes = rows.groupBy("__src").agg(F.sum("__size").alias("source_size"))
-    targets = source_targets(sizes, weights, max_epochs)
-    words = F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
-    cut = targets.withColumn("words", words).withColumn("epochs", epochs).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size")).drop("words")
+def _narrow(rows: DataFrame, cut: DataFrame, key: str, digits: tuple[int, ...]) -> DataFrame:
+    """``cut`` with prefix the key at which a source's rows, by key, hold its ``rest`` words; rest what that key must give, n its rows."""
+    carried = [c for c in cut.columns if c != "rest"]
     cut = materialize(cut.withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
-    shift = KEY_BITS
-    for bits in DIGITS:
+    bits = shift = sum(digits)
+    for digit_bits in digits:
         cut = cut.withColumn("at", F.col("prefix"))
-        near = rows.withColumn("at", F.shiftright("__key", shift) if shift < KEY_BITS else F.lit(0).cast("long"))
-        shift -= bits
+        near = rows.withColumn("at", F.shiftright(key, shift) if shift < bits else F.lit(0).cast("long"))
+        shift -= digit_bits
         # Sources with nothing left over need no cut.
-        near = near.withColumn("digit", F.shiftright("__key", shift)).groupBy("__src", "at", "digit").agg(F.sum("__size").alias("words"), F.count("*").alias("n"))
+        near = near.withColumn("digit", F.shiftright(key, shift)).groupBy("__src", "at", "digit").agg(F.sum("__size").alias("words"), F.count("*").alias("n"))
         found = near.join(cut.where("rest > 0").select("__src", "at", "rest"), ["__src", "at"])
         run = found.withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("__src").orderBy("digit").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
         # The last digit that begins with words to spare holds the cut.
         hit = run.where(F.col("before") < F.col("rest")).groupBy("__src").agg(F.max(F.struct("digit", "before", "n")).alias("hit"))
         cut = cut.drop("at", "n").join(hit, "__src", "left")
-        cut = cut.select("__src", "source_size", "target", "epochs", F.when(F.col("hit").isNotNull(), F.col("rest") - F.col("hit.before")).otherwise(F.col("rest")).alias("rest"), F.coalesce("hit.digit", F.lit(-1).cast("long")).alias("prefix"), F.coalesce("hit.n", F.lit(1).cast("long")).alias("n"))
+        cut = cut.select(*carried, F.when(F.col("hit").isNotNull(), F.col("rest") - F.col("hit.before")).otherwise(F.col("rest")).alias("rest"), F.coalesce("hit.digit", F.lit(-1).cast("long")).alias("prefix"), F.coalesce("hit.n", F.lit(1).cast("long")).alias("n"))
         cut = materialize(cut, "mix-cut")
+    return cut
+
+
+def plan_mix(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row for each source: __src, source_size, target, epochs, cut (a key), at_cut (words), tied (rows at the cut)."""
+    rows = materialize(keyed.select("__src", "__size", "__key"), "mix-keys")
+    sizes = rows.groupBy("__src").agg(F.sum("__size").alias("source_size"))
+    targets = source_targets(sizes, weights, max_epochs)
+    words = F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
+    cut = targets.withColumn("words", words).withColumn("epochs", epochs).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size")).drop("words")
+    cut = _narrow(rows, cut, "__key", DIGITS)
     return cut.select("__src", "source_size", "target", "epochs", F.col("prefix").alias("cut"), F.col("rest").alias("at_cut"), F.col("n").alias("tied"))
 
 
+def _small(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` and the columns __size, source_size, target and taken (words, repeats counted).
 
@@ -105,26 +119,51 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     remains is shared evenly, rounded down. An empty table gives no rows.
     """
     keyed = with_keys(docs, id_col, source_col, text_col, seed)
-    plan = plan_mix(keyed, weights, max_epochs)
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    plan = _small(plan_mix(keyed, weights, max_epochs))
     extra = F.when(F.col("__key") < F.col("cut"), F.col("__size")).when(F.col("__key") == F.col("cut"), F.least(F.col("__size"), F.floor(F.col("at_cut") / F.col("tied")))).otherwise(0)
     return keyed.join(plan, "__src").withColumn("taken", (F.col("epochs") * F.col("__size") + extra).cast("long")).drop("__src", "__key", "epochs", "cut", "at_cut", "tied")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def whole_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """``docs``, each row as often as the mix takes it; the document at a source's cut is taken whole.
+
+    A source so has its target at least, and less than one document more. Where the cut falls on
+    several rows of one key, as without ids, a hash of a key of their own that is written out with
+    them sets their order.
+    """
+    keyed = with_keys(docs, id_col, source_col, text_col, seed)
+    plan = plan_mix(keyed, weights, max_epochs)
+    rows = keyed.where("__size > 0").join(_small(plan), "__src")
+    once = F.col("epochs") + (F.col("__key") <= F.col("cut")).cast("long")
+    ties = plan.where("tied > 1").select("__src", F.col("at_cut").alias("rest"))
+    if ties.isEmpty():
+        taken = rows.withColumn("__copies", once)
+    else:
+        at_cut = (F.col("tied") > 1) & (F.col("__key") == F.col("cut"))
+        # On a single long xxhash64 is one to one, so that no two rows tie again.
+        tied = materialize(rows.where(at_cut).withColumn("__tie", F.xxhash64(F.monotonically_increasing_id())), "mix-tied")
+        last = _narrow(tied.select("__src", "__size", "__tie"), ties, "__tie", TIE_DIGITS).select("__src", F.col("prefix").alias("__last"))
+        tied = tied.join(_small(last), "__src").withColumn("__copies", F.col("epochs") + (F.col("__tie") <= F.col("__last")).cast("long"))
+        taken = rows.where(~at_cut).withColumn("__copies", once).unionByName(tied.drop("__tie", "__last"))
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
+def mixed_documents(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix itself: a row for each whole time a document is taken and one for a part of it.
 
-    A part is the document's first words, joined by single spaces. Columns are those of ``docs``;
-    a column n_chars, where there is one, follows the part's text.
+    A part is the document's text up to the end of its last word taken. With ``whole`` there are no
+    parts, see ``whole_documents``. Columns are those of ``docs``; a column n_chars, where there is
+    one, follows the part's text.
     """
+    if whole:
+        return whole_documents(docs, **options)
     text = options.get("text_col", "text")
     mixed = mix_sources(docs.select(*docs.columns), **options)
     whole = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size"))).otherwise(0).cast("int")
     part = F.col("taken") - F.col("__whole") * F.col("__size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__whole")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
     rows = mixed.withColumn("__whole", whole).withColumn("__part", part).withColumn("__copy", F.explode(copies))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__copy").cast("int")), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(SPACE + WORD), F.lit(0)), F.lit(1), F.col("__copy").cast("int")), "")
     out = rows.withColumn(text, F.when(F.col("__copy") > 0, cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__copy") > 0, F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

@@ -77,3 +77,30 @@ def test_mixed_documents(spark):
     for r in got:
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
     assert words == {d: n for d, n in plan.items() if n} and got[0].asDict().keys() == set(df.columns)
+
+
+def test_parts_keep_their_spacing(spark):
+    rows = [(k, f"one  two\nthree {k} four\tfive six", "a" if k < 8 else "b") for k in range(10)]
+    got = mix.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    full = {k: t for k, t, _ in rows}
+    assert any(r.text != full[r.doc_id] for r in got) and all(full[r.doc_id].startswith(r.text) for r in got)
+
+
+@pytest.mark.parametrize("no_id", [False, True])
+def test_whole_documents(spark, no_id):
+    rows = [(None if no_id else k, f"one\n two {k}" + " w" * (k % 23), "a" if k < 300 else "b") for k in range(400)] + [(None, None, "a"), (None, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.mixed_documents(df, whole=True).collect()
+    full, sizes, words, times = {t: s for _, t, s in rows}, {}, {}, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    for r in got:
+        assert full[r.text] == r.source
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        times[r.text] = times.get(r.text, 0) + 1
+    targets = fair_targets(sizes)
+    for s, target in targets.items():
+        assert -1 <= words[s] - target <= 25
+        assert {times.get(t, 0) for t in full if t and full[t] == s} <= {int(target // sizes[s]), int(target // sizes[s]) + 1}
+    if not no_id:
+        assert {r.doc_id for r in got} == {r.doc_id for r in mix.mix_sources(df).collect() if r.taken}
