@@ -1,12 +1,12 @@
 """License scans by a positional index of rare tokens.
 
 Templates are word sequences. An inverted index maps each template's rarest words (highest inverse
-document frequency, counted over every document of the corpus) to their positions in it. In a file
-the rarest indexed word of each template is looked up first; each of its places proposes an
-alignment, and the postings of the template's further indexed words must support it at the same
-relative position. What remains is verified: every mandatory key phrase of the template must stand
-there word for word. A template whose words are its only key phrase is matched exactly, at all
-places.
+document frequency, counted over every document of the corpus) and the rarest of its first key phrase to
+their positions in it. In a file each place of the latter proposes an alignment, which is verified:
+every mandatory key phrase of the template must stand there word for word. This alone decides. The
+postings of the template's further indexed words propose alignments a few words off, and the one
+that covers most of the template gives the score. A template whose words are its only key phrase is
+matched exactly, at all places.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from lodestrata.llm.common import bound_batches, table
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rarest words of a template that the index holds.
 INDEXED_WORDS = 4
-#: Share of a template's indexed words, present in the file, that must support an alignment.
-SUPPORT = 0.5
 #: Words by which a longer template's parts may be shifted against each other.
 SLACK = 4
 
@@ -80,6 +78,7 @@ class PositionalIndex:
         self.rare: list[list[bytes]] = []
         self.at: list[dict[bytes, list[int]]] = []
         self.phrases = []
+        self.anchor: list[tuple[bytes, int]] = []
         for t, words in zip(self.templates, self.words, strict=True):
             ranked = sorted(set(words), key=lambda w: (-idf.get(w, math.inf), w))
             self.rare.append(ranked[:indexed])
@@ -93,6 +92,11 @@ class PositionalIndex:
                 start = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
                 keys.append((start, key))
             self.phrases.append(keys)
+            start, key = keys[0]
+            i = min(range(len(key)), key=lambda i: ranked.index(key[i]))
+            self.anchor.append((key[i], start + i))
+            if key[i] not in self.rare[-1]:
+                self.rare[-1].append(key[i])
         self.vocabulary = frozenset(w for rare in self.rare for w in rare)
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
@@ -123,21 +127,18 @@ class PositionalIndex:
         return [(k, s, 1.0) for s in sorted(starts) if s >= 0 and words[s : s + size] == self.words[k]]
 
     def _notice(self, k: int, own: list[bytes], postings: Mapping[bytes, list[int]], words: list[bytes]) -> list[tuple[int, int, float]]:
-        votes: Counter = Counter()
-        for w in own:
-            votes.update({p - t for p in postings[w] for t in self.at[k][w]})
-        need = max(1, math.ceil(SUPPORT * len(own)))
-        found, last = [], None
-        for start in sorted(votes):
-            near = {start + d for d in range(-SLACK, SLACK + 1)}
-            if sum(votes[n] for n in near if n in votes) < need or last is not None and start - last <= SLACK:
-                continue
-            if all(any(words[p : p + len(key)] == key for d in range(-SLACK, SLACK + 1) if (p := start + at + d) >= 0) for at, key in self.phrases[k]):
-                window = Counter(words[max(0, start - SLACK) : max(0, start + len(self.words[k]) + SLACK)])
-                have = sum(min(n, window[w]) for w, n in Counter(self.words[k]).items())
-                found.append((k, max(0, start), have / len(self.words[k])))
-                last = start
-        return found
+        word, offset = self.anchor[k]
+        (first, key), *others = self.phrases[k]
+        starts = [s for p in postings.get(word, ()) if (s := p - offset) + first >= 0 and words[s + first : s + first + len(key)] == key]
+        starts = [s for s in starts if all(any(words[p : p + len(key)] == key for d in range(-SLACK, SLACK + 1) if (p := s + at + d) >= 0) for at, key in others)]
+        if not starts:
+            return []
+        aligned = {p - t for w in own for p in postings[w] for t in self.at[k][w]}
+        return [(k, max(0, s), max(self._coverage(k, s + d, words) for d in range(-SLACK, SLACK + 1) if s + d in aligned)) for s in starts]
+
+    def _coverage(self, k: int, start: int, words: list[bytes]) -> float:
+        window = Counter(words[max(0, start - SLACK) : max(0, start + len(self.words[k]) + SLACK)])
+        return sum(min(n, window[w]) for w, n in Counter(self.words[k]).items()) / len(self.words[k])
 
 
 def word_idf(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text_col: str = "text") -> dict[bytes, float]:

@@ -51,3 +51,17 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or 0, r.n_words, [(m.label, m.start) for m in r.matches if m.base], r.score) for r in scan_licenses(df).collect())
     assert got == [(0, 6, [("cc-by", 0), ("cc-by", 2), ("cc-by", 4)], 1.0), (1, 0, [], 0.0), (2, 0, [], 0.0), (3, 50003, [("reserved", 50000)], 1.0), (3, 50003, [("reserved", 50000)], 1.0), (4, 4, [("cc-by", 1)], 1.0)]
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_words_elsewhere_take_no_notice_away():
+    # As on sf0.1, where 'license' is not among the four rarest words of the notice.
+    idf = {w: 9.0 for w in (b"2", b"apache", b"0", b"version")} | {w: 1.0 for w in (b"licensed", b"under", b"the", b"license")}
+    index = PositionalIndex(TEMPLATES, idf)
+    scan = lambda text: [(TEMPLATES[k].label, s, c) for k, s, c in index.scan(words_of(text))]
+    far = " word" * 30
+    for text in ("Apache License", "Apache License" + far + " 2 0 version", "version 2 0 0 2" + far + " apache" + far + " Apache License" + far + " licensed under"):
+        assert [(label, c) for label, _, c in scan(text)] == [("apache", 2 / 8)]
+    assert [label for label, _, _ in scan("apache license" + far + " apache license")] == ["apache"] * 2
+    # Rare words all stand outside the key phrase.
+    rare = {w: 9.0 for w in (b"licensed", b"under", b"the", b"version")}
+    assert [TEMPLATES[k].label for k, _, _ in PositionalIndex(TEMPLATES, rare | {b"apache": 2.0, b"license": 1.0, b"2": 3.0, b"0": 3.0}).scan(words_of("Apache License"))] == ["apache"]
