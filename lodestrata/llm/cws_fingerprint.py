@@ -17,12 +17,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +31,12 @@ from lodestrata.llm.common import bound_batches, table
 
 SAMPLES = 128
 SAMPLE_BITS = 16
-#: Words are hashed to so many bits; two words of a pair of documents meet by chance once in 2**17.
-FEATURE_BITS = 17
+#: Words whose draws for weight 1 one worker keeps, at about 660 bytes each; others are drawn anew.
+KEPT_WORDS = 1 << 18
 #: Repeated words whose draws one worker keeps; beyond it they are drawn anew.
 KEPT_HEAVY = 8192
-#: Words whose features one worker keeps, at about 150 bytes each.
-KEPT_FEATURES = 200_000
+#: Words drawn anew, as a multiple of those kept, after which the table is filled afresh.
+MISSED = 4
 #: Documents in a block, about.
 BLOCK_ROWS = 4096
 
@@ -54,85 +54,122 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Features(dict):
-    """Features of words; those of the first words met are kept."""
+class _Slots(dict):
+    """Places in the table of draws: the first words met have one, others -1."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
 
     def __missing__(self, word: str) -> int:
-        feature = (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2654435761 & 0xFFFFFFFF) >> (32 - FEATURE_BITS)
-        if len(self) < KEPT_FEATURES:
-            self[word] = feature
-        return feature
+        if len(self) == self.size:
+            return -1
+        self[word] = slot = len(self)
+        return slot
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
 class Sampler:
     """Consistent weighted samples of bags of words.
 
-    Words are hashed to ``1 << FEATURE_BITS`` features, whose draws for weight 1 fill one table as
-    they are first met; only words of more weight need all three draws, and recent ones are kept.
+    Draws come from a word's 64-bit hash. Those for weight 1 fill one table as words are first met;
+    what finds no place there is drawn anew each time, and after many of these the table is filled
+    afresh. Only words of more weight need all three draws, and recent ones are kept.
     """
 
-    def __init__(self, samples: int = SAMPLES, kept: int = KEPT_HEAVY) -> None:
+    def __init__(self, samples: int = SAMPLES, kept: int = KEPT_HEAVY, kept_words: int = KEPT_WORDS) -> None:
         self.samples = samples
-        self.first = np.empty((1 << FEATURE_BITS, samples), np.float32)
-        self.drawn = np.zeros(1 << FEATURE_BITS, bool)
+        self.first = np.empty((kept_words, samples), np.float32)
+        self.feature = np.empty(kept_words, np.uint64)
         self.heavy = np.empty((kept, 3, samples), np.float32)
-        self.place = np.full(1 << FEATURE_BITS, -1, np.int32)
-        self.held = 0
-        self.features = _Features()
+        self.place = np.empty(kept_words, np.int32)
+        self.slots = _Slots(kept_words)
         self.lane = np.arange(samples)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots.clear()
+        self.place[:] = -1
+        self.drawn = self.held = self.missed = 0
 
     def _draw(self, features: np.ndarray) -> np.ndarray:
         """For each feature r, beta and log c of every sample."""
         with np.errstate(over="ignore"):
-            lanes = np.arange(1, self.samples * 5 + 1, dtype=np.uint64) * _STEP
-            bits = _mix(_mix(features.astype(np.uint64) + np.uint64(1))[:, None] + lanes[None, :])
-        u = ((bits >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-        u = u.reshape(len(features), 5, self.samples)
+            # Each 64 bits give two numbers of 24 bits.
+            lanes = np.arange(1, self.samples * 3 + 1, dtype=np.uint64) * _STEP
+            bits = _mix(_mix(features + np.uint64(1))[:, None] + lanes[None, :])
+        u = np.concatenate([(bits >> np.uint64(40)).astype(np.float32), ((bits[:, : self.samples * 2] >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32)], axis=1)
+        u = ((u + np.float32(0.5)) * np.float32(2.0**-24)).reshape(len(features), 5, self.samples)
         return np.stack([-np.log(u[:, 0] * u[:, 1]), u[:, 4], np.log(-np.log(u[:, 2] * u[:, 3]))], axis=1)
 
-    def _all_draws(self, features: np.ndarray) -> np.ndarray:
-        new = features[self.place[features] < 0]
+    def _light(self, features: np.ndarray) -> np.ndarray:
+        r, beta, log_c = self._draw(features).transpose(1, 0, 2)
+        return log_c + r * beta - r
+
+    def _all_draws(self, slots: np.ndarray, features: np.ndarray) -> np.ndarray:
+        if (slots < 0).any():
+            out = np.empty((len(slots), 3, self.samples), np.float32)
+            kept = slots >= 0
+            out[~kept] = self._draw(features[~kept])
+            if kept.any():
+                out[kept] = self._all_draws(slots[kept], features[kept])
+            return out
+        new = np.flatnonzero(self.place[slots] < 0)
         if len(new):
             if self.held + len(new) > len(self.heavy):
                 self.place[:] = -1
-                self.held, new = 0, features
+                self.held, new = 0, np.arange(len(slots))
             if len(new) > len(self.heavy):
                 return self._draw(features)
             rows = np.arange(self.held, self.held + len(new))
-            self.heavy[rows], self.place[new], self.held = self._draw(new), rows, self.held + len(new)
-        return self.heavy[self.place[features]]
+            self.heavy[rows], self.place[slots[new]], self.held = self._draw(features[new]), rows, self.held + len(new)
+        return self.heavy[self.place[slots]]
 
     def sample(self, bag: Counter) -> np.ndarray | None:
         """16-bit samples, None for an empty bag."""
         if not bag:
             return None
-        features = np.fromiter(map(self.features.__getitem__, bag), np.int64, len(bag))
+        if self.missed > MISSED * len(self.first):
+            self._clear()
+        slots = np.fromiter(map(self.slots.__getitem__, bag), np.int64, len(bag))
         counts = np.fromiter(bag.values(), np.float32, len(bag))
+        features = self.feature[slots]
+        unknown = np.flatnonzero((slots < 0) | (slots >= self.drawn))
+        if len(unknown):
+            words = list(bag)
+            features[unknown] = _hashes([words[k] for k in unknown.tolist()])
+            new = unknown[slots[unknown] >= 0]
+            self.missed += len(unknown) - len(new)
+            self.feature[slots[new]] = features[new]
+            for k in range(0, len(new), 2048):
+                part = new[k : k + 2048]
+                self.first[slots[part]] = self._light(features[part])
+            self.drawn = len(self.slots)
         best, code = None, None
         for k in range(0, len(features), 2048):
-            value, own = self._part(features[k : k + 2048], counts[k : k + 2048])
+            value, own = self._part(slots[k : k + 2048], features[k : k + 2048], counts[k : k + 2048])
             code = own if best is None else np.where(value < best, own, code)
             best = value if best is None else np.minimum(value, best)
         return code
 
-    def _part(self, features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = features[~self.drawn[features]]
-        if len(new):
-            r, beta, log_c = self._draw(new).transpose(1, 0, 2)
-            self.first[new] = log_c + r * beta - r
-            self.drawn[new] = True
+    def _part(self, slots: np.ndarray, features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # With weight 1 the quantised log weight is 0.
         light = np.flatnonzero(counts == 1)
         value = np.full(self.samples, np.inf, np.float32)
-        feature = np.zeros(self.samples, np.int64)
+        feature = np.zeros(self.samples, np.uint64)
         step = np.zeros(self.samples, np.int64)
         if len(light):
-            a = self.first[features[light]]
+            a = self.first[slots[light]]
+            missed = np.flatnonzero(slots[light] < 0)
+            if len(missed):
+                a[missed] = self._light(features[light[missed]])
             least = a.argmin(axis=0)
             value, feature = a[least, self.lane], features[light][least]
         heavy = np.flatnonzero(counts > 1)
         if len(heavy):
-            r, beta, log_c = self._all_draws(features[heavy]).transpose(1, 0, 2)
+            r, beta, log_c = self._all_draws(slots[heavy], features[heavy]).transpose(1, 0, 2)
             t = np.floor(np.log(counts[heavy])[:, None] / r + beta)
             a = log_c - r * (t - beta) - r
             least = a.argmin(axis=0)
@@ -142,7 +179,7 @@ class Sampler:
             feature = np.where(wins, features[heavy][least], feature)
             step = np.where(wins, t[least, self.lane].astype(np.int64), 0)
         with np.errstate(over="ignore"):
-            code = _mix(feature.astype(np.uint64) + step.astype(np.uint64) * _STEP + (self.lane.astype(np.uint64) << np.uint64(32)))
+            code = _mix(feature + step.astype(np.uint64) * _STEP + (self.lane.astype(np.uint64) << np.uint64(32)))
         return value, (code >> np.uint64(64 - SAMPLE_BITS)).astype(np.uint16)
 
 

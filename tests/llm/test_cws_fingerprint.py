@@ -53,3 +53,18 @@ def test_more_words_than_one_part():
     half = cws.Counter({w: n for w, n in bag.items() if int(w[1:]) < 2500})
     assert abs(cws.likeness(sampler.sample(bag), sampler.sample(half)) - generalised_jaccard(bag, half)) < 0.25
     assert (sampler.sample(bag) == cws.Sampler(64).sample(bag)).all()
+
+
+def test_long_documents_without_a_common_word():
+    a, b = (cws.Counter({f"{x}{k}": 1 + k % 2 for k in range(60_000)}) for x in "ab")
+    sampler = cws.Sampler(512)
+    assert cws.likeness(sampler.sample(a), sampler.sample(b)) < 0.01
+    c = cws.Counter({w: n for k, (w, n) in enumerate(a.items()) if k % 2}) + cws.Counter({w: n for k, (w, n) in enumerate(b.items()) if k % 2})
+    assert abs(cws.likeness(sampler.sample(a), sampler.sample(c)) - generalised_jaccard(a, c)) < 0.1
+
+
+def test_words_that_are_not_kept_draw_alike():
+    bags = [cws.Counter({f"w{(k * 7 + d) % 900}": 1 + k % 3 for k in range(200)}) for d in range(30)]
+    small, large = cws.Sampler(64, kept=16, kept_words=50), cws.Sampler(64)
+    for bag in bags + bags:
+        assert (small.sample(bag) == large.sample(bag)).all()
