@@ -270,6 +270,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.join(old.select("file_path", "sha1", F.concat(F.lit("old:"), "sha1").alias("kept")), ["file_path", "sha1"], "left").select("file_path", F.coalesce("kept", F.concat(F.lit("new:"), "sha1")).alias("vector"))
 
 
+_ALL = "h AS (SELECT source || '/' || doc_id AS file_path, sha1(text) AS sha1, substr(sha1(coalesce(text, '')), 1, 1) AS digit FROM documents), old AS (SELECT file_path, CASE WHEN digit IN ('3', '4') THEN 'stale' ELSE sha1 END AS sha1 FROM h WHERE digit NOT IN ('0', '1', '2')), new AS (SELECT file_path, sha1 FROM h WHERE digit NOT IN ('d', 'e', 'f'))"
+
+
+def _all_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states set by the texts' hashes; every document is in at least one."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("file_path"), F.sha1("text").alias("sha1"), F.substring(F.sha1(F.coalesce("text", F.lit(""))), 1, 1).alias("digit"))
+    old = docs.where(~F.col("digit").isin("0", "1", "2")).select("file_path", F.when(F.col("digit").isin("3", "4"), "stale").otherwise(F.col("sha1")).alias("sha1"))
+    return old, docs.where(~F.col("digit").isin("d", "e", "f")).select("file_path", "sha1")
+
+
+@register("incremental_diff_all", f"WITH {_ALL} SELECT coalesce(o.file_path, n.file_path) AS file_path, CASE WHEN n.file_path IS NULL THEN 'removed' WHEN o.file_path IS NULL THEN 'added' WHEN o.sha1 IS NOT DISTINCT FROM n.sha1 THEN 'unchanged' ELSE 'changed' END AS status FROM old o FULL JOIN new n ON o.file_path = n.file_path")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff_files(*_all_versions(spark, sf_dir))
+
+
+@register("vector_reuse_all", f"WITH {_ALL}, vectors AS (SELECT n.file_path, coalesce('old:' || o.sha1, 'new:' || n.sha1) AS vector FROM new n LEFT JOIN old o ON o.file_path = n.file_path AND o.sha1 = n.sha1) SELECT coalesce(h.file_path, v.file_path) AS file_path, vector FROM h FULL JOIN vectors v ON h.file_path = v.file_path")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: those that are removed have no vector."""
+    old, new = _all_versions(spark, sf_dir)
+    kept = new.join(old.select("file_path", "sha1", F.concat(F.lit("old:"), "sha1").alias("kept")), ["file_path", "sha1"], "left").select("file_path", F.coalesce("kept", F.concat(F.lit("new:"), "sha1")).alias("vector"))
+    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("file_path")).join(kept, "file_path", "full_outer")
+
+
 @register("global_order", "SELECT source AS file_path, doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ord FROM documents")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
