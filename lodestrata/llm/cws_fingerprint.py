@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import bound_batches, table
+from lodestrata.llm.common import short, table
 
 SAMPLES = 128
 SAMPLE_BITS = 16
@@ -218,11 +218,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null texts count as empty; null ids stay null; repeated rows give repeated results; other
     columns are ignored; an empty table gives none.
     """
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = sampler_of(samples)
-        for batch in batches:
+        for batch in short(batches):
             yield pd.DataFrame({id_col: batch["id"], "fingerprint": [encode(sampler.sample(bag_of(x))) for x in batch["text"]]})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint string")
@@ -251,7 +250,6 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with itself, an empty table gives no rows. Rows of one id lie in one block, whatever their number.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     floor = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(floor)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lows = _block_bounds(rows, "id", block_rows)
@@ -288,7 +286,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return (None if prev[0] == floor else prev[0], len(prev[1]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(prev[2]), encode(other), likeness(prev[2], other), likeness(prev[2], code))
 
         block = None
-        for batch in batches:
+        for batch in short(batches):
             made = []
             for b, ahead, i, text in zip(batch["block"].tolist(), batch["ahead"].tolist(), batch["id"].tolist(), batch["text"], strict=True):
                 if b != block:

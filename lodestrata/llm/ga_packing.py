@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bound_batches, materialize, table
+from lodestrata.llm.common import materialize, short, table
 from lodestrata.llm.tokens import default_path, encoder_of
 
 CAPACITY = 2048
@@ -166,7 +166,7 @@ def _epoch(rows: DataFrame, capacity: int, epoch: int, tasks: int) -> DataFrame:
     """Rows (block, island, sizes, elites) -> (block, island, sizes, n_bins, elite)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in short(batches):
             made = []
             for block, island, sizes, elites in zip(batch["block"], batch["island"], batch["sizes"], batch["elites"], strict=True):
                 own = [int(s) for s in sizes]
@@ -205,12 +205,11 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: id, piece, start, length, ids_crc32 (and ids)."""
     path = tokenizer or default_path()
-    bound_batches(docs.sparkSession)
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(path)
-        for batch in batches:
+        for batch in short(batches):
             made = []
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 ids = np.append(encoder.ids(text), np.uint32(end_id)).astype("<u4")
@@ -231,8 +230,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = materialize(token_pieces(docs, id_col, text_col, capacity, end_id, tokenizer, with_ids).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     columns = [c for c in pieces.columns if c != "pid"]
     whole = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = pieces.where(F.col("length") < capacity)
-    first = materialize(pack_lengths(short.select("pid", "length"), capacity), "packed")
+    partial = pieces.where(F.col("length") < capacity)
+    first = materialize(pack_lengths(partial.select("pid", "length"), capacity), "packed")
     # Across blocks: bins that stayed poorly filled are packed again together.
     poor = first.groupBy("block", "bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < POOR * capacity).select("block", "bin")
     loose = materialize(first.join(poor, ["block", "bin"], "left_semi").select("pid", "length"), "loose")
@@ -240,7 +239,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = first.join(poor, ["block", "bin"], "left_anti")
     number = lambda odd: (F.col("block") * 2 + odd) * (1 << 24) + F.col("bin")
     placed = kept.select("pid", number(0).alias("sequence_id"), "offset").unionByName(again.select("pid", number(1).alias("sequence_id"), "offset"))
-    return short.join(placed, "pid").select(*columns, "sequence_id", "offset").unionByName(whole)
+    return partial.join(placed, "pid").select(*columns, "sequence_id", "offset").unionByName(whole)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

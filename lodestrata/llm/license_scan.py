@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bound_batches, table
+from lodestrata.llm.common import short, table
 
 #: Words of an ASCII-lowered UTF-8 text: digits, letters and everything beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -151,7 +151,7 @@ def word_idf(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text_co
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         n = 0
-        for batch in batches:
+        for batch in short(batches):
             n += len(batch)
             for text in batch["text"]:
                 seen.update(vocabulary.intersection(words_of(text)))
@@ -171,13 +171,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows give repeated results; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     index = spark.sparkContext.broadcast(PositionalIndex(templates, word_idf(docs, templates, text_col) if idf is None else idf))
     kind = dict(docs.dtypes)[id_col]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
-        for batch in batches:
+        for batch in short(batches):
             n, matches, score = [], [], []
             for text in batch["text"]:
                 words = words_of(text)

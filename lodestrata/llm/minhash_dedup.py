@@ -17,7 +17,9 @@ D = (1 - t) / (1 + t) times two sets' sizes, a pair is linked if its sets differ
   pairs that share one of the rarest differences (a prefix filter) are looked at.
 * Classes beyond distance 2(1 - t) are compared with each other, as far as sketches allow a link;
   by the triangle inequality they can't be linked to any of those within 2(1 - t) unless they lie
-  within 3(1 - t), where the first rule finds them.
+  within 3(1 - t), where the first rule finds them. Where a bucket has more than ``FEW`` of them,
+  not all of its pairs are looked at, but only classes that share one of their rarest shingles,
+  which two similar sets always do.
 
 Nothing is lost by either rule, and a group of many near copies costs one comparison for each.
 At threshold t a pair misses every band with a chance of (1 - t**4)**32: 6e-11 at 0.85, 5e-8 at
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bound_batches, drop_table, materialize, table
+from lodestrata.llm.common import drop_table, materialize, short, table
 from lodestrata.llm.components import connected_components
 
 SAMPLES, BAND_ROWS, BANDS = 256, 4, 32
@@ -47,6 +49,11 @@ MARGIN = 0.15
 WIDE_MARGIN = 0.25
 #: Class ids up to which a list of them is broadcast (8 bytes each, about 30 in a hash table).
 BROADCAST_IDS = 200_000
+#: Pairs of one centre that a task takes, about.
+PART_PAIRS = 256
+#: Classes of a bucket, beyond its centre's reach, up to which all of their sketches are compared. That
+#: costs a class at most so many comparisons; the other way costs it a row for each of its shingles.
+FEW = 64
 
 _MULTIPLY = np.random.default_rng(11).integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -105,81 +112,130 @@ def most_differing_bits(similarity: float) -> int:
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in short(batches):
             n, cls, bands, odd = [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, words)
                 samples = min_samples(s)
                 n.append(len(s))
-                cls.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                cls.append(_class_of(s))
                 bands.append(band_keys(samples) if len(s) else None)
                 odd.append(odd_sketch(samples))
             odd = np.array(odd, np.int64).reshape(-1, len(SKETCH))
-            yield pd.DataFrame({"id": batch["id"], "n": n, "cls": cls, "bands": bands, **{c: odd[:, k] for k, c in enumerate(SKETCH)}})
+            yield pd.DataFrame({"id": batch["id"], "body": batch["body"], "n": n, "cls": cls, "bands": bands, **{c: odd[:, k] for k, c in enumerate(SKETCH)}})
+
+    return docs.mapInPandas(run, f"id {dict(docs.dtypes)['id']}, body long, n long, cls long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
-    return docs.mapInPandas(run, f"id {dict(docs.dtypes)['id']}, n long, cls long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+
+def _class_of(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, n, shingles) of the wanted classes, rows (cls, id) with one document's id for each."""
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
+    """(cls, n, shingles) of the wanted classes, rows (cls, body) with the hash of one text for each.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Texts are found by their hash, never by an id, which may be repeated or null. Of equal texts a
+    task hands on the first alone, so a text that stands everywhere is a row for each task.
+    """
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            own = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-            kept = [k for k, (a, b) in enumerate(zip(own, batch["cls"], strict=True)) if a == b]
-            yield pd.DataFrame({"cls": [own[k] for k in kept], "n": [len(sets[k]) for k in kept], "shingles": [sets[k].view(np.int64) for k in kept]})
+            new = batch[~batch["body"].duplicated() & ~batch["body"].isin(seen)]
+            seen.update(new["body"].tolist())
+            yield new
 
-    return texts.mapInPandas(run, "cls long, n long, shingles array<long>").dropDuplicates(["cls"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[int] = set()
+        for batch in short(batches):
+            cls, n, shingles = [], [], []
+            for want, text in zip(batch["cls"].tolist(), batch["text"], strict=True):
+                own = shingle_set(text, words) if want not in done else ()
+                # Another text of the same hash would be another class.
+                if len(own) and _class_of(own) == want:
+                    done.add(want)
+                    cls.append(want)
+                    n.append(len(own))
+                    shingles.append(own.view(np.int64).tolist())
+            yield pd.DataFrame({"cls": pd.Series(cls, dtype="int64"), "n": pd.Series(n, dtype="int64"), "shingles": pd.Series(shingles, dtype="object")})
+
+    if wanted.count() <= BROADCAST_IDS:
+        texts = docs.select("body", "text").join(F.broadcast(wanted), "body")
+    else:
+        texts = docs.select("body", "text").mapInPandas(distinct, "body long, text string").join(wanted, "body")
+    return texts.select("cls", "text").mapInPandas(run, "cls long, n long, shingles array<long>").dropDuplicates(["cls"])
 
 
 def _possible(a: str, b: str, per_cent: int, margin: float) -> Column:
-    """Lengths and sketches leave the pair a similarity of ``per_cent`` hundredths."""
-    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    """Lengths and sketches, in columns that begin with ``a`` and ``b``, leave the pair a similarity of ``per_cent`` hundredths."""
+    low, high = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
+    differing = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH), F.lit(0))
     return (low * 100 >= high * per_cent) & (differing <= most_differing_bits(per_cent / 100 - margin))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with both sets: nu, su, nv, sv."""
     left = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
     right = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
     return pairs.join(right, "v").join(left, "u")
 
 
+def _around_centres(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for pairs (u, v, parts) of centres u.
+
+    A centre of many pairs has ``parts`` copies of its set, so that no task reads all of its pairs.
+    """
+    centres = pairs.groupBy("u").agg(F.max("parts").alias("parts"))
+    left = centres.join(sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su")), "u")
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    right = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
+    return pairs.withColumn("part", F.pmod(F.xxhash64("v"), "parts")).join(right, "v").join(left, ["u", "part"])
+
+
 def _reaches(per_cent: int) -> Column:
     """The sets of u and v, of which ``common`` are in both, have that similarity: in whole numbers."""
     return F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * per_cent
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    common = F.size(F.array_intersect("su", "sv")).cast("long")
-    return _with_sets(pairs, sets).withColumn("common", common).drop("su", "sv")
+def _buckets(classes: DataFrame, per_cent: int, ring: int) -> DataFrame:
+    """(key, cls, size, u, parts, near): classes that share a band key with others, and the bucket's centre.
 
-
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, cls, size, u): classes that share a band key with others, and the bucket's centre."""
+    ``near``: sketches leave it open that the class lies within the centre's ring. A class has no more
+    pairs than its buckets have members in all, so a part has about ``PART_PAIRS`` at most.
+    """
+    facts = ("n", *SKETCH)
     banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(shared, "key"), "buckets")
+    members = materialize(banded.join(shared, "key"), "members")
     # The class that meets most others is the centre; ties are broken by id.
-    weight = members.groupBy("cls").agg((F.sum("size") * 1024 + F.pmod(F.first("cls"), F.lit(1024))).alias("weight"))
-    centres = members.join(weight, "cls").groupBy("key").agg(F.max_by("cls", "weight").alias("u"))
-    return materialize(members.join(centres, "key"), "buckets")
+    weight = members.groupBy("cls").agg(F.sum("size").alias("met"))
+    centres = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("met", F.pmod("cls", F.lit(1024)).alias("tie"), "cls")).alias("c"))
+    centres = centres.select("key", F.col("c.cls").alias("u"), (F.floor(F.col("c.met") / PART_PAIRS) + 1).alias("parts"))
+    centres = centres.join(classes.select(F.col("cls").alias("u"), *[F.col(c).alias(f"a_{c}") for c in facts]), "u")
+    held = members.join(centres, "key").join(classes.select("cls", *[F.col(c).alias(f"b_{c}") for c in facts]), "cls")
+    # A bucket of two has no pair but this one, so it must be a link; others are placed around the centre.
+    near = F.when(F.col("size") == 2, _possible("a_", "b_", per_cent, MARGIN)).otherwise(_possible("a_", "b_", ring, WIDE_MARGIN))
+    buckets = materialize(held.select("key", "cls", "size", "u", "parts", near.alias("near")), "buckets")
+    drop_table(members)
+    return buckets
+
 
+def _unlinked(pairs: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
+    """Those of the pairs (u, v) that may be links between two components; ``placed``: classes with facts and root."""
+    known = pairs.join(placed.alias("b"), F.col("v") == F.col("b.cls")).join(placed.alias("a"), F.col("u") == F.col("a.cls"))
+    return known.where((F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", per_cent, MARGIN)).select("u", "v")
 
-def _by_difference(stars: DataFrame, sets: DataFrame, facts: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
+
+def _by_difference(stars: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (u, v) around one centre that share a rare difference from it, not both linked to it.
 
-    ``stars``: (u, v, nu, nv, common, linked), v within reach of the centre u.
+    ``stars``: (u, v, parts, nu, nv, d, common, linked), v within reach of the centre u, d their differences.
     """
     alpha = (100 - per_cent) / (100 + per_cent)
-    open_ = stars.groupBy("u").agg(F.count("*").alias("n"), F.min("linked").alias("closed")).where("n > 1 and not closed").select("u")
-    around = _with_sets(stars.join(open_, "u", "left_semi").select("u", "v", "linked"), sets)
-    far = around.select("u", "v", "linked", "nu", "nv", F.concat(F.array_except("su", "sv"), F.array_except("sv", "su")).alias("d"))
-    far = materialize(far.withColumn("size", F.size("d")), "differences")
+    open_ = stars.groupBy("u").agg(F.count("*").alias("n"), F.min("linked").alias("closed"), F.max("parts").alias("parts")).where("n > 1 and not closed")
+    open_ = open_.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    far = stars.withColumn("part", F.pmod(F.xxhash64("v"), "parts")).join(open_, ["u", "part"], "left_semi")
+    far = materialize(far.select("u", "v", "linked", "nu", "nv", "d", F.size("d").alias("size")), "differences")
     each = far.select("u", "v", F.explode("d").alias("x"))
     rarity = each.groupBy("u", "x").agg(F.count("*").alias("n")).where("n > 1")
     # What one class alone has can't be shared, but takes up its places in the prefix: it comes first.
@@ -192,15 +248,27 @@ def _by_difference(stars: DataFrame, sets: DataFrame, facts: DataFrame, roots: D
     least = F.when(F.col("linked"), half).otherwise(F.least(half, to_linked))
     probes = far.select("u", "v", "linked", "size", "nu", "nv").join(ranked, ["u", "v"])
     probes = probes.withColumn("short", reach(half)).select("u", "v", "linked", "short", F.posexplode(F.slice("shared", F.lit(1), reach(least))["x"]).alias("pos", "x"))
-    placed = facts.join(roots, F.col("cls") == F.col("node"), "left").select(*facts.columns, F.coalesce("root", "cls").alias("root"))
     one = probes.where("linked").alias("p")
     other = probes.where("not linked").alias("q")
     near = probes.where("not linked and pos < short")
     met = one.join(other, (F.col("p.u") == F.col("q.u")) & (F.col("p.x") == F.col("q.x"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
     both = near.alias("q").join(near.alias("r"), (F.col("q.u") == F.col("r.u")) & (F.col("q.x") == F.col("r.x")) & (F.col("q.v") < F.col("r.v"))).select(F.col("q.v").alias("a"), F.col("r.v").alias("b"))
-    pairs = met.unionByName(both).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    known = pairs.join(placed.alias("b"), F.col("v") == F.col("b.cls")).join(placed.alias("a"), F.col("u") == F.col("a.cls"))
-    return known.where((F.col("a.root") != F.col("b.root")) & _possible("a", "b", per_cent, MARGIN)).select("u", "v")
+    return met.unionByName(both).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def _by_rarity(classes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (u, v) of ``classes`` (cls, root), not of one root, that share one of their rarest shingles: of two similar sets' rarest
+    ``per_cent`` + 1 shingles off the whole, at least one is in both. A family of texts that have only
+    their frequent shingles in common gives no pairs."""
+    own = sets.join(classes, "cls")
+    each = own.select("cls", F.explode("shingles").alias("x"))
+    rarity = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(rarity, "x").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("shared"))
+    # Shingles of one class alone are the rarest of all, and take up their places.
+    places = F.col("size") - F.ceil(F.col("size") * per_cent / 100 - 1e-9) + 1 - (F.col("size") - F.size("shared"))
+    probes = ranked.join(own.select("cls", "root", F.col("n").alias("size")), "cls").select("cls", "root", "size", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["x"]).alias("x"))
+    fits = F.least("p.size", "q.size") * 100 >= F.greatest("p.size", "q.size") * per_cent
+    return probes.alias("p").join(probes.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.root") != F.col("q.root")) & fits).select(F.col("p.cls").alias("u"), F.col("q.cls").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -212,36 +280,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component's least unless all its ids are null; several rows of one id that is the least
     are all kept. Other columns are ignored; an empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("body"))
     rows = materialize(_sketches(own, words), "sketches")
-    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")]), "classes")
-    facts = classes.select("cls", "n", *SKETCH)
-    buckets = _buckets(classes)
+    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("body").alias("body"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")]), "classes")
     ring, near = max(1, 100 - 3 * (100 - per_cent)), max(1, 100 - 2 * (100 - per_cent))
-
-    pairs = buckets.where("cls <> u").groupBy("u", F.col("cls").alias("v")).agg(F.max("size").alias("size"))
-    reached = pairs.join(facts.alias("b"), F.col("v") == F.col("b.cls")).join(facts.alias("a"), F.col("u") == F.col("a.cls"))
-    # A bucket of two has no pair but this one, so it must be a link; others are placed around the centre.
-    reached = reached.where(F.when(F.col("size") == 2, _possible("a", "b", per_cent, MARGIN)).otherwise(_possible("a", "b", ring, WIDE_MARGIN))).select("u", "v")
-    sets = materialize(_sets(own, classes.select("cls", "id").join(buckets.select("cls").distinct(), "cls", "left_semi"), words), "sets")
-    stars = materialize(_measured(reached, sets).where(_reaches(ring)).withColumn("linked", _reaches(per_cent)), "stars")
-    edges = stars.where("linked").select("u", "v")
-    roots = connected_components(edges)
-
-    candidates = _by_difference(stars, sets, facts, roots, per_cent)
-    beyond = buckets.where("cls <> u and size > 2").select("key", "u", F.col("cls").alias("v")).join(stars.where(_reaches(near)).select("u", "v"), ["u", "v"], "left_anti").select("key", F.col("v").alias("cls"))
-    several = beyond.groupBy("key").agg(F.count("*").alias("left")).where("left > 1").select("key")
-    rest = beyond.join(several, "key", "left_semi").join(facts, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    rest = materialize(rest.drop("node"), "rest")
-    apart = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", per_cent, MARGIN)).select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"))
-    late = materialize(_measured(candidates.unionByName(apart).distinct(), sets).where(_reaches(per_cent)).select("u", "v"), "links")
+    buckets = _buckets(classes, per_cent, ring)
+
+    reached = buckets.where("cls <> u and near").groupBy("u", F.col("cls").alias("v")).agg(F.max("parts").alias("parts"))
+    sets = materialize(_sets(own, classes.select("cls", "body").join(buckets.select("cls").distinct(), "cls", "left_semi"), words), "sets")
+    differing = F.concat(F.array_except("su", "sv"), F.array_except("sv", "su"))
+    stars = _around_centres(reached, sets).select("u", "v", "parts", "nu", "nv", differing.alias("d"))
+    stars = stars.withColumn("common", ((F.col("nu") + F.col("nv") - F.size("d")) / 2).cast("long")).where(_reaches(ring))
+    stars = materialize(stars.withColumn("linked", _reaches(per_cent)), "stars")
+    roots = connected_components(stars.where("linked").select("u", "v"))
+    placed = classes.select("cls", "n", *SKETCH).join(roots, F.col("cls") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
+    placed = materialize(placed, "placed")
+
+    beyond = buckets.where("cls <> u and size > 2").select("key", "u", F.col("cls").alias("v")).join(stars.where(_reaches(near)).select("u", "v"), ["u", "v"], "left_anti")
+    beyond = materialize(beyond.select("key", F.col("v").alias("cls")).join(placed, "cls"), "beyond")
+    # All of one component have no link to be found.
+    left = beyond.groupBy("key").agg(F.count("*").alias("left"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    some = beyond.join(left.where(f"left <= {FEW}").select("key"), "key", "left_semi")
+    crowd = materialize(beyond.join(left.where(f"left > {FEW}").select("key"), "key", "left_semi").select("cls", "root").distinct(), "crowd")
+    apart = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", per_cent, MARGIN)
+    candidates = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
+    if not stars.where("not linked").isEmpty():
+        candidates = candidates.unionByName(_by_difference(stars, per_cent))
+    if not crowd.isEmpty():
+        candidates = candidates.unionByName(_by_rarity(crowd, sets, per_cent))
+    late = _with_sets(_unlinked(candidates.distinct(), placed, per_cent), sets).withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
+    late = materialize(late.where(_reaches(per_cent)).select("u", "v"), "links")
     if not late.isEmpty():
-        roots = connected_components(edges.unionByName(late))
+        # Components that late links join are found on the graph of components alone.
+        place = placed.select("cls", "root")
+        joined = late.join(place.withColumnRenamed("root", "ru"), F.col("u") == F.col("cls")).drop("cls").join(place.withColumnRenamed("root", "rv"), F.col("v") == F.col("cls"))
+        above = connected_components(joined.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        placed = materialize(placed.select("cls", "root").join(above, "root", "left").select("cls", F.coalesce("top", "root").alias("root")), "placed")
     # Sketches, classes and roots are all that the result is read from.
-    drop_table(buckets, sets, stars, rest, late)
+    drop_table(buckets, sets, stars, beyond, crowd, late)
 
-    rooted = classes.select("cls", "id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
+    rooted = classes.select("cls", "id").join(placed.select("cls", "root"), "cls")
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("least")), "root").select("cls", "least")
     found = rows.where("n > 0").join(named, "cls").select("id", "n", "least")
     result = found.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("least")))

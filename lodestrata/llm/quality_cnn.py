@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bound_batches, materialize, table
+from lodestrata.llm.common import materialize, short, table
 
 WIDTH, STRIDE, FILTERS, DIM = 12, 4, 24, 8
 #: In positions of the filters: a chunk is 1,024 bytes and shares 64 with the next.
@@ -187,7 +187,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the least counts. Without any the score is 0.5 everywhere.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     known = materialize(known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"), "labels")
     total, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -211,13 +210,12 @@ def score_documents(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_
     Null and empty texts are scored as texts without bytes. Rows repeat as they are; other columns
     are never inputs; an empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net.dumps())
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = ByteNet.loads(held.value)
-        for texts in batches:
+        for texts in short(batches):
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
     return docs.withColumn("__score", score(F.col(text_col))) if keep else docs.select(id_col, score(F.col(text_col)).alias("score"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bound_batches, shared_dir, table
+from lodestrata.llm.common import shared_dir, short, table
 from lodestrata.llm.tokens import default_path, encoder_of
 
 END_OF_DOCUMENT = 50256
@@ -41,13 +41,12 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     or empty text is its separator alone.
     """
     name = tokenizer or default_path()
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(name, True)
         file = TaskContext.get().partitionId()
         block, held, size, ended = 0, [], 0, []
-        for batch in batches:
+        for batch in short(batches):
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 ids = np.append(encoder.ids(text), np.uint32(end_id)).astype(ID_TYPE)
                 while len(ids):
@@ -86,7 +85,7 @@ def scan_separators(blocks: DataFrame, end_id: int = END_OF_DOCUMENT) -> DataFra
     kind = dict(blocks.dtypes)["file"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in short(batches):
             n, found = [], []
             for data in batch["data"]:
                 ids = np.frombuffer(data or b"", ID_TYPE)

@@ -96,3 +96,46 @@ def test_components_of_paths_and_hubs(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {k: 1000 for k in range(1001, 1200)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("null_id", [False, True])
+def test_many_similar_texts_under_one_id(spark, null_id):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    one = None if null_id else 7
+    rows = [(one, edited(rng, base, 1)) for _ in range(5000)] + [(3, "a text of its own that is like none of the others here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = m.near_duplicates(df).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(one, one, True, 5000), (3, 3, True, 1)], key=repr)
+
+
+def test_a_bucket_of_many_distant_texts(spark, monkeypatch):
+    """5,000 texts of which any two share about 65 % of their shingles, some with a close copy."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(4900):
+        own = base[:96] + [f"x{k}_{i}" for i in range(24)]
+        rows.append((k, " ".join(own)))
+        if k % 49 == 0:
+            rows.append((10_000 + k, " ".join(own[:-1])))
+    seen = []
+    kept = m._unlinked
+    monkeypatch.setattr(m, "_unlinked", lambda pairs, *rest: seen.append(pairs.count()) or kept(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {d: d % 10_000 for d, _ in rows}
+    assert seen and seen[0] < 20 * len(rows)
+
+
+@pytest.mark.parametrize("few", [0, 2, 10**9])
+def test_both_ways_to_distant_pairs_find_all(spark, monkeypatch, few):
+    monkeypatch.setattr(m, "FEW", few)
+    rng = random.Random(few)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        texts.append(edited(rng, base, rng.randrange(3, 14)))
+        texts.append(edited(rng, texts[-1].split(), rng.randrange(0, 3)))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, per_cent=85).collect()}
+    assert got == brute_force(rows, 3, 85)
