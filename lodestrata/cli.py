@@ -95,7 +95,7 @@ def _repos(args) -> None:
     from lodestrata.sources.index import IndexOptions, build_index
     from lodestrata.sources.repos import RepoMirror
 
-    mirror = RepoMirror(token=args.token, workspace=args.workspace)
+    mirror = RepoMirror(_session(), token=args.token, workspace=args.workspace)
     if args.action == "list":
         for r in mirror.list_repos(args.user, args.include_forks):
             print(f"{r['full_name']}  {r['pushed_at']}  {r['size_kb']} KB{'  private' if r['private'] else ''}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.answer import build_prompt, extractive_answer
+from lodestrata.answer import HIT, extract_text, prompt_text
 from lodestrata.functions.parsing import parse_files
 from lodestrata.operators.resolve import build_graph
 from lodestrata.plans.inputs import QuerySet, stated, table, values
@@ -176,11 +176,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(F.col("c.file_path").cast("long").alias("doc_id"), "c.start_line", "c.end_line", F.md5("c.text").alias("text_md5"))
 
 
-HITS = [{"chunk": {"file_path": "a.py", "start_line": 3, "end_line": 4, "kind": "function", "symbol": "f", "language": "python", "docstring": "Does it.", "text": "def f():\n    pass"}, "related": [{"relation": "caller", "symbol": "g", "file": "b.py", "line": 1}], "score": 1.0}, {"chunk": {"file_path": "n.md", "start_line": 1, "end_line": 1, "kind": "block", "symbol": None, "language": "markdown", "docstring": None, "text": "x\n"}, "related": [], "score": 0.5}]
+HITS = [("a.py", 3, 4, "function", "f", "python", "Does it.", "def f():\n    pass", [("caller", "g", "b.py", 1)]), ("n.md", 1, 1, "block", None, "markdown", None, "x\n", [])]
 _EXTRACT = 'Top matches for: why?\n\n[1] a.py:3 — function `f`\n    "Does it."\n    def f():\n        pass\n\n[2] n.md:1 — block\n    x\n\n(extractive mode — configure an LLM for synthesized answers)'
 _PROMPT = "Question: why?\n\nCode snippets:\n[1] a.py:3-4  (function f)\n```python\ndef f():\n    pass\n```\n    related caller: g (b.py:1)\n\n[2] n.md:1-1\n```markdown\nx\n\n```\n\nAnswer the question, citing snippet numbers like [1]."
 
 
 @register("answers", "WITH " + values("want", "mode, answer", [("extractive", _EXTRACT), ("prompt", _PROMPT), ("nothing", "No matching code found for this question.")]) + " SELECT * FROM want")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stated(spark, [("extractive", extractive_answer("why?", HITS)), ("prompt", build_prompt("why?", HITS)), ("nothing", extractive_answer("why?", []))], "mode string, answer string")
+    asked = stated(spark, [("extractive", "why?", HITS), ("prompt", "why?", HITS), ("nothing", "why?", [])], f"mode string, question string, hits array<{HIT}>")
+    question, hits = F.col("question"), F.col("hits")
+    return asked.select("mode", F.when(F.col("mode") == "prompt", prompt_text(question, hits)).otherwise(extract_text(question, hits)).alias("answer"))

@@ -10,14 +10,14 @@ import urllib.request
 import pytest
 
 from lodestrata import cli
-from lodestrata.answer import ModelUnavailable, ask, register_model
+from lodestrata.answer import ModelUnavailable, ask, chat_model, messages_model, register_model
 from lodestrata.engine import CodeIndex
 from lodestrata.http_api import serve
 from lodestrata.sources.index import IndexOptions, build_index, make_embedder
 from lodestrata.sources.repos import RepoError, RepoMirror, read_archives
 from lodestrata.sources.tree import discover
 from lodestrata.streaming.refresh import current_chunks, start_refresh
-from lodestrata.tools import AgentTools
+from lodestrata.tools import AgentTools, serve_stdio
 
 AUTH = '''from app.storage import load_user
 
@@ -99,6 +99,23 @@ def test_answers_and_models(index):
     assert ask(index, "login")["answer"] == "Question:"
 
 
+def test_model_adapters():
+    sent = []
+
+    def post(url, headers, body):
+        sent.append((url, headers, json.loads(body)))
+        if "completions" in url:
+            return 200, b'{"choices": [{"message": {"content": " yes [1] "}}]}'
+        return 200, b'{"content": [{"type": "text", "text": "so"}, {"type": "image"}, {"type": "text", "text": " [2]"}]}'
+
+    assert chat_model(post, "m", "http://here/v1/", "k")("why?") == "yes [1]" and messages_model(post, "m", "http://there", "k")("why?") == "so [2]"
+    assert sent[0][0] == "http://here/v1/chat/completions" and sent[0][1]["Authorization"] == "Bearer k" and sent[0][2]["messages"][-1] == {"role": "user", "content": "why?"}
+    assert sent[1][1]["x-api-key"] == "k" and sent[1][2]["system"]
+    for reply in ((500, b""), (200, b"{}"), (200, b'{"content": [], "stop_reason": "refusal"}'), (200, b"no json")):
+        with pytest.raises(ModelUnavailable):
+            messages_model(lambda *a, reply=reply: reply, "m")("why?")
+
+
 def test_http(index):
     server = serve(index, 0, background=True)
     base = f"http://127.0.0.1:{server.server_address[1]}"
@@ -148,6 +165,16 @@ def test_tools_and_cli(spark, tree, index, capsys):
     assert tools.call("search_code", {"query": "login", "k": 1}) and tools.call("index_stats", {})["symbols"] > 5
     with pytest.raises(ValueError):
         tools.call("_index", {})
+    asked = [{"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "find_callers", "arguments": {"name": "load_user"}}}]
+    asked += [{"id": 4, "method": "tools/call", "params": {"name": "find_callers", "arguments": {"nome": "x"}}}, {"id": 5, "method": "tools/call", "params": {"name": "call"}}, {"id": 6, "method": "none"}]
+    replies = io.StringIO()
+    serve_stdio(spark, tree, io.StringIO("".join(json.dumps({"jsonrpc": "2.0", **a}) + "\n" for a in asked) + "no json\n"), replies)
+    got = [json.loads(line) for line in replies.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, None] and got[0]["result"]["capabilities"] == {"tools": {}}
+    listed = {t["name"]: t["inputSchema"] for t in got[1]["result"]["tools"]}
+    assert len(listed) == 7 and listed["impact_analysis"] == {"type": "object", "properties": {"name": {"type": "string"}, "max_depth": {"type": "integer"}}, "required": ["name"]}
+    assert json.loads(got[2]["result"]["content"][0]["text"])[0]["symbol"] == "authenticate" and not got[2]["result"]["isError"]
+    assert got[3]["result"]["isError"] and [r["error"]["code"] for r in got[4:]] == [-32602, -32601, -32700]
     assert cli.build_parser().parse_args(["repos", "search", "x", "--k", "3"]).k == 3
     hits = index.search("login", k=1)
     cli.show_hits(hits, 2, False)
@@ -173,7 +200,7 @@ def test_repositories(spark, tmp_path):
             return (500, b"") if "/r3/" in url else (200, archive)
         return (200, json.dumps(repos if "page=1" in url else []).encode()) if "/users/me" in url else (404, b"")
 
-    mirror = RepoMirror(token=None, workspace=str(tmp_path / "w"), fetcher=fetcher)
+    mirror = RepoMirror(spark, token=None, workspace=str(tmp_path / "w"), fetcher=fetcher)
     assert [r["full_name"] for r in mirror.list_repos("me")] == ["me/r1", "me/r3"]
     assert mirror.sync("me", include_forks=True) == {"synced": ["me/r1", "me/r2"], "skipped": [], "failed": ["me/r3"]}
     assert mirror.sync("me")["skipped"] == ["me/r1"] and os.path.exists(tmp_path / "w/me__r1/src/a.py") and not os.path.exists(tmp_path / "w/evil.py")
