@@ -51,30 +51,37 @@ def visit_parts(parts: Column) -> Column:
     kept = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")), lambda p: p.isNotNull())
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
     kind = lambda p: F.when(p["type"].isin(*UNIT_TOKENS), p["type"]).otherwise("document")
-    others = F.filter(kept, lambda p: ~is_text(p))
-    tokens = lambda p: F.greatest(F.coalesce(p["units"], F.lit(1)), F.lit(1)) * F.coalesce(*[F.when(kind(p) == k, F.lit(n)) for k, n in UNIT_TOKENS.items()])
-    number = lambda i: F.size(F.filter(F.slice(kept, 1, i + 1), lambda p: ~is_text(p)))
-    pieces = F.transform(kept, lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), number(i).cast("string"), F.lit("|>"))))
+    tokens = lambda p: (F.greatest(F.coalesce(p["units"], F.lit(1)), F.lit(1)) * F.coalesce(*[F.when(kind(p) == k, F.lit(n)) for k, n in UNIT_TOKENS.items()])).cast("long")
+    shown = lambda p, n: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), n.cast("string"), F.lit("|>")))
+    # Attachments are numbered by their place among the attachments alone, which is found once for all of them.
+    places = F.filter(F.transform(kept, lambda p, i: F.when(~is_text(p), i)), lambda i: i.isNotNull())
+    attachments = F.transform(places, lambda i, n: F.struct((n + 1).alias("number"), kind(kept[i]).alias("type"), kept[i]["ref"].alias("ref"), tokens(kept[i]).alias("tokens")))
+    # The stretch of texts before each attachment, the attachment, and the texts after the last one.
+    bounds = F.concat(places, F.array(F.size(kept)))
+    before = lambda n: F.when(n == 0, F.lit(0)).otherwise(F.try_element_at(places, n) + 1)
+    stretch = lambda end, n: F.array_join(F.transform(F.slice(kept, before(n) + 1, end - before(n)), lambda p: shown(p, F.lit(0))), "")
+    pieces = F.transform(bounds, lambda end, n: F.concat(stretch(end, n), F.when(n < F.size(places), shown(F.try_element_at(kept, end + 1), n + 1)).otherwise("")))
     # One text part, the common case, needs no joining of pieces.
     content = F.when((F.size(kept) == 1) & is_text(kept[0]), escape(F.coalesce(kept[0]["text"], F.lit("")))).otherwise(F.array_join(pieces, ""))
-    attachments = F.transform(others, lambda p, i: F.struct((i + 1).alias("number"), kind(p).alias("type"), p["ref"].alias("ref"), tokens(p).cast("long").alias("tokens")))
-    return F.struct(content.alias("content"), attachments.alias("attachments"), F.aggregate(others, F.lit(0).cast("long"), lambda a, p: a + tokens(p)).alias("expanded_tokens"))
+    return F.struct(content.alias("content"), attachments.alias("attachments"), F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"))
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
-    """One row for each conversation: id, n_turns, formatted, loss_mask, attachments, expanded_tokens.
+    """One row for each conversation: id, n_turns, formatted, loss_mask, loss_spans, attachments, expanded_tokens.
 
     ``loss_mask`` has a boolean for each turn, true where its content is trained on, and
     ``loss_spans`` the same as code point ranges of ``formatted``. Null text or role: empty. Turns
-    with equal numbers come in order of role and text, null numbers first; rows with a null id form
+    with equal numbers come in order of role and text (that of the text parts, as it was before
+    escapes, then of the content), null numbers first; rows with a null id form
     one conversation. Repeated rows are repeated turns. An empty table gives no rows.
     """
     content = visit_parts(F.col(parts_col) if parts_col else text_part(F.col(text_col)))
-    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), content.alias("v"))
-    rows = rows.select("conv_id", "turn", "role", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments"), F.col("v.expanded_tokens").alias("tokens"))
+    plain = F.array_join(F.transform(F.filter(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART_TYPE}>")), lambda p: p.isNotNull() & (F.coalesce(p["type"], F.lit("text")) == "text")), lambda p: F.coalesce(p["text"], F.lit(""))), "") if parts_col else F.coalesce(F.col(text_col), F.lit(""))
+    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), plain.alias("plain"), content.alias("v"))
+    rows = rows.select("conv_id", "turn", "role", "plain", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments"), F.col("v.expanded_tokens").alias("tokens"))
     # Where each turn begins in its conversation: a running sum, which a window takes in one pass however long the conversation.
     size = F.length(_head(F.col("role"))) + F.length("content") + len(END)
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments")
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "plain", "content", "attachments")
     start = F.coalesce(F.sum(size).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     placed = rows.select("conv_id", F.struct(start.alias("start"), "role", "content", "attachments", "tokens").alias("t"))
     chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))

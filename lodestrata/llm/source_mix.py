@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, table
+from lodestrata.llm.common import drop_table, materialize, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -77,7 +77,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 def _narrow(rows: DataFrame, cut: DataFrame, key: str, digits: tuple[int, ...]) -> DataFrame:
     """``cut`` with prefix the key at which a source's rows, by key, hold its ``rest`` words; rest what that key must give, n its rows."""
     carried = [c for c in cut.columns if c != "rest"]
-    cut = materialize(cut.withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
+    held = cut = materialize(cut.withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
     bits = shift = sum(digits)
     for digit_bits in digits:
         cut = cut.withColumn("at", F.col("prefix"))
@@ -91,7 +91,9 @@ def _narrow(rows: DataFrame, cut: DataFrame, key: str, digits: tuple[int, ...])
         hit = run.where(F.col("before") < F.col("rest")).groupBy("__src").agg(F.max(F.struct("digit", "before", "n")).alias("hit"))
         cut = cut.drop("at", "n").join(hit, "__src", "left")
         cut = cut.select(*carried, F.when(F.col("hit").isNotNull(), F.col("rest") - F.col("hit.before")).otherwise(F.col("rest")).alias("rest"), F.coalesce("hit.digit", F.lit(-1).cast("long")).alias("prefix"), F.coalesce("hit.n", F.lit(1).cast("long")).alias("n"))
-        cut = materialize(cut, "mix-cut")
+        before, cut = held, materialize(cut, "mix-cut")
+        drop_table(before)
+        held = cut
     return cut
 
 
@@ -104,6 +106,7 @@ def plan_mix(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
     cut = targets.withColumn("words", words).withColumn("epochs", epochs).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size")).drop("words")
     cut = _narrow(rows, cut, "__key", DIGITS)
+    drop_table(rows)
     return cut.select("__src", "source_size", "target", "epochs", F.col("prefix").alias("cut"), F.col("rest").alias("at_cut"), F.col("n").alias("tied"))
 
 
@@ -111,41 +114,68 @@ def _small(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
 
 
+#: Columns that the mix adds to the documents' own; a column of theirs with such a name is left out.
+ADDED = ("__size", "__source_size", "__target", "__taken")
+
+
+def _chosen(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs``, in a struct, beside helper columns (__ key, size, source's plan), and the cut among rows of one key.
+
+    Rows of one key at a source's cut are ordered by a hash of a key of their own, which is written
+    out with them: (__src, __row) of those before or at the cut.
+    """
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
+    keyed = with_keys(held, "__id", "__source", "__text", seed).drop("__id", "__source", "__text")
+    plan = plan_mix(keyed, weights, max_epochs)
+    ours = plan.select("__src", *[F.col(c).alias(f"__{c}") for c in plan.columns if c != "__src"])
+    return keyed.join(_small(ours), "__src"), plan
+
+
+def _split_ties(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` and __here (words of this row that its source's rest takes) and __last (the cut falls within the row).
+
+    Where the cut falls on a single row, or on several of one key, rows come in the order of a hash.
+    """
+    at_cut = (F.col("__key") == F.col("__cut")) & (F.col("__size") > 0)
+    before = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).otherwise(F.lit(0).cast("long"))
+    ties = plan.where("tied > 1").select("__src", F.col("at_cut").alias("rest"))
+    one = rows.withColumn("__here", F.when(at_cut, F.least(F.col("__size"), F.greatest(F.col("__at_cut"), F.lit(0)))).otherwise(before)).withColumn("__last", at_cut)
+    if ties.isEmpty():
+        return one
+    several = at_cut & (F.col("__tied") > 1)
+    # On a single long xxhash64 is one to one, so that no two rows tie again.
+    tied = materialize(rows.where(several).withColumn("__tie", F.xxhash64(F.monotonically_increasing_id())), "mix-tied")
+    last = _narrow(tied.select("__src", "__size", "__tie"), ties, "__tie", TIE_DIGITS).select("__src", F.col("prefix").alias("__end"), F.col("rest").alias("__left"))
+    ends = tied.join(_small(last), "__src")
+    ends = ends.withColumn("__here", F.when(F.col("__tie") < F.col("__end"), F.col("__size")).when(F.col("__tie") == F.col("__end"), F.least("__size", "__left")).otherwise(0).cast("long"))
+    ends = ends.withColumn("__last", F.col("__tie") == F.col("__end")).drop("__tie", "__end", "__left")
+    return one.where(~several).unionByName(ends)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``docs`` and the columns __size, source_size, target and taken (words, repeats counted).
+    """``docs`` and the columns ``ADDED``: size, its source's size and target, and taken (words, repeats counted).
 
     A null text has no words and is never taken from; a null source is a source of its own, last in
-    order. Documents of one id draw the same key: where the cut falls on several of them, what
-    remains is shared evenly, rounded down. An empty table gives no rows.
+    order. Documents of one id draw the same key: where the cut falls on several of them, a hash of
+    a key that is written out with them orders them. So each source's words are taken to the word.
+    An empty table gives no rows. Other columns, whatever their names, stay as they are.
     """
-    keyed = with_keys(docs, id_col, source_col, text_col, seed)
-    plan = _small(plan_mix(keyed, weights, max_epochs))
-    extra = F.when(F.col("__key") < F.col("cut"), F.col("__size")).when(F.col("__key") == F.col("cut"), F.least(F.col("__size"), F.floor(F.col("at_cut") / F.col("tied")))).otherwise(0)
-    return keyed.join(plan, "__src").withColumn("taken", (F.col("epochs") * F.col("__size") + extra).cast("long")).drop("__src", "__key", "epochs", "cut", "at_cut", "tied")
+    rows, plan = _chosen(docs, id_col, source_col, text_col, weights, max_epochs, seed)
+    taken = (F.col("__epochs") * F.col("__size") + F.col("__here")).cast("long").alias("__taken")
+    kept = [F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return _split_ties(rows, plan).select(*kept, "__size", F.col("__source_size"), F.col("__target"), taken)
 
 
 def whole_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs``, each row as often as the mix takes it; the document at a source's cut is taken whole.
 
-    A source so has its target at least, and less than one document more. Where the cut falls on
-    several rows of one key, as without ids, a hash of a key of their own that is written out with
-    them sets their order.
+    A source so has its target at least, and less than one document more. Rows of one key, as
+    without ids, are told apart as in ``mix_sources``.
     """
-    keyed = with_keys(docs, id_col, source_col, text_col, seed)
-    plan = plan_mix(keyed, weights, max_epochs)
-    rows = keyed.where("__size > 0").join(_small(plan), "__src")
-    once = F.col("epochs") + (F.col("__key") <= F.col("cut")).cast("long")
-    ties = plan.where("tied > 1").select("__src", F.col("at_cut").alias("rest"))
-    if ties.isEmpty():
-        taken = rows.withColumn("__copies", once)
-    else:
-        at_cut = (F.col("tied") > 1) & (F.col("__key") == F.col("cut"))
-        # On a single long xxhash64 is one to one, so that no two rows tie again.
-        tied = materialize(rows.where(at_cut).withColumn("__tie", F.xxhash64(F.monotonically_increasing_id())), "mix-tied")
-        last = _narrow(tied.select("__src", "__size", "__tie"), ties, "__tie", TIE_DIGITS).select("__src", F.col("prefix").alias("__last"))
-        tied = tied.join(_small(last), "__src").withColumn("__copies", F.col("epochs") + (F.col("__tie") <= F.col("__last")).cast("long"))
-        taken = rows.where(~at_cut).withColumn("__copies", once).unionByName(tied.drop("__tie", "__last"))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows, plan = _chosen(docs, id_col, source_col, text_col, weights, max_epochs, seed)
+    copies = (F.col("__epochs") + (F.col("__here") > 0).cast("long")).cast("int")
+    every = _split_ties(rows.where("__size > 0"), plan)
+    return every.select("__doc", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).select("__doc.*")
 
 
 def mixed_documents(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
@@ -157,22 +187,23 @@ def mixed_documents(docs: DataFrame, whole: bool = False, **options) -> DataFram
     """
     if whole:
         return whole_documents(docs, **options)
-    text = options.get("text_col", "text")
-    mixed = mix_sources(docs.select(*docs.columns), **options)
-    whole = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size"))).otherwise(0).cast("int")
-    part = F.col("taken") - F.col("__whole") * F.col("__size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__whole")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
-    rows = mixed.withColumn("__whole", whole).withColumn("__part", part).withColumn("__copy", F.explode(copies))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(SPACE + WORD), F.lit(0)), F.lit(1), F.col("__copy").cast("int")), "")
-    out = rows.withColumn(text, F.when(F.col("__copy") > 0, cut).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__copy") > 0, F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    text = options.pop("text_col", "text")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(options.pop("id_col", "doc_id")).alias("doc_id"), F.col(options.pop("source_col", "source")).alias("source"), F.col(text).alias("text"))
+    mixed = mix_sources(held, **options)
+    full = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
+    part = F.col("__taken") - full * F.col("__size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = mixed.select("doc", "text", F.explode(copies).alias("words"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACE + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    new = F.when(F.col("words") > 0, cut).otherwise(F.col("text"))
+    kinds = dict(docs.dtypes)
+    changed = {text: new} | ({"n_chars": F.when(F.col("words") > 0, F.length(new).cast(kinds["n_chars"])).otherwise(F.col("doc.n_chars"))} if "n_chars" in kinds else {})
+    return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+    return mixed.select("doc_id", *[F.col(c).alias(c[2:]) for c in ADDED])
 
 
 ORACLE_SQL = r"""

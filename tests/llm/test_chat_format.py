@@ -59,3 +59,21 @@ def test_edges(spark):
     assert [(t.role, t.text) for t in got[1].back] == [("", ""), ("user", "a"), ("user", "a"), ("user", "b")] and got[1].n_turns == 4
     assert got[None].loss_mask == [True] and got[2].back[0].text == "y" * 300000
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_ties_come_in_order_of_the_text_before_escapes(spark):
+    rows = [(1, 0, "user", "A"), (1, 0, "user", "<|a|>"), (1, None, "user", "last"), (1, 0, "user", None)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(chat.read_back(F.col("formatted")).alias("b")).first().b
+    assert [t.text for t in got] == ["last", "", "<|a|>", "A"]
+
+
+def test_many_attachments_are_numbered_in_order(spark):
+    parts = [("text", f"t{k}", None, 1) if k % 3 else ("image", None, f"r{k}", 2) for k in range(900)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>")
+    row = chat.format_chats(df, parts_col="parts").first()
+    want, n = "", 0
+    for kind, text, _, _ in parts:
+        n += kind == "image"
+        want += text or f"<|image:{n}|>"
+    assert want in row.formatted and [(a.number, a.ref) for a in row.attachments] == [(k + 1, f"r{3 * k}") for k in range(300)]
+    assert row.expanded_tokens == 300 * 512

@@ -26,7 +26,7 @@ def test_stages_one_by_one(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in kept["near_dedup"][0].collect()]
     want = brute_force(rows, 5, 80)
     assert {r.doc_id for r in kept["near_dedup"][1].collect()} == {d for d, (_, least) in want.items() if d == least}
-    plan = {r.doc_id: r.taken for r in mix_sources(kept["mix"][0]).collect()}
+    plan = {r.doc_id: r["__taken"] for r in mix_sources(kept["mix"][0]).collect()}
     words = {r.doc_id: r.n for r in kept["mix"][1].groupBy("doc_id").agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).collect()}
     assert set(words) == {d for d, n in plan.items() if n}
     used, least = check(held.collect(), {})

@@ -29,9 +29,9 @@ def check(df):
         sizes[r.source] = sizes.get(r.source, 0) + n
     targets, taken = fair_targets(sizes), {}
     for r in rows:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source], abs=1e-6)
-        assert 0 <= r.taken <= 3 * r["__size"]
-        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert r["__source_size"] == sizes[r.source] and r["__target"] == pytest.approx(targets[r.source], abs=1e-6)
+        assert 0 <= r["__taken"] <= 3 * r["__size"]
+        taken[r.source] = taken.get(r.source, 0) + r["__taken"]
     return rows, targets, taken
 
 
@@ -40,9 +40,9 @@ def test_documents(spark, sf_dir):
     rows, targets, taken = check(docs)
     assert all(abs(taken[s] - targets[s]) <= 1 for s in targets)
     again = mix.mix_sources(docs.repartition(7)).collect()
-    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+    assert sorted((r.doc_id, r["__taken"]) for r in rows) == sorted((r.doc_id, r["__taken"]) for r in again)
     for r in rows:  # whole epochs come first
-        assert r.taken >= int(targets[r.source] // r.source_size) * r["__size"]
+        assert r["__taken"] >= int(targets[r.source] // r["__source_size"]) * r["__size"]
 
 
 def test_skewed_sources(spark):
@@ -51,17 +51,31 @@ def test_skewed_sources(spark):
     assert all(abs(taken[s] - targets[s]) <= 1 for s in targets) and targets["empty"] == 0
 
 
-def test_repeated_rows_and_columns(spark):
-    rows = [(1, "a b c d", "s", 1)] * 50 + [(2, "é f", "t", 1), (3, "g " * 90, "t", 1)]
-    rows, targets, taken = check(spark.createDataFrame(rows, "doc_id long, text string, source string, target int").drop("target"))
-    assert abs(taken["s"] - targets["s"]) <= 50 and len({r.taken for r in rows if r.source == "s"}) == 1
+NAMES = ("cut", "target", "source_size", "epochs", "tied", "at_cut", "taken", "size", "__size", "__taken", "__key", "__src", "__doc", "doc", "id", "words", "prefix", "rest", "a.b")
+
+
+def test_columns_of_any_name(spark):
+    rows = [(k, f"one two\nthree {k}", "a" if k < 8 else "b", *[f"{n}{k}" for n in NAMES]) for k in range(10)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *NAMES])
+    got = mix.mix_sources(df)
+    assert [c for c in got.columns if c not in mix.ADDED] == [c for c in df.columns if c not in mix.ADDED]
+    assert all(r["cut"] == f"cut{r.doc_id}" and r["a.b"] == f"a.b{r.doc_id}" for r in got.collect())
+    for whole in (False, True):
+        out = mix.mixed_documents(df, whole=whole)
+        assert out.columns == df.columns and all(r["__size"] == f"__size{r.doc_id}" and r["words"] == f"words{r.doc_id}" for r in out.collect())
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "a b c d", "s")] * 50 + [(2, "é f", "t"), (3, "g " * 90, "t")] + [(None, f"n{k} m", "u") for k in range(40)]
+    _, targets, taken = check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in targets)
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix.mix_sources(empty).collect() == []
 
 
 def test_heavier_documents_come_first(spark):
     rows = [(k, ("prosaic wording " if k % 2 else "x y ") * 20, "s") for k in range(4000)] + [(9999, "w " * 400000, "t")]
-    got = mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 't' or taken > 0").collect()
+    got = mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 't' or __taken > 0").collect()
     assert len(got) > 1
     key = mix.with_keys(spark.createDataFrame(rows[:-1], "doc_id long, text string, source string")).groupBy("text").avg("__key").collect()
     by = {r.text[0]: r["avg(__key)"] for r in key}
@@ -72,7 +86,7 @@ def test_mixed_documents(spark):
     rows = [(k, f"one two\nthree {k}", "a" if k < 8 else "b", "en", 0) for k in range(10)] + [(50, None, "b", "en", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     got = mix.mixed_documents(df).collect()
-    plan = {r.doc_id: r.taken for r in mix.mix_sources(df).collect()}
+    plan = {r.doc_id: r["__taken"] for r in mix.mix_sources(df).collect()}
     words = {}
     for r in got:
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
@@ -103,4 +117,4 @@ def test_whole_documents(spark, no_id):
         assert -1 <= words[s] - target <= 25
         assert {times.get(t, 0) for t in full if t and full[t] == s} <= {int(target // sizes[s]), int(target // sizes[s]) + 1}
     if not no_id:
-        assert {r.doc_id for r in got} == {r.doc_id for r in mix.mix_sources(df).collect() if r.taken}
+        assert {r.doc_id for r in got} == {r.doc_id for r in mix.mix_sources(df).collect() if r["__taken"]}
