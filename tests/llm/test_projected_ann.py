@@ -52,7 +52,30 @@ def test_whole_search_equals_scan_when_certain():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(500, 16)) * rng.uniform(0.2, 3, (500, 1))
     ids = rng.permutation(500)
-    found = ann.search_block(ids, v, ids[:10], v[:10], math.sqrt((v**2).sum(axis=1).max()), certainty=1 - 1e-9)
+    greatest, axes = math.sqrt((v**2).sum(axis=1).max()), ann.axes_of(16)
+    tree = ann.ProjectedTree.loads(ann.ProjectedTree.build(ids, v, axes, greatest, leaf=16).dumps())
+    bound = ann.chi_square_quantile(1 - 1e-9, ann.PROJECTIONS)
     for k in range(10):
-        want = sorted(((-float(v[j] @ v[k]), int(ids[j])) for j in range(500) if j != k))[:20]
-        assert sorted(i for q, i, _ in found if q == ids[k]) == sorted(i for _, i in want)
+        want = sorted((-float(v[j] @ v[k]), int(ids[j])) for j in range(500) if j != k)[:20]
+        found, _ = tree.search(int(ids[k]), v[k], v[k] @ axes[:16], greatest, bound)
+        assert sorted(-i for _, i in found) == sorted(i for _, i in want)
+
+
+def test_structure_leaves_most_leaves_unvisited(spark):
+    """Clustered unit vectors: few leaves are visited, and recall stays."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 32))
+    v = centres[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows, stats = ann.searched(df, vector_block=1500)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    products = v[::20] @ v.T
+    hits = 0
+    for k, q in enumerate(range(0, 6000, 20)):
+        products[k, q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-products[k], kind="stable")[:20].tolist()))
+    share = stats.first()
+    assert hits / (20 * 300) >= 0.9 and share.visited < 0.4 * share.leaves
