@@ -19,23 +19,39 @@ def test_query(spark, sf_dir):
     assert rows.columns == ["doc_id", "n_tokens"] and rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
-def test_raw_files(spark, tmp_path):
+@pytest.mark.parametrize("ids", ["<u2", "<u4"])
+def test_raw_files(spark, tmp_path, ids):
     end = t.END_OF_DOCUMENT
     rng = np.random.default_rng(1)
     want = []
     for name, closed in (("a.bin", True), ("b.bin", False), ("c.bin", True)):
-        ids = []
-        for k, n in enumerate(rng.integers(0, 30, 50)):
-            want.append((name, len(ids), int(n), True))
-            ids += [*rng.integers(0, 50000, n), end]
+        held = []
+        for n in rng.integers(0, 30, 50):
+            want.append((name, len(held), int(n), True))
+            # A narrower type would make separators of those beyond it.
+            held += [*(rng.integers(0, 50000, n) if ids == "<u2" else (1 << 16) + end + 0 * rng.integers(0, 9, n)), end]
         if not closed:
-            want.append((name, len(ids), 3, False))
-            ids += [1, 2, 3]
-        (tmp_path / name).write_bytes(np.array(ids, t.ID_TYPE).tobytes())
+            want.append((name, len(held), 3, False))
+            held += [1, 2, 3]
+        (tmp_path / name).write_bytes(np.array(held, ids).tobytes() + b"x" * (name == "c.bin"))
     (tmp_path / "empty.bin").write_bytes(b"")
     for block_ids in (1, 10, 64, 100000):
-        got = t.scan_separators(t.read_raw_files(spark, str(tmp_path), block_ids)).collect()
+        got = t.scan_separators(t.raw_files(spark, str(tmp_path)), ids=ids, block_ids=block_ids).collect()
         assert sorted((r.file.rsplit("/", 1)[1], r.start, r.n_tokens, r.complete) for r in got) == sorted(want)
+        assert sorted(r.ordinal for r in got if r.file.endswith("a.bin")) == list(range(50))
+
+
+def test_a_file_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "one.bin").write_bytes(np.array(([7] * 99 + [t.END_OF_DOCUMENT]) * 1000, "<u2").tobytes())
+    got = t.scan_separators(t.raw_files(spark, str(tmp_path)), block_ids=1000)
+    assert got.where("n_tokens = 99 and start = ordinal * 100").count() == 1000
+    ranges = [f for f in got.inputFiles() if "separators" in f]
+    assert len(ranges) > 1
+
+
+def test_the_vocabulary_sets_the_width():
+    assert t.id_type(65535) == "<u2" and t.id_type(65536) == "<u4" and t.id_type_of(default_path()) == "<u2"
+    assert t.id_type_of(default_path(), end_id=70000) == "<u4"
 
 
 def test_edges(spark):
@@ -45,5 +61,3 @@ def test_edges(spark):
     encoder = Encoder(default_path(), plain=True)
     assert got == sorted(((d or 0), len(encoder.ids(x))) for d, x, _ in rows) and t.END_OF_DOCUMENT not in encoder.ids(rows[3][1])
     assert t.count_tokens(df.limit(0)).collect() == []
-    blocks = spark.createDataFrame([(1, 0, None), (1, 1, bytearray(b"")), (1, 2, bytearray(np.array([5, t.END_OF_DOCUMENT], t.ID_TYPE).tobytes()))], "file long, block long, data binary")
-    assert [(r.start, r.n_tokens) for r in t.scan_separators(blocks).collect()] == [(0, 1)]
