@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Executors are threads of the driver, so its folders are theirs."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and "cluster" not in master
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one of our own only where none is named."""
+    """The cluster's checkpoint folder; a temporary one of our own only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
-#: Paths of this process's intermediate tables, until they are dropped.
+#: Paths of this process's intermediate tables and folders, until they are dropped.
 _written: set[str] = set()
 
 
+def register_folder(spark: SparkSession, path: str) -> str:
+    """Have ``path`` deleted with the intermediate tables, at the latest when the driver ends."""
+    if not _written:
+        atexit.register(_last_cleanup, spark)
+    _written.add(path)
+    return path
+
+
+def _last_cleanup(spark: SparkSession) -> None:
+    # The session may be gone by then, and with it the way to its files.
+    with contextlib.suppress(Exception):
+        cleanup(spark)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
 
-    The table stays until ``drop_table`` or ``cleanup``, as results may be read at any time.
+    The table stays until ``drop_table`` or ``cleanup``, which the driver's end calls, as results may
+    be read at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    _written.add(path)
+    df.write.parquet(register_folder(spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
@@ -59,6 +84,18 @@ def cleanup(spark: SparkSession) -> int:
     return count
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written within are dropped at its end: nothing lazy may read them after."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in _written - before:
+            _delete(spark, path)
+            _written.discard(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out where the input has fewer files than there are cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
