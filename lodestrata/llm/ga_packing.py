@@ -6,7 +6,8 @@ dealt by hash into blocks of a few thousand pieces, and each block is packed by
 algorithm: a chromosome is a list of bins; crossover injects whole well-filled bins of one parent
 into the other, removes bins that now hold duplicates, and best-fits the displaced pieces, largest
 first. Several islands evolve each block from different seeds in tasks of their own; between epochs
-each island's elite migrates to the next island. A block's best packing is kept. Bins that stay
+each island's elite migrates to the next island, in blocks that aren't at their lower bound yet. A
+block's best packing is kept. Bins that stay
 poorly filled at the end are dissolved and packed once more across blocks.
 
 All sizes are bounded: a block by its expected ``BLOCK_PIECES``, a migrant by its block.
@@ -14,6 +15,7 @@ All sizes are bounded: a block by its expected ``BLOCK_PIECES``, a migrant by it
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, short, table
+from lodestrata.llm.common import drop_table, materialize, short, table
 from lodestrata.llm.tokens import default_path, encoder_of
 
 CAPACITY = 2048
@@ -120,10 +122,15 @@ def crossover(sizes: list[int], host: list[list[int]], donor: list[list[int]], c
     return best_fit(sizes, stay, sorted(displaced), capacity)
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer: by volume, and as no two pieces beyond half the capacity share a bin."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+
+
 def evolve(sizes: list[int], start: list[list[list[int]]], capacity: int, seed: int) -> list[list[int]]:
     """Sizes in falling order; ``start``: elites to begin with. The best packing found."""
     rng = np.random.default_rng(seed)
-    least = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+    least = least_bins(sizes, capacity)
     every = list(range(len(sizes)))
     people = [[list(b) for b in one] for one in start] or [best_fit(sizes, [], every, capacity)]
     score = [fitness(sizes, p, capacity) for p in people]
@@ -163,7 +170,7 @@ def _bins(places: np.ndarray) -> list[list[int]]:
 
 
 def _epoch(rows: DataFrame, capacity: int, epoch: int, tasks: int) -> DataFrame:
-    """Rows (block, island, sizes, elites) -> (block, island, sizes, n_bins, elite)."""
+    """Rows (block, island, sizes, elites) -> (block, island, sizes, n_bins, least, elite)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in short(batches):
@@ -171,10 +178,10 @@ def _epoch(rows: DataFrame, capacity: int, epoch: int, tasks: int) -> DataFrame:
             for block, island, sizes, elites in zip(batch["block"], batch["island"], batch["sizes"], batch["elites"], strict=True):
                 own = [int(s) for s in sizes]
                 best = evolve(own, [_bins(np.asarray(e)) for e in elites], capacity, seed=(int(block) * ISLANDS + int(island)) * MIGRATIONS + epoch)
-                made.append((block, island, sizes, len(best), _places(best, len(own))))
-            yield pd.DataFrame(made, columns=["block", "island", "sizes", "n_bins", "elite"])
+                made.append((block, island, sizes, len(best), least_bins(own, capacity), _places(best, len(own))))
+            yield pd.DataFrame(made, columns=["block", "island", "sizes", "n_bins", "least", "elite"])
 
-    return rows.repartition(tasks, "block", "island").mapInPandas(run, "block long, island int, sizes array<int>, n_bins int, elite array<int>")
+    return rows.repartition(tasks, "block", "island").mapInPandas(run, "block long, island int, sizes array<int>, n_bins int, least int, elite array<int>")
 
 
 def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
@@ -187,11 +194,21 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int
     none = F.array().cast("array<array<int>>")
     islands = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes").withColumn("elites", none)
     tasks = blocks * ISLANDS
+    ended = []
     for epoch in range(MIGRATIONS):
         settled = materialize(_epoch(islands, capacity, epoch, tasks), "islands")
-        guests = settled.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
-        islands = settled.join(guests, ["block", "island"]).select("block", "island", "sizes", F.array("elite", "guest").alias("elites"))
-    best = settled.groupBy("block").agg(F.min(F.struct("n_bins", "island", "elite")).alias("b")).select("block", F.col("b.elite").alias("elite"))
+        ended.append(settled)
+        # A block that has as few bins as any packing can have is done; the others' elites migrate.
+        open_ = materialize(settled.groupBy("block").agg(F.min(F.col("n_bins") - F.col("least")).alias("over")).where("over > 0").select("block"), "open")
+        more = epoch + 1 < MIGRATIONS and not open_.isEmpty()
+        if not more:
+            drop_table(open_)
+            break
+        on = settled.join(open_, "block", "left_semi")
+        guests = on.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
+        islands = on.join(guests, ["block", "island"]).select("block", "island", "sizes", F.array("elite", "guest").alias("elites"))
+    every = functools.reduce(DataFrame.unionByName, [e.select("block", "n_bins", "island", "elite") for e in ended])
+    best = every.groupBy("block").agg(F.min(F.struct("n_bins", "island", "elite")).alias("b")).select("block", F.col("b.elite").alias("elite"))
 
     def place(own: pd.DataFrame, packing: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["length", "pid"], ascending=[False, True])

@@ -83,6 +83,71 @@ def test_evolution_beats_best_fit():
     assert better >= 1
 
 
+def triples(n, seed):
+    """Sizes that fill n bins exactly, by threes."""
+    rng = np.random.default_rng(seed)
+    sizes = []
+    for _ in range(n):
+        x, y = rng.integers(400, 900, 2)
+        sizes += [int(x), int(y), int(2048 - x - y)]
+    return sorted(sizes, reverse=True)
+
+
+def on_islands(sizes, seed):
+    starts = [[] for _ in range(ga.ISLANDS)]
+    for epoch in range(ga.MIGRATIONS):
+        best = [ga.evolve(sizes, start, 2048, (seed * ga.ISLANDS + k) * ga.MIGRATIONS + epoch) for k, start in enumerate(starts)]
+        starts = [[best[k], best[k - 1]] for k in range(ga.ISLANDS)]
+    return min(map(len, best))
+
+
+def test_islands_beat_best_fit_on_hard_blocks():
+    """Blocks as large as the query's: fewer bins than best fit, and than as many noisy best fits as packings made."""
+    for seed in range(3):
+        sizes = triples(1300, seed)
+        every = list(range(len(sizes)))
+        plain = len(ga.best_fit(sizes, [], every, 2048))
+        rng = np.random.default_rng(seed)
+        noisy = []
+        for _ in range(ga.ISLANDS * ga.MIGRATIONS * (ga.POPULATION + ga.GENERATIONS)):
+            noise = rng.normal(0, 0.03 * 2048, len(sizes))
+            noisy.append(len(ga.best_fit(sizes, [], sorted(every, key=lambda i: -sizes[i] + noise[i]), 2048)))
+        evolved = on_islands(sizes, seed)
+        assert 1300 <= evolved <= plain - 8 and evolved < min(noisy)
+        assert evolved <= len(ga.evolve(sizes, [], 2048, seed * ga.ISLANDS * ga.MIGRATIONS))
+
+
+def fewest(sizes, capacity):
+    """By trying everything."""
+    best = len(sizes)
+
+    def go(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(sizes):
+            best = len(free)
+            return
+        for i in range(len(free)):
+            if free[i] >= sizes[k] and free[i] not in free[:i]:
+                go(k + 1, free[:i] + [free[i] - sizes[k]] + free[i + 1 :])
+        go(k + 1, free + [capacity - sizes[k]])
+
+    go(0, [])
+    return best
+
+
+def test_tiny_sets_against_the_optimum():
+    rng = np.random.default_rng(3)
+    exact = 0
+    for seed in range(40):
+        sizes = sorted(rng.integers(10, 70, 9).tolist(), reverse=True)
+        got, want = len(ga.evolve(sizes, [], 100, seed)), fewest(sizes, 100)
+        assert want <= got <= want + 1
+        exact += got == want
+    assert exact >= 38
+
+
 @pytest.mark.parametrize(("n", "cuts"), [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (4096, [(0, 2048), (2048, 2048)]), (5000, [(0, 904), (904, 2048), (2952, 2048)])])
 def test_cut_points(n, cuts):
     assert ga.cut_points(n) == cuts
