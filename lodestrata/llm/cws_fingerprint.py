@@ -8,12 +8,13 @@ Jaccard similarity, sum of least over sum of greatest weights. A sample is store
 the likeness is corrected for chance agreement.
 
 Neighbouring documents are compared through one range-partitioned pass over the texts: block
-bounds come from the ids alone, a block's first document is sent to the block before it as well,
+bounds come from ids and the beginnings of texts, a block's first document is sent to the block before it as well,
 and each task streams through its rows with one document kept in hand.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -37,8 +38,10 @@ KEPT_WORDS = 1 << 18
 KEPT_HEAVY = 8192
 #: Words drawn anew, as a multiple of those kept, after which the table is filled afresh.
 MISSED = 4
-#: Documents in a block, about.
-BLOCK_ROWS = 4096
+#: Documents in a block, about; blocks are smaller only as long as they are too few for the cores.
+BLOCK_ROWS, LEAST_ROWS = 65_536, 4096
+#: Code points of a text that bounds between rows of one id hold.
+BOUND_CHARS = 64
 
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -227,12 +230,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
-def _block_bounds(docs: DataFrame, id_col: str, block_rows: int) -> list[int]:
-    """Smallest id of each block, ascending: one number for each block comes to the driver."""
-    ids = docs.select(id_col)
-    blocks = max(1, -(-ids.count() // block_rows))
-    parts = ids.repartitionByRange(blocks, id_col).groupBy(F.spark_partition_id().alias("part")).agg(F.min(id_col).alias("low"))
-    return sorted(r.low for r in parts.toLocalIterator())
+def _block_bounds(docs: DataFrame, block_rows: int) -> list[tuple[int, bytes]]:
+    """Least (key, begin) of each range of them, ascending: a row for each block comes to the driver."""
+    keys = docs.select("key", "begin")
+    n, cores = keys.count(), docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block_rows), min(-(-n // LEAST_ROWS), 2 * cores))
+    parts = keys.repartitionByRange(blocks, "key", "begin").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "begin")).alias("low"))
+    # Spark compares strings by their bytes.
+    return sorted((r.low.key, r.low.begin.encode("utf-8", "surrogatepass")) for r in parts.toLocalIterator())
+
+
+def _blocks(keys: pd.Series, begins: pd.Series, bounds: list[tuple[int, bytes]]) -> tuple[list[int], list[bool]]:
+    """The block of each row, the last whose bound isn't above it, and whether the row is at that bound."""
+    low = np.array([k for k, _ in bounds], np.int64)
+    own = keys.to_numpy()
+    first, last = np.searchsorted(low, own, side="left"), np.searchsorted(low, own, side="right")
+    at, equal = last - 1, np.zeros(len(own), bool)
+    for k in np.flatnonzero(last > first):
+        text = begins.iloc[k].encode("utf-8", "surrogatepass")
+        at[k] = bisect.bisect_right(bounds, text, int(first[k]), int(last[k]), key=lambda b: b[1]) - 1
+        equal[k] = at[k] >= first[k] and bounds[at[k]][1] == text
+    return at.tolist(), equal.tolist()
 
 
 def _slots(spark: SparkSession, n: int) -> list[int]:
@@ -246,35 +264,30 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Each document beside its edited text and the next document, in descending order of id.
 
     Null texts count as empty, a null id comes after all others. Rows of one id follow each other
-    in the order of their texts; the last row's next is the first. A table of one row compares it
-    with itself, an empty table gives no rows. Rows of one id lie in one block, whatever their number.
+    in the order of their texts and are dealt to several tasks if they are many; rows whose texts
+    begin alike as well lie in one block. The last row's next is the first. A table of one row
+    compares it with itself, an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    floor = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(floor)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lows = _block_bounds(rows, "id", block_rows)
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    # Inverted ids ascend where ids descend.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.bitwise_not(number).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("begin", F.substring("text", 1, BOUND_CHARS))
+    bounds = _block_bounds(rows, block_rows)
     out = T.StructType().add(id_col, "long").add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
-    if not lows:
+    if not bounds:
         return spark.createDataFrame([], out)
-    # The first document of a block in descending order is the one with its largest id and, among equal ids, the least text.
-    bounds = np.array(lows, np.int64)
-    n = len(lows)
-
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(n - np.searchsorted(bounds, ids.to_numpy(), side="right"), dtype="int32")
+    n = len(bounds)
+    slots = _slots(spark, n)
 
     @F.pandas_udf("array<long>")
-    def blocks_of(ids: pd.Series) -> pd.Series:
-        own = n - np.searchsorted(bounds, ids.to_numpy(), side="right")
-        first = np.isin(ids.to_numpy(), heads)
-        return pd.Series([[slots[b], slots[(b - 1) % n]] if f else [slots[b]] for b, f in zip(own.tolist(), first.tolist(), strict=True)])
+    def blocks_of(keys: pd.Series, begins: pd.Series) -> pd.Series:
+        own, first = _blocks(keys, begins, bounds)
+        return pd.Series([[slots[b], slots[(b - 1) % n]] if f else [slots[b]] for b, f in zip(own, first, strict=True)])
 
-    slots = _slots(spark, n)
-    heads = np.array([r.high for r in rows.select("id", block_of("id").alias("block")).groupBy("block").agg(F.max("id").alias("high")).toLocalIterator()], np.int64)
-    # A head goes to its own block and, to be looked at only, to the end of the block before; the very first to the very last.
-    dealt = rows.select("id", "text", F.posexplode(blocks_of("id")).alias("ahead", "block"))
-    dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "ahead", F.desc("id"), "text")
+    # A block's first row goes to its own block and, to be looked at only, to the end of the block before; the very first to the very last.
+    dealt = rows.select("id", "key", "text", F.posexplode(blocks_of("key", "begin")).alias("ahead", "block"))
+    dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "ahead", "key", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = sampler_of(samples)
@@ -283,21 +296,23 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def row(prev: tuple, text: str, code: np.ndarray | None) -> tuple:
             new = edited_text(prev[1], text)
             other = sampler.sample(bag_of(new))
-            return (None if prev[0] == floor else prev[0], len(prev[1]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(prev[2]), encode(other), likeness(prev[2], other), likeness(prev[2], code))
+            return (prev[0], len(prev[1]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(prev[2]), encode(other), likeness(prev[2], other), likeness(prev[2], code))
 
         block = None
         for batch in short(batches):
             made = []
-            for b, ahead, i, text in zip(batch["block"].tolist(), batch["ahead"].tolist(), batch["id"].tolist(), batch["text"], strict=True):
+            # A null id can't be told from that of the least number but here.
+            ids = [None if pd.isna(i) else ~key for i, key in zip(batch["id"], batch["key"].tolist(), strict=True)]
+            for b, ahead, i, text in zip(batch["block"].tolist(), batch["ahead"].tolist(), ids, batch["text"], strict=True):
                 if b != block:
                     block, held = b, None
                 if ahead and held is None:
-                    continue  # further rows of the head's id
+                    continue  # further rows at the bound
                 code = sampler.sample(bag_of(text))
                 if held is not None:
                     made.append(row(held, text, code))
                 held = None if ahead else (i, text, code)
-            yield pd.DataFrame(made, columns=out.names)
+            yield pd.DataFrame(made, columns=out.names).astype({id_col: "Int64"})
 
     return dealt.mapInPandas(run, out)
 

@@ -68,3 +68,15 @@ def test_words_that_are_not_kept_draw_alike():
     small, large = cws.Sampler(64, kept=16, kept_words=50), cws.Sampler(64)
     for bag in bags + bags:
         assert (small.sample(bag) == large.sample(bag)).all()
+
+
+def test_many_texts_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(cws, "LEAST_ROWS", 40)
+    rows = [(7, f"{k % 90:03d} text of one id {k}") for k in range(300)] + [(None, f"t{k % 9}") for k in range(60)] + [(9, "first"), (-(1 << 63), "least")]
+    got = cws.compare_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block_rows=40).collect()
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1].encode()))
+    want = []
+    for k, (d, text) in enumerate(order):
+        edited = cws.edited_text(text, order[(k + 1) % len(order)][1])
+        want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=repr) == sorted(want, key=repr)
