@@ -3,14 +3,17 @@
 Templates are word sequences. An inverted index maps each template's rarest words (highest inverse
 document frequency, counted over every document of the corpus) and the rarest of its first key phrase to
 their positions in it. In a file each place of the latter proposes an alignment, which is verified:
-every mandatory key phrase of the template must stand there word for word. This alone decides. The
-postings of the template's further indexed words propose alignments a few words off, and the one
-that covers most of the template gives the score. A template whose words are its only key phrase is
-matched exactly, at all places.
+every mandatory key phrase of the template must stand there word for word. This alone decides, so
+that edits elsewhere in a notice don't hide it. The template's other indexed words are then met by
+relative position, rarest first: each that stands a few words off its place at most shifts the
+alignment for those that follow, as edits do, and counts as support. Of the template's words those
+that stand about where the shifted alignment has them are its coverage, which is the score. A
+template whose words are its only key phrase is matched exactly, at all places.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -26,7 +29,7 @@ from lodestrata.llm.common import short, table
 #: Words of an ASCII-lowered UTF-8 text: digits, letters and everything beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rarest words of a template that the index holds.
-INDEXED_WORDS = 4
+INDEXED_WORDS = 8
 #: Words by which a longer template's parts may be shifted against each other.
 SLACK = 4
 
@@ -61,7 +64,20 @@ NOTICES = (
     Template("mpl", "subject to the terms of the mozilla public license", ("mozilla public license",)),
     Template("unlicense", "free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
-TEMPLATES = BASE + NOTICES
+#: Headers and bodies as they stand in files, longer than a line.
+BODIES = (
+    Template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("terms of the gnu affero general public license",)),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("you may not use this file except in compliance with the license",)),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ("any person or organization obtaining a copy of the software",)),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce the above copyright notice",)),
+    Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain",)),
+    Template("gnu-gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("terms of the gnu general public license",)),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ("terms of the gnu lesser general public license",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("to deal in the software without restriction",)),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", ("if a copy of the mpl was not distributed with this file",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("the authors be held liable for any damages arising from the use of this software",)),
+)
+TEMPLATES = BASE + NOTICES + BODIES
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -133,12 +149,42 @@ class PositionalIndex:
         starts = [s for s in starts if all(any(words[p : p + len(key)] == key for d in range(-SLACK, SLACK + 1) if (p := s + at + d) >= 0) for at, key in others)]
         if not starts:
             return []
-        aligned = {p - t for w in own for p in postings[w] for t in self.at[k][w]}
-        return [(k, max(0, s), max(self._coverage(k, s + d, words) for d in range(-SLACK, SLACK + 1) if s + d in aligned)) for s in starts]
+        found = []
+        for s in starts:
+            shifts = self._shifts(k, s, own, postings)
+            found.append((k, max(0, s), self._coverage(k, s, shifts, words)))
+        return found
 
-    def _coverage(self, k: int, start: int, words: list[bytes]) -> float:
-        window = Counter(words[max(0, start - SLACK) : max(0, start + len(self.words[k]) + SLACK)])
-        return sum(min(n, window[w]) for w, n in Counter(self.words[k]).items()) / len(self.words[k])
+    def _shifts(self, k: int, start: int, own: list[bytes], postings: Mapping[bytes, list[int]]) -> list[tuple[int, int]]:
+        """(position in the template, shift there) of its indexed words found near their places, by position.
+
+        Words are met rarest first; each is looked for around where the nearest word met so far puts it.
+        """
+        (first, key), *_ = self.phrases[k]
+        met = [(first, 0), (first + len(key) - 1, 0)]
+        for w in own:
+            for t in self.at[k][w]:
+                shift = min(met, key=lambda m: abs(m[0] - t))[1]
+                held, place = postings[w], start + t + shift
+                i = bisect.bisect_left(held, place - SLACK)
+                near = [p for p in held[i : i + 2 * SLACK + 1] if p <= place + SLACK]
+                if near:
+                    met.append((t, min(near, key=lambda p: abs(p - place)) - start - t))
+        return sorted(met)
+
+    def _coverage(self, k: int, start: int, shifts: list[tuple[int, int]], words: list[bytes]) -> float:
+        """Share of the template's words that stand within the slack of their shifted places, each place used once."""
+        own, used, at, hits = self.words[k], set(), 0, 0
+        for t, w in enumerate(own):
+            while at + 1 < len(shifts) and shifts[at + 1][0] <= t:
+                at += 1
+            place = start + t + shifts[at][1]
+            for p in sorted(range(max(0, place - SLACK), min(len(words), place + SLACK + 1)), key=lambda p: abs(p - place)):
+                if p not in used and words[p] == w:
+                    used.add(p)
+                    hits += 1
+                    break
+        return hits / len(own)
 
 
 def word_idf(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text_col: str = "text") -> dict[bytes, float]:

@@ -65,3 +65,22 @@ def test_words_elsewhere_take_no_notice_away():
     # Rare words all stand outside the key phrase.
     rare = {w: 9.0 for w in (b"licensed", b"under", b"the", b"version")}
     assert [TEMPLATES[k].label for k, _, _ in PositionalIndex(TEMPLATES, rare | {b"apache": 2.0, b"license": 1.0, b"2": 3.0, b"0": 3.0}).scan(words_of("Apache License"))] == ["apache"]
+
+
+def test_edited_bodies_keep_their_label_and_lose_coverage():
+    index = PositionalIndex(TEMPLATES, {})
+    for template in license_scan.BODIES:
+        k = TEMPLATES.index(template)
+        words = words_of(template.words)
+        score = lambda own, k=k: max((c for j, _, c in index.scan([b"before"] * 30 + own + [b"after"] * 30) if j == k), default=None)
+        key = words_of(template.phrases[0])
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        assert score(words) == 1.0
+        # One word in ten is another, but for the phrase: about so much coverage goes.
+        changed = [b"other" if i % 10 == 3 and not at <= i < at + len(key) else w for i, w in enumerate(words)]
+        lost = sum(a != b for a, b in zip(words, changed, strict=True))
+        assert abs(score(changed) - (1 - lost / len(words))) < 0.08
+        # Words put in shift what follows; the alignment follows them.
+        grown = [x for i, w in enumerate(words) for x in ((b"new", w) if i % 12 == 5 and not at < i < at + len(key) else (w,))]
+        assert score(grown) > 0.75
+        assert score(words[: at + 1] + words[at + 2 :]) is None

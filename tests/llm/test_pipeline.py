@@ -38,13 +38,29 @@ def test_run(spark):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
 
 
+NAMES = ("cut", "target", "__size", "__row", "row", "body", "doc", "cls", "id", "key", "block", "n", "component_id", "__score", "a.b")
+
+
 def test_empty_and_odd_documents(spark):
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "plain words of a text without an id", "en", "s", 5), (3, "plain words of a text", None, None, 21)], "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (odd, odd.limit(0)):
-        held = docs
-        for _, stage in pipeline.STAGES:
-            held = stage(spark, held, SF)
-        assert held.count() >= 0
+    long = " ".join(f"word{k}" for k in range(30_000))
+    texts = [(1, None, None), (2, "", "s"), (None, "plain words of a text without an id", "s"), (3, "plain words of a text", None), (4, long, "s"), (5, "told twice in the very same words", "t"), (5, "told twice in the very same words", "t")]
+    rows = [(i, t, "en", s, len(t or ""), *[f"{n}{k}" for n in NAMES]) for k, (i, t, s) in enumerate(texts)]
+    odd = spark.createDataFrame(rows, ", ".join(f"`{c}` string" if c not in ("doc_id", "n_chars") else f"{c} long" for c in ("doc_id", "text", "lang", "source", "n_chars", *NAMES)))
+    scored = pipeline.quality(spark, odd, SF)
+    assert scored.columns == odd.columns and all(r["a.b"][:3] == "a.b" for r in scored.collect())
+    single = pipeline.near_dedup(spark, odd, SF)
+    assert single.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=repr) == sorted({(i, t) for i, t, _ in texts}, key=repr)
+    taken = pipeline.mix(spark, odd, SF)
+    assert taken.columns == odd.columns
+    got = taken.collect()
+    assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in texts if t} and all(r["cut"] == "cut" + r["a.b"][3:] for r in got)
+    packed = pipeline.pack(spark, odd, SF).groupBy("doc_id").sum("length").collect()
+    assert {r.doc_id for r in packed} == {i for i, _, _ in texts} and {r.doc_id: r[1] for r in packed}[1] == 1
+    held = odd.limit(0)
+    for name, stage in pipeline.STAGES:
+        held = stage(spark, held, SF)
+        assert held.collect() == [] and (name == "pack" or held.columns == odd.columns)
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark):
