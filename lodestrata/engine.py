@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import symbol_node, tokenize
 from lodestrata.operators import dense, fusion, graph, lexical, lookup, ranking
-from lodestrata.sources.index import IndexTables, make_embedder
-from lodestrata.sources.tree import INDEX_DIR
+from lodestrata.sources.index import IndexTables, index_path, make_embedder
 
 RESULT_DECIMALS = 6
 #: Values up to which a query's terms or buckets become a filter on the stored table.
@@ -20,7 +17,7 @@ FILTER_VALUES = 1024
 class CodeIndex:
     def __init__(self, spark: SparkSession, root: str, path: str | None = None) -> None:
         self.spark = spark
-        self.tables = IndexTables.open(spark, path or os.path.join(os.path.abspath(root), INDEX_DIR))
+        self.tables = IndexTables.open(spark, index_path(spark, root, path))
 
     def table(self, name: str) -> DataFrame:
         return self.tables.table(name)
@@ -38,7 +35,7 @@ class CodeIndex:
             _, embed = make_embedder(self.tables.meta["embedder"])
             asked = queries.select("query_id", F.col("text").alias("embed_text"))
             vectors = self._query_vectors(asked, embed)
-            legs["dense"] = lexical.top_candidates(dense.sparse_scores(self._only(self.table("vectors"), "bucket", vectors), vectors, lengths), candidates)
+            legs["dense"] = dense.nearest(self._only(self.table("vectors"), "bucket", vectors), vectors, lengths, candidates)
         ids = lengths.select("ord", "chunk_id")
         fused = fusion.reciprocal_rank_fusion(legs).join(ids, "ord").select("query_id", "chunk_id", "score", "sources")
         return ranking.ranked_hits(fused, self.table("chunks"), self.table("edges"), k, language, kind)

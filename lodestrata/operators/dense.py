@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import DIM, bucket, sign
-from lodestrata.operators.lexical import exploded
+from lodestrata.operators.lexical import CANDIDATES, exploded, top_candidates
+from lodestrata.storage import drop_table, materialize
 
 #: Stored vectors keep so many decimals.
 DECIMALS = 6
@@ -26,16 +27,30 @@ def hashed_vectors(tokens: DataFrame, *ids: str, dim: int = DIM, round_to: int |
     return damped.select(*ids, "bucket", (F.round(w, round_to) if round_to is not None else w).alias("w"))
 
 
-def sparse_scores(vectors: DataFrame, queries: DataFrame, everything: DataFrame, key: str = "ord", round_to: int | None = None) -> DataFrame:
-    """(query_id, key, score) for every row of ``everything``: there is no threshold, so those without a common bucket score 0.
+def nearest(vectors: DataFrame, queries: DataFrame, everything: DataFrame, k: int = CANDIDATES, key: str = "ord", round_to: int | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the best ``k`` rows of ``everything`` for each query, from rank 0, ties to the smaller key.
 
-    ``queries``: (query_id, bucket, w), a handful of query vectors of at most ``DIM`` rows each.
+    There is no threshold: rows without a common bucket score 0, and so come before those that score
+    less. They are looked up only for queries with fewer than ``k`` rows above 0, and of them only
+    the first ``k`` by key, among a beginning of the keys that grows until it holds as many.
+    ``queries``: (query_id, bucket, w), at most ``DIM`` rows each.
     """
-    near = vectors.join(queries.withColumnRenamed("w", "qw"), "bucket").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
-    asked = queries.select("query_id").distinct()
-    score = F.coalesce("score", F.lit(0.0))
-    # Every query ranks every document: the product of the stated queries with the corpus is the definition.
-    return everything.select(key).crossJoin(F.broadcast(asked)).join(near, ["query_id", key], "left").select("query_id", key, (F.round(score, round_to) if round_to is not None else score).alias("score"))
+    score = F.sum(F.col("w") * F.col("qw"))
+    score = (F.round(score, round_to) if round_to is not None else score).alias("score")
+    near = materialize(vectors.join(queries.withColumnRenamed("w", "qw"), "bucket").groupBy("query_id", key).agg(score), "dense")
+    full = near.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = materialize(queries.select("query_id").distinct().join(full, "query_id", "left_anti"), "short")
+    missing = short.count()
+    first = 4 * k
+    while missing:
+        keys = everything.select(key).orderBy(key).limit(first)
+        # As many rows as queries that lack some times ``first``, not times the corpus.
+        apart = materialize(keys.join(short).join(near, ["query_id", key], "left_anti"), "apart")
+        if keys.count() < first or apart.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).count() == missing:
+            return top_candidates(near.unionByName(apart.withColumn("score", F.lit(0.0))), k, key)
+        drop_table(apart)
+        first *= 4
+    return top_candidates(near, k, key)
 
 
 def dot(a: Column, b: Column) -> Column:

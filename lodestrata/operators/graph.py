@@ -55,12 +55,13 @@ def importers_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, types: tuple[str, ...] = IMPACT_TYPES) -> DataFrame:
     """(start) -> (start, node, depth, via): all that depends on a start, at its least depth.
 
-    A node reached at that depth in several ways has the first of ``types`` as its way. Each level
-    is one join with the frontier and one anti-join with what was seen, and is written out, so the
-    plan doesn't grow with depth. There is no limit on the number of rows.
+    A node reached at that depth in several ways has the first of ``types`` as its way. Edges are
+    written once, turned round, so no level computes them again. Each level is one join with the
+    frontier and one anti-join with what was seen, and is written out, so the plan doesn't grow with
+    depth. There is no limit on the number of rows.
     """
     order = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("edge_type"))
-    back = edges.where(F.col("edge_type").isin(*types)).select(F.col("dst").alias("node"), F.col("src").alias("next"), order.alias("way"))
+    back = materialize(edges.where(F.col("edge_type").isin(*types)).select(F.col("dst").alias("node"), F.col("src").alias("next"), order.alias("way")), "impact-edges")
     frontier = seen = starts.select("start", F.col("start").alias("node")).distinct()
     levels = []
     for depth in range(1, max_depth + 1):

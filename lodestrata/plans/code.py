@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.answer import HIT, extract_text, prompt_text
+from lodestrata.engine import CodeIndex
 from lodestrata.functions.parsing import parse_files
 from lodestrata.operators.resolve import build_graph
 from lodestrata.plans.inputs import QuerySet, stated, table, values
+from lodestrata.sources.index import build_tables
+from lodestrata.storage import register_folder, shared_dir, spread
 
 OWN = QuerySet()
 register = OWN.register
@@ -176,6 +181,71 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(F.col("c.file_path").cast("long").alias("doc_id"), "c.start_line", "c.end_line", F.md5("c.text").alias("text_md5"))
 
 
+# -- whole indexes over the documents: each is a text file, and names a function that calls another's ---
+
+_CODE = "'def f' || doc_id || '(x):' || chr(10) || '    return f' || (doc_id // 2) || '(x)' || chr(10)"
+_FILES = f"files AS (SELECT doc_id, 'texts/' || doc_id || '.txt' AS file_path, coalesce(text, '') AS content FROM documents UNION ALL SELECT doc_id, 'code/' || doc_id || '.py', {_CODE} FROM documents)"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("texts/"), "doc_id", F.lit(".txt")).alias("file_path"), F.lit("text").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("def f"), "doc_id", F.lit("(x):\n    return f"), F.floor(F.col("doc_id") / 2), F.lit("(x)\n"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("code/"), "doc_id", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
+
+
+def _built(spark: SparkSession, *states: DataFrame) -> tuple[CodeIndex, dict]:
+    """The index of the last state, refreshed from those before it, and what the last build says of itself."""
+    path = register_folder(spark, f"{shared_dir(spark)}/lodestrata/index-{uuid.uuid4().hex}")
+    for files in states:
+        stats = build_tables(spark, spread(files.withColumn("sha1", F.sha1("content"))), path)
+    return CodeIndex(spark, path, path), stats
+
+
+@register("index_build", f"WITH {_FILES}, w AS (SELECT doc_id, count(*) AS n FROM ({_WINDOWS}) GROUP BY doc_id) SELECT file_path, sha1(content) AS sha1, CASE WHEN file_path LIKE 'code/%' THEN 1 ELSE coalesce(n, 0) END AS chunks, CASE WHEN file_path LIKE 'code/%' THEN 1 ELSE 0 END AS symbols FROM files LEFT JOIN w USING (doc_id)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _built(spark, _texts(spark, sf_dir).unionByName(_functions(spark, sf_dir)))
+    found = index.table("files").select("file_path", "sha1")
+    for name in ("chunks", "symbols"):
+        found = found.join(index.table(name).groupBy("file_path").agg(F.count("*").alias(name)), "file_path", "left")
+    return found.select("file_path", "sha1", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "symbols")])
+
+
+_DIGIT = "substr(sha1(coalesce(text, '')), 1, 1)"
+
+
+@register(
+    "index_rebuild",
+    f"""WITH h AS (SELECT doc_id, {_DIGIT} AS digit FROM documents), w AS (SELECT doc_id, count(*) AS n FROM ({_WINDOWS}) GROUP BY doc_id)
+    SELECT count(*) FILTER (digit IN ('0', '1', '2', '3', '4')) AS files_indexed, count(*) FILTER (digit NOT IN ('0', '1', '2', '3', '4', 'd', 'e', 'f')) AS files_skipped, count(*) FILTER (digit IN ('d', 'e', 'f')) AS files_removed,
+      (coalesce(sum(n) FILTER (digit NOT IN ('d', 'e', 'f')), 0))::BIGINT AS chunks, (coalesce(sum(n) FILTER (digit NOT IN ('d', 'e', 'f')), 0) - 1)::BIGINT AS last_ord FROM h LEFT JOIN w USING (doc_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose hash begins with 0 to 2 are added, with 3 or 4 changed, with d to f removed; the others are carried over."""
+    every = _texts(spark, sf_dir).withColumn("digit", F.substring(F.sha1("content"), 1, 1))
+    old = every.where(~F.col("digit").isin("0", "1", "2")).withColumn("content", F.when(F.col("digit").isin("3", "4"), "before").otherwise(F.col("content")))
+    index, stats = _built(spark, old.drop("digit"), every.where(~F.col("digit").isin("d", "e", "f")).drop("digit"))
+    counts = [F.lit(stats[c]).cast("long").alias(c) for c in ("files_indexed", "files_skipped", "files_removed")]
+    return index.table("chunks").agg(F.count("*").alias("chunks"), F.max("ord").alias("last_ord")).select(*counts, "chunks", "last_ord")
+
+
+@register("index_callers", "SELECT 'f' || a.doc_id AS symbol, 'code/' || a.doc_id || '.py' AS file, 1 AS line FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2 AND a.doc_id <> b.doc_id WHERE b.doc_id = 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, _functions(spark, sf_dir))[0].callers("f1")
+
+
+@register(
+    "index_impact",
+    """WITH RECURSIVE walk(id, depth) AS (SELECT doc_id, 0 FROM documents WHERE doc_id = 1 UNION ALL SELECT doc_id, depth + 1 FROM walk JOIN documents ON doc_id // 2 = id AND doc_id <> id WHERE depth < 4)
+    SELECT depth, 'calls' AS via, 'symbol' AS type, 'f' || id AS name, 'code/' || id || '.py' AS file, 1 AS line FROM walk WHERE depth > 0""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, _functions(spark, sf_dir))[0].impact("f1")
+
+
 HITS = [("a.py", 3, 4, "function", "f", "python", "Does it.", "def f():\n    pass", [("caller", "g", "b.py", 1)]), ("n.md", 1, 1, "block", None, "markdown", None, "x\n", [])]
 _EXTRACT = 'Top matches for: why?\n\n[1] a.py:3 — function `f`\n    "Does it."\n    def f():\n        pass\n\n[2] n.md:1 — block\n    x\n\n(extractive mode — configure an LLM for synthesized answers)'
 _PROMPT = "Question: why?\n\nCode snippets:\n[1] a.py:3-4  (function f)\n```python\ndef f():\n    pass\n```\n    related caller: g (b.py:1)\n\n[2] n.md:1-1\n```markdown\nx\n\n```\n\nAnswer the question, citing snippet numbers like [1]."

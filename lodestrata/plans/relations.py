@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import language_of, module_of
 from lodestrata.operators import graph, lookup, ranking, resolve
 from lodestrata.plans.inputs import QuerySet, stated, table, values
-from lodestrata.sources.index import diff_files, with_order
+from lodestrata.sources.index import diff_files, numbered
 from lodestrata.sources.repos import plan_sync
 from lodestrata.sources.tree import ignored
 
@@ -295,10 +295,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("global_order", "SELECT source AS file_path, doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ord FROM documents")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("file_path").orderBy("doc_id")) - 1
-    return with_order(table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id").withColumn("place", place))
+    return numbered(table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id"), "file_path", "doc_id")
 
 
 REPOS = [("me/a", "t2"), ("me/b", "t1"), ("me/c", "t3"), ("me/d", "t1")]

@@ -74,9 +74,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = materialize(document_tokens(spark, sf_dir), "tokens")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("q"))
     terms = materialize(lexical.query_terms(queries, F.col("q")), "query-terms")
-    # Only the queries' terms become postings.
+    # Only the queries' terms become postings, written once, as they are joined and counted.
     found = lexical.exploded(tokens, "doc_id").join(terms.select("term").distinct(), "term", "left_semi")
-    posts = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    posts = materialize(found.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")
     scores = lexical.bm25_scores(posts, lexical.lengths(tokens, "doc_id"), terms, key="doc_id", round_to=6)
     return lexical.top_candidates(scores, 5, key="doc_id").select("query_id", "doc_id", "score", (F.col("rank") + 1).alias("rank"))
 
@@ -100,11 +100,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.groupBy("doc_id").agg(F.count("*").alias("nnz"), F.round(F.sum(F.col("w") * F.col("w")), 4).alias("norm"))
 
 
-def _dense_scores(tokens: DataFrame) -> DataFrame:
+def _dense_hits(tokens: DataFrame) -> DataFrame:
     spark = tokens.sparkSession
     asked = stated(spark, [(1, QUERY)], "query_id int, text string").select("query_id", tokenize(F.col("text")).alias("tokens"))
     queries = dense.hashed_vectors(asked, "query_id", round_to=None)
-    return dense.sparse_scores(dense.hashed_vectors(tokens, "doc_id"), queries, tokens, key="doc_id", round_to=5)
+    return dense.nearest(dense.hashed_vectors(tokens, "doc_id"), queries, tokens, CANDIDATES, key="doc_id", round_to=5)
 
 
 _DENSE = f"{sql_hashed('tokens', 'doc_id', 'dv', True)}, qtok AS (SELECT query_id, {sql_tokens('text')} AS t FROM queries), {sql_hashed('qtok', 'query_id', 'qv', False)}, ds AS (SELECT d.doc_id, round(coalesce(s, 0), 5) AS score FROM tokens d LEFT JOIN (SELECT doc_id, sum(dv.w * qv.w) AS s FROM dv JOIN qv USING (bucket) GROUP BY doc_id) x ON d.doc_id = x.doc_id), dense AS (SELECT 1 AS query_id, *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM ds)"
@@ -113,13 +113,14 @@ _DENSE = f"{sql_hashed('tokens', 'doc_id', 'dv', True)}, qtok AS (SELECT query_i
 @register("dense_hash_topk", f"WITH {_ONE}, {SQL_DOCUMENT_TOKENS}, {_DENSE} SELECT doc_id, score FROM dense WHERE rank < {CANDIDATES}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = materialize(document_tokens(spark, sf_dir), "tokens")
-    return lexical.top_candidates(_dense_scores(tokens), CANDIDATES, key="doc_id").select("doc_id", "score")
+    return _dense_hits(tokens).select("doc_id", "score")
 
 
 @register("vector_topk", f"SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT {CANDIDATES}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    query = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    # One row at most, whatever the table holds.
+    query = vectors.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
     return vectors.crossJoin(F.broadcast(query)).select("vec_id", F.round(dense.dot(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(CANDIDATES)
 
 
@@ -134,7 +135,7 @@ _FUSED = f"WITH {_ONE}, {SQL_DOCUMENT_TOKENS}, {sql_bm25('queries')}, {_DENSE},
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = materialize(document_tokens(spark, sf_dir), "tokens")
-    legs = {"bm25": lexical.top_candidates(fixed_query_scores(tokens, QUERY), CANDIDATES, key="doc_id"), "dense": lexical.top_candidates(_dense_scores(tokens), CANDIDATES, key="doc_id")}
+    legs = {"bm25": lexical.top_candidates(fixed_query_scores(tokens, QUERY), CANDIDATES, key="doc_id"), "dense": _dense_hits(tokens)}
     fused = fusion.reciprocal_rank_fusion(legs, key="doc_id")
     return fused.select("doc_id", F.round("score", 6).alias("score"), F.array_join("sources", "+").alias("sources"))
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -24,7 +23,7 @@ from lodestrata.functions.text import boosted_terms, embedded_text, tokenize
 from lodestrata.operators import dense, lexical
 from lodestrata.operators.resolve import build_graph
 from lodestrata.sources.tree import INDEX_DIR, read_tree
-from lodestrata.storage import materialize
+from lodestrata.storage import drop_below, is_local, materialize, read_text, replace_text, scratch
 
 TABLES = {"files": schemas.FILES, "chunks": schemas.CHUNKS, "symbols": schemas.SYMBOLS, "nodes": schemas.NODES, "edges": schemas.EDGES, "postings": schemas.POSTINGS, "lengths": schemas.LENGTHS, "vectors": schemas.VECTORS}
 EMBEDDER = f"hashing-{dense.DIM}"
@@ -48,15 +47,14 @@ class IndexTables:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> IndexTables:
-        pointer = os.path.join(path, "CURRENT")
-        if not os.path.exists(pointer):
+        pointer = read_text(spark, f"{path}/CURRENT")
+        if pointer is None:
             raise FileNotFoundError(f"no index at {path}; build one first")
-        with open(pointer, encoding="utf-8") as f:
-            meta = json.load(f)
-        return cls(spark, os.path.join(path, meta["version"]), meta)
+        meta = json.loads(pointer)
+        return cls(spark, f"{path}/{meta['version']}", meta)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"file://{self.path}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
     def export_jsonl(self, name: str, to: str) -> None:
         """A table as one JSON object a row."""
@@ -98,6 +96,19 @@ def with_order(rows: DataFrame) -> DataFrame:
     return rows.join(offsets, "file_path").withColumn("ord", (F.col("offset") + F.col("place")).cast("long")).drop("offset", "place")
 
 
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """``ord`` over all rows in order of ``keys``, from 0: places within each range, and a sum over ranges.
+
+    A key that many rows share, as the first of several, is spread over as many ranges as it fills.
+    """
+    dealt = materialize(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "numbered")
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # One row for each partition.
+    bases = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("base"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(*keys)) - 1
+    return dealt.withColumn("place", place).join(bases, "part").withColumn("ord", (F.col("base") + F.col("place")).cast("long")).drop("part", "base", "place")
+
+
 def _unnested(parsed: DataFrame, column: str) -> DataFrame:
     return parsed.select(F.posexplode(column).alias("place", "row")).select("place", "row.*")
 
@@ -108,17 +119,35 @@ def _carried(rows: DataFrame, unchanged: DataFrame) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(W.partitionBy("file_path").orderBy("ord")) - 1).drop("ord")
 
 
+def index_path(spark: SparkSession, root: str, path: str | None = None) -> str:
+    """Where a tree's index is: a path of any file system that Spark reads, or else the tree's own folder, on a local master only."""
+    if path is None and not is_local(spark):
+        raise ValueError("name a folder for the index that all executors share")
+    path = path or os.path.join(os.path.abspath(root), INDEX_DIR)
+    return path if ":" in path.split("/")[0] or not is_local(spark) else f"file://{os.path.abspath(path)}"
+
+
 def build_index(spark: SparkSession, root: str, path: str | None = None, full: bool = False, options: IndexOptions = IndexOptions()) -> dict:
     """Build or refresh the index of a tree; returns counts of files indexed, skipped and removed, of chunks and symbols, and seconds."""
     began = time.time()
-    root = os.path.abspath(root)
-    path = path or os.path.join(root, INDEX_DIR)
+    stats = build_tables(spark, read_tree(spark, root, options.exclude, options.include), index_path(spark, root, path), full, options, os.path.abspath(root))
+    return stats | {"seconds": round(time.time() - began, 3)}
+
+
+def build_tables(spark: SparkSession, files: DataFrame, path: str, full: bool = False, options: IndexOptions = IndexOptions(), root: str | None = None) -> dict:
+    """The same for a table of files: (file_path, language, content, sha1), file paths not repeated."""
+    with scratch(spark):
+        return _build(spark, files, path, full, options, root)
+
+
+def _build(spark: SparkSession, files: DataFrame, path: str, full: bool, options: IndexOptions, root: str | None) -> dict:
+    began = time.time()
     embedder, embed = make_embedder(options.embedder)
     try:
         old = None if full else IndexTables.open(spark, path)
     except FileNotFoundError:
         old = None
-    read = materialize(read_tree(spark, root, options.exclude, options.include), "tree")
+    read = materialize(files.select("file_path", "language", "content", "sha1"), "tree")
     known = old.table("files").select("file_path", "sha1") if old else spark.createDataFrame([], "file_path string, sha1 string")
     status = materialize(diff_files(known, read), "status")
     # Unreadable files stay listed, have a node, and are neither parsed nor carried over.
@@ -127,8 +156,7 @@ def build_index(spark: SparkSession, root: str, path: str | None = None, full: b
     parsed = materialize(parse_files(changed, options.max_chunk_chars), "parsed")
 
     version = f"v-{uuid.uuid4().hex}"
-    base = f"file://{os.path.join(path, version)}"
-    os.makedirs(os.path.join(path, version), exist_ok=True)
+    base = f"{path}/{version}"
 
     def save(name: str, df: DataFrame, *sort: str) -> DataFrame:
         schema = TABLES[name]
@@ -172,12 +200,7 @@ def build_index(spark: SparkSession, root: str, path: str | None = None, full: b
         "seconds": round(time.time() - began, 3),
     }
     meta = {"version": version, "root": root, "embedder": embedder, "updated_at": int(time.time()), "stats": stats}
-    previous = old.path if old else None
-    with open(pending := os.path.join(path, f".{version}"), "w", encoding="utf-8") as f:
-        json.dump(meta, f)
-    os.replace(pending, os.path.join(path, "CURRENT"))
-    for name in os.listdir(path):
-        # The version before stays for readers that opened it; older ones go.
-        if name.startswith("v-") and name != version and os.path.join(path, name) != previous:
-            shutil.rmtree(os.path.join(path, name), ignore_errors=True)
+    replace_text(spark, f"{path}/CURRENT", json.dumps(meta))
+    # The version before stays for readers that opened it; older ones go.
+    drop_below(spark, path, "v-", {version} | ({old.meta["version"]} if old else set()))
     return stats

@@ -62,9 +62,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file(spark: SparkSession, path: str):
+    """(file system, path) as the JVM has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is no such file."""
+    fs, p = _file(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(p) else None
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name, then rename it in one step over what is there."""
+    pending = f"{path}-{uuid.uuid4().hex}"
+    fs, p = _file(spark, pending)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(p), files.makeQualified(hadoop.Path(path)), over)
+
+
+def drop_below(spark: SparkSession, path: str, prefix: str, keep: set[str]) -> None:
+    """Delete the folders of ``path`` whose names begin with ``prefix`` and aren't to be kept."""
+    fs, p = _file(spark, path)
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith(prefix) and name not in keep:
+            fs.delete(status.getPath(), True)
 
 
 def drop_table(*tables: DataFrame) -> None:
