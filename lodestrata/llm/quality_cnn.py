@@ -31,6 +31,8 @@ TRAIN_ROWS = 2048
 #: Passes over the sample, more where it is small: ``UPDATES`` steps at least.
 EPOCHS, UPDATES, BATCH, RATE = 5, 640, 16, 0.01
 THRESHOLD = 0.3
+#: Bytes whose repetitions are looked for at once, and chunks whose responses a gradient holds at once.
+SYMBOL_STRETCH, GRADIENT_CHUNKS = 1 << 20, 1024
 _PAD = 512
 _BLOCKS = WIDTH // STRIDE
 
@@ -41,15 +43,18 @@ def symbols_of(text: str | None) -> np.ndarray:
     n = len(raw)
     out = np.full(max(WIDTH, -(-n // STRIDE) * STRIDE + WIDTH - STRIDE), _PAD, np.int16)
     out[:n] = raw
-    if n >= 8:
-        code = np.zeros(n - 7, np.uint64)
+    # Whether a byte repeats depends on the bytes just before it and the eight from it on, so long texts go in stretches.
+    for k in range(0, n - 7, SYMBOL_STRETCH):
+        low, high = max(0, k - ECHO_BYTES), min(n - 7, k + SYMBOL_STRETCH)
+        code = np.zeros(high - low, np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(8):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + raw[k : n - 7 + k]
+            for j in range(8):
+                code = code * np.uint64(0x9E3779B97F4A7C15) + raw[low + j : high + j]
         short = (code >> np.uint64(48)).astype(np.uint16)
         order = np.argsort(short, kind="stable")
         same = (short[order[1:]] == short[order[:-1]]) & (code[order[1:]] == code[order[:-1]]) & (order[1:] - order[:-1] <= ECHO_BYTES)
-        out[order[1:][same]] += 256
+        echo = order[1:][same] + low
+        out[echo[echo >= k]] += 256
     return out
 
 
@@ -154,11 +159,17 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> Byt
 
 
 def _gradient(net: ByteNet, symbols: np.ndarray, y: float, grads: dict) -> None:
-    got = net.responses(symbols)
-    starts = net.starts(len(got))
-    at = np.stack([s + got[s : s + CHUNK].argmax(axis=0) for s in starts])
-    lane = np.arange(FILTERS)
-    pooled = np.maximum(got[at, lane] + net.bias, 0)
+    n = len(symbols) // STRIDE - _BLOCKS + 1
+    starts, lane = net.starts(n), np.arange(FILTERS)
+    at, pooled = np.empty((len(starts), FILTERS), np.int64), np.empty((len(starts), FILTERS), np.float32)
+    for k in range(0, len(starts), GRADIENT_CHUNKS):
+        own = starts[k : k + GRADIENT_CHUNKS]
+        end = min(n, own[-1] + CHUNK)
+        got = net.responses(symbols[own[0] * STRIDE : (end + _BLOCKS - 1) * STRIDE])
+        local = own - own[0]
+        most_at = np.stack([s + got[s : s + CHUNK].argmax(axis=0) for s in local])
+        at[k : k + len(own)] = most_at + own[0]
+        pooled[k : k + len(own)] = np.maximum(got[most_at, lane] + net.bias, 0)
     mean, top = pooled.mean(axis=0), pooled.argmax(axis=0)
     most = pooled[top, lane]
     logit = float(mean @ net.mean_w + most @ net.max_w + net.out[0])
@@ -173,11 +184,13 @@ def _gradient(net: ByteNet, symbols: np.ndarray, y: float, grads: dict) -> None:
     c, f = np.nonzero(back)
     if not len(c):
         return
-    g = back[c, f].astype(np.float32)
-    window = symbols[at[c, f][:, None] * STRIDE + np.arange(WIDTH)]
-    x = net.emb[window].reshape(len(c), WIDTH * DIM)
-    np.add.at(grads["conv"].T, f, x * g[:, None])
-    np.add.at(grads["emb"], window.ravel(), (net.conv.T[f] * g[:, None]).reshape(-1, DIM))
+    for k in range(0, len(c), GRADIENT_CHUNKS * FILTERS):
+        some_c, some_f = c[k : k + GRADIENT_CHUNKS * FILTERS], f[k : k + GRADIENT_CHUNKS * FILTERS]
+        g = back[some_c, some_f].astype(np.float32)
+        window = symbols[at[some_c, some_f][:, None] * STRIDE + np.arange(WIDTH)]
+        x = net.emb[window].reshape(len(g), WIDTH * DIM)
+        np.add.at(grads["conv"].T, some_f, x * g[:, None])
+        np.add.at(grads["emb"], window.ravel(), (net.conv.T[some_f] * g[:, None]).reshape(-1, DIM))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, seed: int = 7) -> ByteNet:

@@ -34,6 +34,26 @@ def test_score_equals_plain_evaluation():
         assert abs(net.score(text) - 1 / (1 + np.exp(-logit))) < 1e-5
 
 
+def test_stretches_change_nothing(monkeypatch):
+    texts = ("", "abcdefgh", "ab" * 900, "some text, repeated repeated repeated! " * 90, "é$x" * 1500)
+    whole = [q.symbols_of(t) for t in texts]
+    net = q.ByteNet(4)
+    net.bias[:] = 0.05
+
+    def gradients():
+        grads = [{n: np.zeros_like(getattr(net, n)) for n in net.NAMES} for _ in texts]
+        for symbols, own in zip(whole, grads, strict=True):
+            q._gradient(net, symbols, 1.0, own)
+        return grads
+
+    plain = gradients()
+    monkeypatch.setattr(q, "SYMBOL_STRETCH", 100)
+    monkeypatch.setattr(q, "GRADIENT_CHUNKS", 2)
+    assert all((q.symbols_of(t) == w).all() for t, w in zip(texts, whole, strict=True))
+    for a, b in zip(plain, gradients(), strict=True):
+        assert all(np.allclose(a[n], b[n], rtol=1e-3, atol=1e-5) for n in net.NAMES)
+
+
 def test_gradient_by_differences():
     net = q.ByteNet(1)
     symbols = q.symbols_of("some text, repeated repeated repeated repeated! " * 40)
