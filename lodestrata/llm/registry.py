@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, cws_fingerprint, ga_packing, license_scan, minhash_dedup, projected_ann, quality_cnn, source_mix, token_scan, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, fill_in_middle, ga_packing, license_scan, minhash_dedup, projected_ann, quality_cnn, source_mix, token_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ga_packing": ga_packing.query,
     "op9_url_filter": url_filter.query,
     "op10_token_scan": token_scan.query,
+    "op11_fill_in_middle": fill_in_middle.query,
 }
 ORACLES = {
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op6_source_mix": source_mix.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
