@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import chat_format, cws_fingerprint, fill_in_middle, ga_packing, license_scan, minhash_dedup, projected_ann, quality_cnn, source_mix, token_alignment, token_scan, url_filter
+from lodestrata.llm import chat_format, cws_fingerprint, fill_in_middle, ga_packing, lattice_lm, license_scan, minhash_dedup, projected_ann, quality_cnn, source_mix, token_alignment, token_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_scan": token_scan.query,
     "op11_fill_in_middle": fill_in_middle.query,
     "op12_token_alignment": token_alignment.query,
+    "op13_lattice_lm": lattice_lm.query,
 }
 ORACLES = {
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
