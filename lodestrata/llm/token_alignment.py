@@ -9,8 +9,8 @@ A document's pairs with their multiplicities are its postings. They are shuffled
 side id: within a task's block of documents the postings of one id are a few byte strings, so a row
 stands for many of them. Counts of pairs, and each B id's greatest, are computed where all of the
 id's sums meet. Counts and postings then meet in one stream, sorted by Spark, which spills: an id's
-counts come first, its postings after them are turned into contributions of documents, and these are
-summed by document. An id with many postings is split into slices by block, each with its own copy of
+counts come first, its postings after them are turned into contributions of documents, arrays for each
+block, and these are summed by document. An id with many postings is split into slices by block, each with its own copy of
 the counts; a copy is as long as A's vocabulary at most. Nothing but the number of slices for each B
 id, as many rows as B's vocabulary has at most, is broadcast.
 
@@ -24,6 +24,7 @@ import functools
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -323,7 +324,7 @@ def pair_counts(postings: DataFrame) -> DataFrame:
 
 
 def _contributions(postings: DataFrame, counts: DataFrame, slices: DataFrame) -> DataFrame:
-    """(row, n_best, count_sum): what each B id's postings add to documents, several rows for one."""
+    """(base, doc, n_best, count_sum): what a task's postings add to the documents of a block, as arrays."""
     # Not more rows than B's vocabulary.
     parts = F.broadcast(slices)
     each = counts.join(parts, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.lit(0).alias("kind"), F.array_sort(F.col("pairs")).alias("pairs"))
@@ -333,11 +334,12 @@ def _contributions(postings: DataFrame, counts: DataFrame, slices: DataFrame) ->
     stream = told.unionByName(held).repartition("b", "slice").sortWithinPartitions("b", "slice", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, size = [], 0
+        kept, size = defaultdict(list), 0
         ids = links = np.empty(0, np.int64)
 
         def total() -> pd.DataFrame:
-            return pd.DataFrame(dict(zip(("row", "n_best", "count_sum"), summed(*(np.concatenate(c) for c in zip(*kept, strict=True))), strict=True)))
+            rows = [(base, *(v.tobytes() for v in _summed_parts(own))) for base, own in kept.items()]
+            return pd.DataFrame(rows, columns=["base", "doc", "n_best", "count_sum"])
 
         for batch in batches:
             for kind, own, count, base, n, a, doc, times in zip(*(batch[c] for c in ("kind", "ids", "links", "base", "n", "a", "doc", "times")), strict=True):
@@ -346,15 +348,47 @@ def _contributions(postings: DataFrame, counts: DataFrame, slices: DataFrame) ->
                     continue
                 a, times = _numbers(int(n), a, times)
                 met = links[np.searchsorted(ids, a)]
-                kept.append(summed(int(base) + np.frombuffer(doc, "<u2").astype(np.int64), np.where(met == links.max(), times, 0), times * met))
-                size += len(kept[-1][0])
+                kept[int(base)].append(summed(np.frombuffer(doc, "<u2"), np.where(met == links.max(), times, 0), times * met))
+                size += len(doc) // 2
                 if size > HELD_SUMS:
                     yield total()
-                    kept, size = [], 0
+                    kept, size = defaultdict(list), 0
         if kept:
             yield total()
 
-    return stream.mapInPandas(run, "row long, n_best long, count_sum long")
+    return stream.mapInPandas(run, "base long, doc binary, n_best binary, count_sum binary")
+
+
+def _summed_parts(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def _by_document(contributions: DataFrame) -> DataFrame:
+    """(row, n_best, count_sum): the arrays of one block added up, a row for each of its documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts = None, []
+
+        def total() -> pd.DataFrame:
+            doc, best, count = _summed_parts(parts)
+            return pd.DataFrame({"row": at + doc.astype(np.int64), "n_best": best, "count_sum": count})
+
+        for batch in batches:
+            for base, doc, best, count in zip(batch["base"].tolist(), batch["doc"], batch["n_best"], batch["count_sum"], strict=True):
+                if base != at and parts:
+                    yield total()
+                    parts = []
+                at = base
+                parts.append((np.frombuffer(doc, "<u2"), np.frombuffer(best, np.int64), np.frombuffer(count, np.int64)))
+                # No more of a block is held than it has documents, some times over.
+                if len(parts) == 64:
+                    parts = [_summed_parts(parts)]
+        if parts:
+            yield total()
+
+    by_block = contributions.repartition("base").sortWithinPartitions("base").mapInPandas(run, "row long, n_best long, count_sum long")
+    # A document that runs on into another block has a row of each.
+    return by_block.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_file: str | None = None, piece_file: str | None = None, render: Callable[[str], str] = str) -> DataFrame:
@@ -375,7 +409,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     # A B id has as many pairs as A has ids at most.
     counts = sums.groupBy("b").agg(F.collect_list(F.struct("a", "links")).alias("pairs"))
     slices = postings.groupBy("b").agg(F.ceil(F.sum("n") / SLICE_POSTINGS).cast("int").alias("parts"))
-    added = materialize(_contributions(postings, counts, slices).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")), "contributions")
+    added = materialize(_by_document(_contributions(postings, counts, slices)), "contributions")
     none = F.lit(0).cast("long")
     own = rows.where("row is not null").select("row", "id", *_STATS, "groups").join(added, "row", "left")
     return own.select(F.col("id").alias(id_col), *_STATS, F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups")
