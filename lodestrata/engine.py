@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import symbol_node, tokenize
-from lodestrata.operators import dense, fusion, graph, lexical, lookup, ranking
+from lodestrata.operators import blocks, dense, dense_blocks, fusion, graph, lexical, lookup, ranking
 from lodestrata.sources.index import IndexTables, index_path, make_embedder
+from lodestrata.sources.segments import SegmentStore
+from lodestrata.storage import materialize
 
 RESULT_DECIMALS = 6
 #: Values up to which a query's terms or buckets become a filter on the stored table.
@@ -27,19 +29,22 @@ class CodeIndex:
     def search_many(self, queries: DataFrame, k: int = 10, language: str | None = None, kind: str | None = None, use_dense: bool = True, candidates: int = lexical.CANDIDATES) -> DataFrame:
         """(query_id, text) -> the best ``k`` chunks of each, with score, sources and rank."""
         tokens = queries.select("query_id", tokenize(F.col("text")).alias("tokens"))
-        terms = lexical.query_terms(tokens, F.col("tokens"))
-        lengths = self.table("lengths")
-        posts = self._only(self.table("postings"), "term", terms)
-        legs = {"bm25": lexical.top_candidates(lexical.bm25_scores(posts, lengths, terms), candidates)}
+        legs = {"bm25": self._by_terms(lexical.query_terms(tokens, F.col("tokens")), candidates)}
         if use_dense:
             _, embed = make_embedder(self.tables.meta["embedder"])
             asked = queries.select("query_id", F.col("text").alias("embed_text"))
-            vectors = self._query_vectors(asked, embed)
-            legs["dense"] = dense.nearest(self._only(self.table("vectors"), "bucket", vectors), vectors, lengths, candidates)
-        ids = lengths.select("ord", "chunk_id")
+            legs["dense"] = self._by_vectors(self._query_vectors(asked, embed), candidates)
+        ids = self.table("lengths").select("ord", "chunk_id")
         fused = fusion.reciprocal_rank_fusion(legs).join(ids, "ord").select("query_id", "chunk_id", "score", "sources")
         return ranking.ranked_hits(fused, self.table("chunks"), self.table("edges"), k, language, kind)
 
+    def _by_terms(self, terms: DataFrame, candidates: int) -> DataFrame:
+        posts = self._only(self.table("postings"), "term", terms)
+        return lexical.top_candidates(lexical.bm25_scores(posts, self.table("lengths"), terms), candidates)
+
+    def _by_vectors(self, vectors: DataFrame, candidates: int) -> DataFrame:
+        return dense.nearest(self._only(self.table("vectors"), "bucket", vectors), vectors, self.table("lengths"), candidates)
+
     @staticmethod
     def _only(stored: DataFrame, column: str, asked: DataFrame) -> DataFrame:
         """The rows whose ``column`` is asked for, as a filter that reaches the scan while the values are few.
@@ -104,3 +109,20 @@ class CodeIndex:
         row["chunks_by_language"] = {r.language: r.chunks for r in lookup.language_counts(self.table("chunks")).collect()}
         row["embedder"] = self.tables.meta["embedder"]
         return row
+
+
+class SegmentedIndex(CodeIndex):
+    """The same over an index that is kept as segments; blocks of postings and vectors are skipped by their bounds.
+
+    Scores of both legs are rounded, so that equal texts tie wherever they lie.
+    """
+
+    def __init__(self, store: SegmentStore) -> None:
+        self.spark, self.tables = store.spark, store
+
+    def _by_terms(self, terms: DataFrame, candidates: int) -> DataFrame:
+        held = self.tables.posting_blocks()
+        return blocks.best(blocks.search(held, materialize(terms, "query-terms"), candidates, RESULT_DECIMALS), held, candidates, "ord")
+
+    def _by_vectors(self, vectors: DataFrame, candidates: int) -> DataFrame:
+        return dense_blocks.nearest(self.tables.rows("vectors"), vectors, candidates, round_to=RESULT_DECIMALS)
