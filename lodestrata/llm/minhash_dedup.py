@@ -14,7 +14,9 @@ D = (1 - t) / (1 + t) times two sets' sizes, a pair is linked if its sets differ
 * Classes within distance 3(1 - t) of the centre are described by their differences from it: two
   sets differ in exactly those shingles in which their differences differ. If one of two isn't
   linked to the centre, a link needs more than half of the other's differences in common, so only
-  pairs that share one of the rarest differences (a prefix filter) are looked at.
+  pairs that share one of the rarest differences (a prefix filter) are looked at. Texts that fill one
+  template share even those: such classes are held against each other in blocks, by sketches first. That
+  costs time with the square of their number, about 10 core seconds for ten thousand, but no rows.
 * Classes beyond distance 2(1 - t) are compared with each other, as far as sketches allow a link;
   by the triangle inequality they can't be linked to any of those within 2(1 - t) unless they lie
   within 3(1 - t), where the first rule finds them. Where a bucket has more than ``FEW`` of them,
@@ -54,6 +56,10 @@ PART_PAIRS = 256
 #: Classes of a bucket, beyond its centre's reach, up to which all of their sketches are compared. That
 #: costs a class at most so many comparisons; the other way costs it a row for each of its shingles.
 FEW = 64
+#: Classes that may share a difference, or a shingle, for it to be looked up by; what more of them share tells little.
+HOT = 16
+#: Classes of one centre in a block; blocks of those with common differences are held against each other.
+BLOCK_CLASSES = 2048
 
 _MULTIPLY = np.random.default_rng(11).integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -226,10 +232,30 @@ def _unlinked(pairs: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
     return known.where((F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", per_cent, MARGIN)).select("u", "v")
 
 
-def _by_difference(stars: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (u, v) around one centre that share a rare difference from it, not both linked to it.
+def _facts(placed: DataFrame) -> DataFrame:
+    """(v, root, n, sketch) of classes, for conditions of joins."""
+    return placed.select(F.col("cls").alias("v"), "root", F.col("n").alias("nv"), F.array(*SKETCH).alias("sketch"))
+
+
+def _open_pair(a: str, b: str, per_cent: int) -> Column:
+    """Two rows with facts may be a link between two components: what a join tests before it gives a row."""
+    low, high = F.least(f"{a}.nv", f"{b}.nv"), F.greatest(f"{a}.nv", f"{b}.nv")
+    differing = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(len(SKETCH))), F.lit(0))
+    return (F.col(f"{a}.root") != F.col(f"{b}.root")) & (low * 100 >= high * per_cent) & (differing <= most_differing_bits(per_cent / 100 - MARGIN))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
+def _by_difference(stars: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (u, v) around one centre that may be links, not both linked to it.
 
     ``stars``: (u, v, parts, nu, nv, d, common, linked), v within reach of the centre u, d their differences.
+    Pairs share one of either's rarest differences. One that no more than ``HOT`` classes have is
+    looked up; classes with a commoner one among their rarest, as of texts that fill one template, are
+    held against each other in blocks, by their sketches and then their differences, so that only links
+    are rows.
     """
     alpha = (100 - per_cent) / (100 + per_cent)
     open_ = stars.groupBy("u").agg(F.count("*").alias("n"), F.min("linked").alias("closed"), F.max("parts").alias("parts")).where("n > 1 and not closed")
@@ -246,29 +272,64 @@ def _by_difference(stars: DataFrame, per_cent: int) -> DataFrame:
     alone = F.col("size") - F.size("shared")
     reach = lambda least: F.greatest(F.col("size") - F.greatest(least, F.lit(1)) + 1 - alone, F.lit(0)).cast("int")
     least = F.when(F.col("linked"), half).otherwise(F.least(half, to_linked))
+    # A class's rarest differences, those that pairs of two open classes need first.
     probes = far.select("u", "v", "linked", "size", "nu", "nv").join(ranked, ["u", "v"])
-    probes = probes.withColumn("short", reach(half)).select("u", "v", "linked", "short", F.posexplode(F.slice("shared", F.lit(1), reach(least))["x"]).alias("pos", "x"))
-    one = probes.where("linked").alias("p")
-    other = probes.where("not linked").alias("q")
-    near = probes.where("not linked and pos < short")
-    met = one.join(other, (F.col("p.u") == F.col("q.u")) & (F.col("p.x") == F.col("q.x"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
-    both = near.alias("q").join(near.alias("r"), (F.col("q.u") == F.col("r.u")) & (F.col("q.x") == F.col("r.x")) & (F.col("q.v") < F.col("r.v"))).select(F.col("q.v").alias("a"), F.col("r.v").alias("b"))
-    return met.unionByName(both).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-
-
-def _by_rarity(classes: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (u, v) of ``classes`` (cls, root), not of one root, that share one of their rarest shingles: of two similar sets' rarest
-    ``per_cent`` + 1 shingles off the whole, at least one is in both. A family of texts that have only
-    their frequent shingles in common gives no pairs."""
-    own = sets.join(classes, "cls")
+    probes = materialize(probes.select("u", "v", "linked", reach(half).alias("short"), F.slice("shared", F.lit(1), reach(least)).alias("rare")), "probes")
+    facts = _facts(placed)
+
+    cold = probes.select("u", "v", "linked", "short", F.posexplode(F.filter("rare", lambda r: r["n"] <= HOT)["x"]).alias("pos", "x")).join(facts, "v")
+    one, other, near = cold.where("linked"), cold.where("not linked"), cold.where("not linked and pos < short")
+    meet = lambda a, b, order: _ordered(a.alias("p").join(b.alias("q"), (F.col("p.u") == F.col("q.u")) & (F.col("p.x") == F.col("q.x")) & order & _open_pair("p", "q", per_cent)), "p.v", "q.v")
+    pairs = meet(one, other, F.lit(True)).unionByName(meet(near, near, F.col("p.v") < F.col("q.v")))
+
+    common = probes.where(F.exists("rare", lambda r: r["n"] > HOT)).select("u", "v")
+    if common.isEmpty():
+        return pairs
+    blocks = common.groupBy("u").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"))
+    held = far.select("u", "v", "linked", "d").join(common.join(blocks, "u"), ["u", "v"]).join(facts, "v").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    held = materialize(held, "templates")
+    first = held.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    second = held.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    # Two sets differ in exactly those shingles in which their differences from the centre differ.
+    differing = F.size("p.d") + F.size("q.d") - 2 * F.size(F.array_intersect("p.d", "q.d"))
+    both = F.col("p.nv") + F.col("q.nv")
+    link = (both - differing) * 100 >= (both + differing) * per_cent
+    block = (F.col("p.u") == F.col("q.u")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
+    once = ((F.col("p.i") < F.col("p.j")) | (F.col("p.v") < F.col("q.v"))) & ~(F.col("p.linked") & F.col("q.linked"))
+    return pairs.unionByName(_ordered(first.alias("p").join(second.alias("q"), block & once & _open_pair("p", "q", per_cent) & link), "p.v", "q.v"))
+
+
+def _by_rarity(crowd: DataFrame, sets: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (u, v) of ``crowd`` (key, cls, inner), not of one root, that may be links.
+
+    Of two similar sets' rarest ``per_cent`` + 1 shingles off the whole, at least one is in both. Where no
+    more than ``HOT`` classes have it, it is looked up; classes with a commoner one are held against those
+    of their buckets that have one too, in blocks, by their sketches.
+    """
+    own = sets.join(crowd.groupBy("cls").agg(F.min("inner").alias("inner")), "cls")
     each = own.select("cls", F.explode("shingles").alias("x"))
     rarity = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(rarity, "x").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("shared"))
     # Shingles of one class alone are the rarest of all, and take up their places.
     places = F.col("size") - F.ceil(F.col("size") * per_cent / 100 - 1e-9) + 1 - (F.col("size") - F.size("shared"))
-    probes = ranked.join(own.select("cls", "root", F.col("n").alias("size")), "cls").select("cls", "root", "size", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["x"]).alias("x"))
-    fits = F.least("p.size", "q.size") * 100 >= F.greatest("p.size", "q.size") * per_cent
-    return probes.alias("p").join(probes.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.root") != F.col("q.root")) & fits).select(F.col("p.cls").alias("u"), F.col("q.cls").alias("v"))
+    rare = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
+    probes = materialize(ranked.join(own.select("cls", "inner", F.col("n").alias("size")), "cls").select(F.col("cls").alias("v"), "inner", rare.alias("rare")), "probes")
+    # Both within reach of their bucket's centre: looked at by their differences.
+    new = ~(F.col("p.inner") & F.col("q.inner")) & _open_pair("p", "q", per_cent)
+    facts = _facts(placed)
+    cold = probes.select("v", "inner", F.explode(F.filter("rare", lambda r: r["df"] <= HOT)["x"]).alias("x")).join(facts, "v")
+    pairs = _ordered(cold.alias("p").join(cold.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.v") < F.col("q.v")) & new), "p.v", "q.v")
+    common = probes.where(F.exists("rare", lambda r: r["df"] > HOT)).select("v")
+    if common.isEmpty():
+        return pairs
+    members = crowd.select("key", F.col("cls").alias("v"), "inner").join(common, "v")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"), F.min("inner").alias("done")).where("not done")
+    held = materialize(members.join(blocks.drop("done"), "key").join(facts, "v").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int")), "crowds")
+    first = held.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    second = held.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    block = (F.col("p.key") == F.col("q.key")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
+    once = (F.col("p.i") < F.col("p.j")) | (F.col("p.v") < F.col("q.v"))
+    return pairs.unionByName(_ordered(first.alias("p").join(second.alias("q"), block & once & new), "p.v", "q.v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -297,17 +358,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = materialize(placed, "placed")
 
     beyond = buckets.where("cls <> u and size > 2").select("key", "u", F.col("cls").alias("v")).join(stars.where(_reaches(near)).select("u", "v"), ["u", "v"], "left_anti")
-    beyond = materialize(beyond.select("key", F.col("v").alias("cls")).join(placed, "cls"), "beyond")
+    # Pairs of which both lie within the ring are the first rule's.
+    inner = stars.select("u", "v", F.lit(True).alias("inner"))
+    beyond = beyond.join(inner, ["u", "v"], "left").select("key", F.col("v").alias("cls"), F.coalesce("inner", F.lit(False)).alias("inner"))
+    beyond = materialize(beyond.join(placed, "cls"), "beyond")
     # All of one component have no link to be found.
     left = beyond.groupBy("key").agg(F.count("*").alias("left"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     some = beyond.join(left.where(f"left <= {FEW}").select("key"), "key", "left_semi")
-    crowd = materialize(beyond.join(left.where(f"left > {FEW}").select("key"), "key", "left_semi").select("cls", "root").distinct(), "crowd")
-    apart = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", per_cent, MARGIN)
+    crowd = materialize(beyond.join(left.where(f"left > {FEW}").select("key"), "key", "left_semi").select("key", "cls", "inner"), "crowd")
+    apart = (F.col("a.cls") < F.col("b.cls")) & ~(F.col("a.inner") & F.col("b.inner")) & (F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", per_cent, MARGIN)
     candidates = some.alias("a").join(some.alias("b"), (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
     if not stars.where("not linked").isEmpty():
-        candidates = candidates.unionByName(_by_difference(stars, per_cent))
+        candidates = candidates.unionByName(_by_difference(stars, placed, per_cent))
     if not crowd.isEmpty():
-        candidates = candidates.unionByName(_by_rarity(crowd, sets, per_cent))
+        candidates = candidates.unionByName(_by_rarity(crowd, sets, placed, per_cent))
     late = _with_sets(_unlinked(candidates.distinct(), placed, per_cent), sets).withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
     late = materialize(late.where(_reaches(per_cent)).select("u", "v"), "links")
     if not late.isEmpty():

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lodestrata.llm import minhash_dedup as m
@@ -139,3 +140,69 @@ def test_both_ways_to_distant_pairs_find_all(spark, monkeypatch, few):
     rows = list(enumerate(texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, per_cent=85).collect()}
     assert got == brute_force(rows, 3, 85)
+
+
+def test_texts_of_one_template(spark, monkeypatch):
+    """5,000 texts of 200 words, 30 of them of two values: any two share about 63 % of their shingles, few are links."""
+    rng = np.random.default_rng(9)
+    filled = rng.integers(0, 2, (5000, 30))
+    # A fifth are close to one before.
+    for k in range(4000, 5000):
+        filled[k] = filled[k - 4000]
+        filled[k, rng.choice(30, rng.integers(1, 8), replace=False)] ^= 1
+    texts = []
+    for own in filled:
+        words = [f"w{k}" for k in range(200)]
+        for slot, value in enumerate(own):
+            words[3 + 6 * slot] = f"s{slot}_{value}"
+        texts.append(" ".join(words))
+    root = list(range(5000))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    # Each differing word is three shingles of either text: at 85 % no more than five of 30.
+    apart = (filled[:, None, :] != filled[None, :1, :]).sum(2).ravel()
+    assert 12 < apart.mean() < 18
+    for i in range(5000):
+        for j in np.flatnonzero((filled[i + 1 :] != filled[i]).sum(1) <= 5) + i + 1:
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    seen = {}
+
+    def counted(name, own):
+        def run(*args):
+            if name == "_unlinked":
+                seen["into"] = args[0].count()
+            out = own(*args)
+            if name == "_by_difference":
+                seen["found"] = out.count()
+            return out
+
+        return run
+
+    for name in ("_unlinked", "_by_difference"):
+        monkeypatch.setattr(m, name, counted(name, getattr(m, name)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(df, words=3, per_cent=85).collect()}
+    assert got == {k: find(k) for k in range(5000)}
+    # Measured: 32 and 43 a text; all pairs are 2,500 a text, and were looked at about a hundred times each.
+    assert seen["into"] < 40 * 5000 and seen["found"] < 60 * 5000
+
+
+@pytest.mark.parametrize("hot", [0, 4, 10**9])
+def test_rare_and_common_differences_find_all(spark, monkeypatch, hot):
+    monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr(m, "BLOCK_CLASSES", 7)
+    rng = random.Random(hot)
+    texts = []
+    for _ in range(80):
+        words = [f"w{k}" for k in range(90)]
+        for slot in range(12):
+            words[3 + 7 * slot] = f"s{slot}_{rng.randrange(2)}"
+        texts.append(edited(rng, words, rng.randrange(3)))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, per_cent=85).collect()}
+    assert got == brute_force(rows, 3, 85)
