@@ -12,16 +12,17 @@ lost: a document of a skipped range scores less than ``k`` others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators.lexical import contribution, corpus_stats, exploded, idf
+from lodestrata.operators.lexical import contribution, exploded, idf
 from lodestrata.storage import materialize
 
-BITS = 5
+BITS = 4
 #: Ranges of each query that are scored before there is a threshold.
 SEEDS = 4
 #: Values up to which terms or ranges become a filter on the stored table.
@@ -32,21 +33,20 @@ SLACK = 1e-5
 
 @dataclass(frozen=True)
 class Blocks:
-    """``documents``: (range, slot, dl, keys); ``postings``: (range, term, n, peaks, entries); ``dead``: (range, slot) of documents that count no more."""
+    """``documents``: (range, slot, keys); ``postings``: (range, term, n, terms, peaks, entries), entries (tf, less, slot) with a negative length; ``dead``: (range, slot) of documents
+    that count no more; ``size``: how many do, and the sum of their lengths."""
 
     documents: DataFrame
     postings: DataFrame
+    size: tuple[int, int]
     dead: DataFrame | None = None
 
-    def living(self) -> DataFrame:
-        return self.documents if self.dead is None else self.documents.join(self.dead, ["range", "slot"], "left_anti")
 
-
-def peaks(entries):
+def peaks(entries: Column) -> Column:
     """Of entries by falling tf, then rising dl: those that are shorter than all before them."""
     none = F.array().cast("array<struct<tf:int,dl:int>>")
-    beats = lambda kept, e: (F.size(kept) == 0) | (e["dl"] < F.element_at(kept, -1)["dl"])
-    return F.aggregate(entries, none, lambda kept, e: F.when(beats(kept, e), F.concat(kept, F.array(F.struct((-e["less"]).alias("tf"), e["dl"].alias("dl"))))).otherwise(kept))
+    beats = lambda kept, e: (F.size(kept) == 0) | (-e["less"] < F.element_at(kept, -1)["dl"])
+    return F.aggregate(entries, none, lambda kept, e: F.when(beats(kept, e), F.concat(kept, F.array(F.struct(e["tf"].alias("tf"), (-e["less"]).alias("dl"))))).otherwise(kept))
 
 
 def in_ranges(numbered: DataFrame, bits: int = BITS, first: int = 0) -> DataFrame:
@@ -55,14 +55,25 @@ def in_ranges(numbered: DataFrame, bits: int = BITS, first: int = 0) -> DataFram
     return numbered.withColumn("range", F.shiftright(place, bits) + first).withColumn("slot", place.bitwiseAND((1 << bits) - 1).cast("int")).drop("ord")
 
 
-def posting_blocks(tokens: DataFrame) -> DataFrame:
-    """(range, slot, tokens) -> (range, term, n, peaks, entries), dealt by range once."""
-    dealt = tokens.select("range", "slot", F.size("tokens").alias("dl"), "tokens").repartition("range")
+def posting_blocks(texts: DataFrame, tokens: Column) -> DataFrame:
+    """(range, slot, ...) -> (range, term, n, terms, peaks, entries), in order of term within each task.
+
+    Rows are dealt by range once, before ``tokens`` is evaluated, as texts are shorter than their terms.
+    """
+    dealt = texts.repartition("range").select("range", "slot", tokens.alias("tokens")).select("range", "slot", F.size("tokens").alias("dl"), "tokens")
     counts = exploded(dealt, "range", "slot", "dl").groupBy("range", "slot", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    entries = F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("less"), "dl", "slot"))).alias("entries")
-    blocks = counts.groupBy("range", "term").agg(F.count("*").alias("n"), entries)
-    flat = F.transform("entries", lambda e: F.struct(e["slot"].alias("slot"), (-e["less"]).alias("tf"), e["dl"].alias("dl")))
-    return blocks.select("range", "term", "n", peaks(F.col("entries")).alias("peaks"), flat.alias("entries"))
+    entries = F.sort_array(F.collect_list(F.struct("tf", (-F.col("dl")).alias("less"), "slot")), asc=False).alias("entries")
+    blocks = counts.groupBy("range", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("terms"), entries)
+    alone = F.array(F.struct(F.col("entries")[0]["tf"].alias("tf"), (-F.col("entries")[0]["less"]).alias("dl")))
+    most = F.when(F.col("n") == 1, alone).otherwise(peaks(F.col("entries")))
+    return blocks.select("range", "term", "n", "terms", most.alias("peaks"), "entries").sortWithinPartitions("term", "range")
+
+
+def stored_blocks(df: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """What ``write`` makes of posting blocks, and how many terms they hold, counted on the way."""
+    seen = Observation()
+    stored = write(df.observe(seen, F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")))
+    return stored, seen.get["terms"]
 
 
 def pushed(stored: DataFrame, column: str, asked: DataFrame) -> DataFrame:
@@ -84,7 +95,7 @@ def _scores(blocks: Blocks, pairs: DataFrame, weights: DataFrame, avgdl: float,
     asked = pairs.select("query_id", "range").join(weights, "query_id")
     found = pushed(blocks.postings, "range", pairs).select("range", "term", "entries").join(asked, ["range", "term"])
     each = found.select("query_id", "range", "idf", "qtf", F.explode("entries").alias("e"))
-    total = F.sum(contribution(F.col("idf"), F.col("e.tf"), F.col("e.dl"), F.lit(avgdl), F.col("qtf")))
+    total = F.sum(contribution(F.col("idf"), F.col("e.tf"), -F.col("e.less"), F.lit(avgdl), F.col("qtf")))
     score = F.round(total, round_to) if round_to is not None else total
     scored = each.groupBy("query_id", "range", F.col("e.slot").alias("slot")).agg(score.alias("score"))
     return scored if blocks.dead is None else scored.join(blocks.dead, ["range", "slot"], "left_anti")
@@ -110,7 +121,8 @@ def term_weights(blocks: Blocks, queries: DataFrame, n: int) -> DataFrame:
 
 def search(blocks: Blocks, queries: DataFrame, k: int, round_to: int | None = None, seeds: int = SEEDS) -> Search:
     """The best ``k`` documents of each query (query_id, term, qtf) with a score above 0."""
-    n, avgdl = corpus_stats(blocks.living()).first()
+    n, words = blocks.size
+    avgdl = words / n if n else 0.0
     weights = materialize(term_weights(blocks, queries, n), "weights")
     meta = pushed(blocks.postings, "term", weights).select("range", "term", "peaks").join(weights, "term")
     top = F.array_max(F.transform("peaks", lambda p: contribution(F.col("idf"), p["tf"], p["dl"], F.lit(avgdl), F.col("qtf"))))

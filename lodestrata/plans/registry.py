@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import code, relations, retrieval, segmented
+from lodestrata.plans import code, given, relations, retrieval, segmented
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (retrieval, relations, code, segmented):
+for _part in (retrieval, relations, code, segmented, given):
     QUERIES |= _part.OWN.queries
     ORACLES |= _part.OWN.oracles

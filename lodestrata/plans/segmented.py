@@ -27,12 +27,19 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Documents up to which their places are broadcast, at about 40 bytes each.
+BROADCAST_PLACES = 200_000
+
+
 def document_blocks(spark: SparkSession, sf_dir: str) -> blocks.Blocks:
     """Documents of one language and about one length lie in one range."""
-    tokens = materialize(document_tokens(spark, sf_dir, "lang"), "tokens")
-    order = numbered(tokens.withColumn("dl", F.size("tokens").cast("long")), "lang", "dl", "doc_id")
-    dealt = materialize(blocks.in_ranges(order), "ranges")
-    return blocks.Blocks(dealt.select("range", "slot", "dl", "doc_id"), materialize(blocks.posting_blocks(dealt).repartitionByRange("term").sortWithinPartitions("term", "range"), "posting-blocks"))
+    docs = table(spark, sf_dir, "documents")
+    order = numbered(docs.select("doc_id", "lang", F.length("text").alias("chars")), "lang", "chars", "doc_id")
+    places = materialize(blocks.in_ranges(order).select("doc_id", "range", "slot"), "places")
+    count = places.count()
+    placed = docs.select("doc_id", "text").join(F.broadcast(places) if count <= BROADCAST_PLACES else places, "doc_id")
+    posts, words = blocks.stored_blocks(blocks.posting_blocks(placed.select("range", "slot", "text"), tokenize(F.col("text"))), lambda df: materialize(df, "posting-blocks"))
+    return blocks.Blocks(places, posts, (count, words))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ from lodestrata.storage import _delete, materialize, read_text, replace_text, sc
 FACTOR = 8
 #: Files with tombstones up to which a list of them is broadcast.
 BROADCAST_FILES = 100_000
+#: Chunks of a segment up to which their places are broadcast, at about 100 bytes each.
+BROADCAST_CHUNKS = 100_000
 #: A range's number begins with its segment's.
 SEGMENT_BITS = 32
 _PLACED = "file_path string, place int"
@@ -50,13 +52,12 @@ def _with_place(fields: str) -> T.StructType:
     return T.StructType([*_type(_PLACED), *[f for f in schemas._schema(fields) if f.name != "file_path"]])
 
 
-_PAIR = T.StructType([T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
 SCHEMAS = {
     "files": schemas.FILES,
     "chunks": _with_place(schemas.CHUNK_FIELDS),
     "symbols": _with_place(schemas.SYMBOL_FIELDS),
     "documents": _type("range long, slot int, dl long, file_path string, place int, chunk_id string"),
-    "postings": T.StructType([*_type("range long, term string, n long"), T.StructField("peaks", T.ArrayType(_PAIR)), T.StructField("entries", T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), *_PAIR])))]),
+    "postings": T.StructType([*_type("range long, term string, n long, terms long"), T.StructField("peaks", T.ArrayType(_type("tf int, dl int"))), T.StructField("entries", T.ArrayType(_type("tf int, less int, slot int")))]),
     "vectors": T.StructType([*_type(_PLACED), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]),
 }
 _TOMBSTONES = _type("file_path string, before long")
@@ -140,20 +141,24 @@ class SegmentStore:
     def posting_blocks(self) -> blocks.Blocks:
         """The postings of all segments; those of rows that don't count stay in their blocks and are left out."""
         documents = self.stored("documents").withColumn("ord", order_key(F.col("file_path"), F.col("place")))
+        posts, none = self.stored("postings").drop("seg"), F.lit(0).cast("long")
+        size = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("dl"), none)).first())
         if not self.meta["tombstones"]:
-            return blocks.Blocks(documents, self.stored("postings").drop("seg"))
-        dead = documents.join(self.tombstones(), "file_path").where("seg < before").select("range", "slot")
-        return blocks.Blocks(documents, self.stored("postings").drop("seg"), materialize(dead, "dead"))
+            return blocks.Blocks(documents, posts, size(documents))
+        dead = materialize(documents.join(self.tombstones(), "file_path").where("seg < before").select("range", "slot", "dl"), "dead")
+        (every, words), (lost, less) = size(documents), size(dead)
+        return blocks.Blocks(documents, posts, (every - lost, words - less), dead.drop("dl"))
 
     # -- changing --------------------------------------------------------------------------------
 
     def refresh(self, files: DataFrame) -> tuple[SegmentStore, dict]:
         """Bring the index to a listing (file_path, language, content, sha1) of all files; paths aren't repeated."""
         with scratch(self.spark):
-            read = materialize(files.select("file_path", "language", "content", "sha1"), "listing")
-            status = materialize(diff_files(self.rows("files").select("file_path", "sha1"), read), "status")
+            status = materialize(diff_files(self.rows("files").select("file_path", "sha1"), files.select("file_path", "sha1")), "status")
             count = {r.status: r.n for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
-            changed = read.join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
+            # The listing is read once more for its contents; a file that changes in between is found the next time.
+            changed = files.select("file_path", "language", "content", "sha1").join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
+            changed = materialize(changed, "changed")
             store, stats = self._apply(changed, status.where("status = 'removed'").select("file_path"), count.get("changed", 0) + count.get("removed", 0), sum(v for k, v in count.items() if k != "unchanged"))
         return store, stats | {"files_indexed": count.get("added", 0) + count.get("changed", 0), "files_skipped": count.get("unchanged", 0), "files_removed": count.get("removed", 0)}
 
@@ -203,12 +208,15 @@ class SegmentStore:
         save("files", files)
         chunks = save("chunks", chunks)
         save("symbols", symbols)
-        # ``numbered`` has a column ``place`` of its own.
-        terms = materialize(chunks.select("file_path", F.col("place").alias("at"), "chunk_id", "language", boosted_terms(F.col("text"), F.col("symbol"), F.col("docstring"), F.col("file_path")).alias("tokens")), "terms")
         # Neighbours in the tree lie in one range, so that their common terms are in few blocks.
-        dealt = materialize(blocks.in_ranges(numbered(terms, "language", "file_path", "at"), first=seg << SEGMENT_BITS).withColumnRenamed("at", "place"), "ranges")
-        save("documents", dealt.withColumn("dl", F.size("tokens")))
-        save("postings", blocks.posting_blocks(dealt).repartitionByRange("term").sortWithinPartitions("term", "range"))
+        # ``numbered`` has a column ``place`` of its own.
+        order = numbered(chunks.select("file_path", F.col("place").alias("at"), "chunk_id", "language"), "language", "file_path", "at")
+        places = materialize(blocks.in_ranges(order, first=seg << SEGMENT_BITS).withColumnRenamed("at", "place"), "places")
+        slim = places.select("file_path", "place", "range", "slot")
+        texts = chunks.select("file_path", "place", "text", "symbol", "docstring").join(F.broadcast(slim) if counts["chunks"] <= BROADCAST_CHUNKS else slim, ["file_path", "place"])
+        posts = save("postings", blocks.posting_blocks(texts, boosted_terms(F.col("text"), F.col("symbol"), F.col("docstring"), F.col("file_path"))))
+        lengths = posts.select("range", F.explode("entries").alias("e")).groupBy("range", F.col("e.slot").alias("slot")).agg((-F.max("e.less")).alias("dl"))
+        save("documents", places.join(lengths, ["range", "slot"], "left").withColumn("dl", F.coalesce("dl", F.lit(0))))
         if vectors is None:
             _, embed = make_embedder(self._embedder_spec())
             texts = chunks.select("file_path", "place", embedded_text(F.col("file_path"), F.col("symbol"), F.col("docstring"), F.col("text")).alias("embed_text"))

@@ -26,10 +26,11 @@ def corpus(spark):
 
 
 def built(tokens, dead=None):
-    dealt = materialize(blocks.in_ranges(numbered(tokens, "doc_id"), bits=3), "ranges")
-    documents = dealt.select("range", "slot", F.size("tokens").alias("dl"), "doc_id")
-    gone = None if dead is None else documents.join(dead, "doc_id").select("range", "slot")
-    return blocks.Blocks(documents, materialize(blocks.posting_blocks(dealt), "blocks"), gone)
+    placed = materialize(blocks.in_ranges(numbered(tokens, "doc_id"), bits=3), "ranges")
+    living = placed if dead is None else placed.join(dead, "doc_id", "left_anti")
+    size = living.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    gone = None if dead is None else placed.join(dead, "doc_id").select("range", "slot")
+    return blocks.Blocks(placed.select("range", "slot", "doc_id"), materialize(blocks.posting_blocks(placed, F.col("tokens")), "blocks"), tuple(size), gone)
 
 
 def asked(spark, *texts):
@@ -64,8 +65,8 @@ def test_peaks_bound_every_posting(spark, corpus):
     for r in built(corpus).postings.collect():
         assert r.n == len(r.entries) and len(r.peaks) <= r.n
         for e in r.entries:
-            assert any(p.tf >= e.tf and p.dl <= e.dl for p in r.peaks)
-        assert all((p.tf, p.dl) in {(e.tf, e.dl) for e in r.entries} for p in r.peaks)
+            assert any(p.tf >= e.tf and p.dl <= -e.less for p in r.peaks)
+        assert all((p.tf, p.dl) in {(e.tf, -e.less) for e in r.entries} for p in r.peaks)
 
 
 def test_share_of_blocks_read(spark, sf_dir):
@@ -121,4 +122,4 @@ def test_bounds_leave_blocks_out():
 def test_document_tokens_are_whole(spark, sf_dir):
     held = document_blocks(spark, sf_dir)
     counted = held.postings.select(F.explode("entries").alias("e")).agg(F.sum("e.tf")).first()[0]
-    assert counted == document_tokens(spark, sf_dir).agg(F.sum(F.size("tokens"))).first()[0] == held.documents.agg(F.sum("dl")).first()[0]
+    assert (held.documents.count(), counted) == held.size == tuple(document_tokens(spark, sf_dir).agg(F.count("*"), F.sum(F.size("tokens"))).first())
