@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestrata.functions.declarations import block_end, declaration_at, declares, imported_modules
+from lodestrata.functions.declarations import DECLARATIONS, IMPORTS, block_end, declaration_at, declares, imported_modules
+from lodestrata.functions.native_windows import window_rows
 from lodestrata.functions.windows import line_windows
 from lodestrata.schemas import PARSED
 
@@ -216,8 +218,16 @@ def parse_source(path: str, source: str, language: str, budget: int = MAX_CHUNK_
 
 
 def parse_files(files: DataFrame, budget: int = MAX_CHUNK_CHARS) -> DataFrame:
-    """(file_path, language, content binary or string) -> one row for each file: its chunks, symbols, imports."""
+    """(file_path, language, content binary or string) -> one row for each file: its chunks, symbols, imports.
 
+    Texts without declarations are cut into windows by expressions; only the others leave the JVM.
+    """
+    parsed = F.coalesce(F.col("language").isin("python", *DECLARATIONS, *IMPORTS, *_PARSERS), F.lit(False))
+    own = files.select("file_path", "language", "content")
+    return window_rows(own.where(~parsed)).unionByName(_parsed_rows(own.where(parsed), budget))
+
+
+def _parsed_rows(files: DataFrame, budget: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
@@ -226,4 +236,4 @@ def parse_files(files: DataFrame, budget: int = MAX_CHUNK_CHARS) -> DataFrame:
                 made.append({"file_path": path} | parse_source(path, source, language, budget))
             yield pd.DataFrame(made, columns=["file_path", "chunks", "symbols", "imports"])
 
-    return files.select("file_path", "language", "content").mapInPandas(run, PARSED)
+    return files.mapInPandas(run, PARSED)
