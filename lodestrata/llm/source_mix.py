@@ -152,18 +152,25 @@ def _split_ties(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return one.where(~several).unionByName(ends)
 
 
+def added_names(columns: list[str]) -> tuple[str, ...]:
+    """``ADDED``, each with as many more underscores before it as it takes to be none of ``columns``."""
+    return tuple(next(name for k in range(len(columns) + 1) if (name := "_" * k + c) not in columns) for c in ADDED)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` and the columns ``ADDED``: size, its source's size and target, and taken (words, repeats counted).
 
     A null text has no words and is never taken from; a null source is a source of its own, last in
     order. Documents of one id draw the same key: where the cut falls on several of them, a hash of
     a key that is written out with them orders them. So each source's words are taken to the word.
-    An empty table gives no rows. Other columns, whatever their names, stay as they are.
+    An empty table gives no rows. Other columns, whatever their names, stay as they are; where ``docs``
+    has a column of an added one's name, the added one is called as ``added_names`` says.
     """
     rows, plan = _chosen(docs, id_col, source_col, text_col, weights, max_epochs, seed)
-    taken = (F.col("__epochs") * F.col("__size") + F.col("__here")).cast("long").alias("__taken")
-    kept = [F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
-    return _split_ties(rows, plan).select(*kept, "__size", F.col("__source_size"), F.col("__target"), taken)
+    taken = (F.col("__epochs") * F.col("__size") + F.col("__here")).cast("long")
+    kept = [F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
+    added = zip((F.col("__size"), F.col("__source_size"), F.col("__target"), taken), added_names(docs.columns), strict=True)
+    return _split_ties(rows, plan).select(*kept, *[c.alias(name) for c, name in added])
 
 
 def whole_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:

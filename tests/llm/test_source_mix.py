@@ -58,7 +58,8 @@ def test_columns_of_any_name(spark):
     rows = [(k, f"one two\nthree {k}", "a" if k < 8 else "b", *[f"{n}{k}" for n in NAMES]) for k in range(10)]
     df = spark.createDataFrame(rows, ["doc_id", "text", "source", *NAMES])
     got = mix.mix_sources(df)
-    assert [c for c in got.columns if c not in mix.ADDED] == [c for c in df.columns if c not in mix.ADDED]
+    # Columns of the added ones' names stay as well, and the added ones stand beside them.
+    assert got.columns == [*df.columns, *mix.added_names(df.columns)]
     assert all(r["cut"] == f"cut{r.doc_id}" and r["a.b"] == f"a.b{r.doc_id}" for r in got.collect())
     for whole in (False, True):
         out = mix.mixed_documents(df, whole=whole)
@@ -118,3 +119,15 @@ def test_whole_documents(spark, no_id):
         assert {times.get(t, 0) for t in full if t and full[t] == s} <= {int(target // sizes[s]), int(target // sizes[s]) + 1}
     if not no_id:
         assert {r.doc_id for r in got} == {r.doc_id for r in mix.mix_sources(df).collect() if r["__taken"]}
+
+
+def test_columns_of_the_added_names_stay(spark):
+    rows = [(k, "w " * (k + 1), "s", f"a{k}", k, 2.5, -k) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size string, ___size int, __target double, __taken int")
+    out = mix.mix_sources(df)
+    assert out.columns == [*df.columns, "____size", "__source_size", "___target", "___taken"]
+    plain = {r.doc_id: (r["__size"], r["__taken"], r["__target"]) for r in mix.mix_sources(df.select("doc_id", "text", "source")).collect()}
+    for r in out.collect():
+        assert (r["__size"], r["___size"], r["__target"], r["__taken"]) == (f"a{r.doc_id}", r.doc_id, 2.5, -r.doc_id)
+        assert (r["____size"], r["___taken"], r["___target"]) == plain[r.doc_id]
+    assert sorted(r.doc_id for r in mix.mixed_documents(df, whole=True).select("doc_id").distinct().collect()) == sorted(k for k, v in plain.items() if v[1])
