@@ -37,7 +37,7 @@ from lodestrata.llm.common import drop_table, materialize, table
 from lodestrata.llm.token_alignment import piece_path
 
 #: Bytes of a block's texts, about, and the documents that it may hold, numbered by 16 bits.
-BLOCK_BYTES, BLOCK_DOCS = 1 << 24, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 1 << 25, 1 << 16
 #: Words of a block whose facts come back in one row.
 PART_WORDS = 1 << 13
 MARK = "▁".encode()
@@ -129,33 +129,39 @@ class _Block:
     def __init__(self, block: int, base: int) -> None:
         self.block, self.base, self.size = block, base, 0
         self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        self.docs: list[np.ndarray] = []
+        #: (document, number of words) and the words' numbers, in order.
+        self.docs: list[tuple[int, int]] = []
         self.codes: list[np.ndarray] = []
-        self.trained: list[np.ndarray] = []
+        self.learnt: list[bool] = []
 
     def add(self, row: int, words: list[bytes], trained: bool) -> None:
-        codes = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        self.docs.append(np.full(len(codes), row - self.base))
-        self.codes.append(codes)
-        if trained:
-            self.trained.append(codes)
-
-    def rows(self, id_type: pa.DataType) -> pa.RecordBatch:
-        """A row for each part of the words."""
-        none = np.empty(0, np.int64)
-        both, times = np.unique(np.concatenate([none, *self.codes]) << 16 | np.concatenate([none, *self.docs]), return_counts=True)
-        code, doc = both >> 16, (both & 0xFFFF).astype("<u2")
-        words, count = [w.decode() for w in self.number], np.bincount(np.concatenate([none, *self.trained]), minlength=len(self.number))
-        starts = range(0, len(words), PART_WORDS)
+        self.codes.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
+        self.docs.append((row - self.base, len(words)))
+        self.learnt.append(trained)
+
+    def rows(self, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """A row for each part of the words, a few at a time."""
+        if not self.number:
+            return
+        count = np.bincount(np.concatenate([np.empty(0, np.uint32), *[c for c, own in zip(self.codes, self.learnt, strict=True) if own]]), minlength=len(self.number))
+        doc, n = np.array(self.docs, np.int64).T
+        both = np.concatenate(self.codes).astype(np.int64)
+        self.codes.clear()
+        both <<= 16
+        both |= np.repeat(doc, n)
+        both.sort()
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        times = np.diff(np.append(first, len(both))).astype("<u4")
+        both = both[first]
+        code, doc = (both >> 16).astype(np.uint32), (both & 0xFFFF).astype("<u2")
+        del both, first
+        starts = np.arange(0, len(self.number), PART_WORDS)
         at = np.append(np.searchsorted(code, starts), len(code)).tolist()
-        spans = list(zip(at[:-1], at[1:], strict=True))
-        within, times = (code % PART_WORDS).astype("<u2"), times.astype("<u4")
-        parts = [words[k : k + PART_WORDS] for k in starts]
-        return _record(
-            {"block": np.full(len(parts), self.block), "base": np.full(len(parts), self.base), "part": np.arange(len(parts)), "words": parts, "counts": [count[k : k + PART_WORDS] for k in starts]}
-            | {name: [v[i:j].tobytes() for i, j in spans] for name, v in (("doc", doc), ("code", within), ("times", times))},
-            id_type,
-        )
+        within, words = (code % PART_WORDS).astype("<u2"), iter(self.number)
+        for part, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            own = [w.decode() for w in itertools.islice(words, PART_WORDS)]
+            k = part * PART_WORDS
+            yield _record({"block": [self.block], "base": [self.base], "part": [part], "words": [own], "counts": [count[k : k + PART_WORDS]], "doc": [doc[i:j].tobytes()], "code": [within[i:j].tobytes()], "times": [times[i:j].tobytes()]}, id_type)
 
 
 def _record(columns: dict, id_type: pa.DataType) -> pa.RecordBatch:
@@ -180,7 +186,7 @@ def _blocks(docs: DataFrame, kind: str, block_bytes: int, block_docs: int) -> Da
                 n.append(0)
                 for stretch in stretches(data, block_bytes):
                     if block.size >= block_bytes or row + len(n) - block.base > block_docs:
-                        yield block.rows(id_type)
+                        yield from block.rows(id_type)
                         block = _Block(block.block + 1, row + len(n) - 1)
                     words = stretch.split()
                     block.add(row + len(n) - 1, words, not held)
@@ -188,7 +194,8 @@ def _blocks(docs: DataFrame, kind: str, block_bytes: int, block_docs: int) -> Da
                     n[-1] += len(words)
             yield _record({"row": np.arange(row, row + len(n)), "id": batch["id"], "held": batch["held"], "n": n}, id_type)
             row += len(n)
-        yield block.rows(id_type)
+            del batch
+        yield from block.rows(id_type)
 
     return docs.mapInArrow(run, f"row long, id {kind}, held boolean, n long, block long, base long, part int, words array<string>, counts array<long>, doc binary, code binary, times binary")
 
