@@ -9,7 +9,7 @@ from lodestrata.functions.text import symbol_node, tokenize
 from lodestrata.operators import blocks, dense, dense_blocks, fusion, graph, lexical, lookup, ranking
 from lodestrata.sources.index import IndexTables, index_path, make_embedder
 from lodestrata.sources.segments import SegmentStore
-from lodestrata.storage import materialize
+from lodestrata.storage import materialize, scratch
 
 RESULT_DECIMALS = 6
 #: Values up to which a query's terms or buckets become a filter on the stored table.
@@ -64,6 +64,10 @@ class CodeIndex:
 
     def search(self, query: str, k: int = 10, language: str | None = None, kind: str | None = None, use_dense: bool = True, graph_context: bool = True, candidates: int = lexical.CANDIDATES) -> list[dict]:
         """The best chunks for one query, as at most ``k`` dicts."""
+        with scratch(self.spark):
+            return self._search(query, k, language, kind, use_dense, graph_context, candidates)
+
+    def _search(self, query: str, k: int, language: str | None, kind: str | None, use_dense: bool, graph_context: bool, candidates: int) -> list[dict]:
         asked = self.spark.createDataFrame([(0, query)], "query_id int, text string")
         hits = [r.asDict(recursive=True) for r in self.search_many(asked, k, language, kind, use_dense, candidates).orderBy("rank").collect()]
         related = self._related([h["node"] for h in hits if h["node"]]) if graph_context else {}

@@ -8,6 +8,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from lodestrata.answer import ModelUnavailable, ask
+from lodestrata.storage import scratch
 
 MOST_HITS = 50
 PAGE = """<!doctype html><meta charset="utf-8"><title>Lodestrata</title>
@@ -56,7 +57,9 @@ def handler_of(index) -> type[BaseHTTPRequestHandler]:
         def run(self, routes: dict, args) -> None:
             route = routes.get(urlparse(self.path).path)
             try:
-                status, value = (200, route(args())) if route else (404, {"error": "not found"})
+                # A request's intermediate tables go with it.
+                with scratch(index.spark):
+                    status, value = (200, route(args())) if route else (404, {"error": "not found"})
             except (_BadRequest, json.JSONDecodeError) as e:
                 status, value = 400, {"error": str(e)}
             except ModelUnavailable as e:

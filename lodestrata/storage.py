@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Paths of this process's intermediate tables and folders, until they are dropped.
 _written: set[str] = set()
+#: Paths written in the scopes that this thread is in, the innermost last.
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
 
 
 def register_folder(spark: SparkSession, path: str) -> str:
@@ -40,6 +43,8 @@ def register_folder(spark: SparkSession, path: str) -> str:
     if not _written:
         atexit.register(_last_cleanup, spark)
     _written.add(path)
+    if scopes := _scopes.get():
+        scopes[-1].add(path)
     return path
 
 
@@ -106,7 +111,7 @@ def drop_table(*tables: DataFrame) -> None:
     """Delete the files behind materialised tables that nothing reads any more."""
     for df in tables:
         names = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
-        for path in [p for p in _written if p.rsplit("/", 1)[1] in names]:
+        for path in [p for p in list(_written) if p.rsplit("/", 1)[1] in names]:
             _delete(df.sparkSession, path)
             _written.discard(path)
 
@@ -121,12 +126,17 @@ def cleanup(spark: SparkSession) -> int:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables that are written within are dropped at its end: nothing lazy may read them after."""
-    before = set(_written)
+    """Intermediate tables that this thread writes within are dropped at its end: nothing lazy may read them after.
+
+    What other threads write meanwhile is theirs, and scopes within a scope drop their own.
+    """
+    own: set[str] = set()
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _written - before:
+        _scopes.reset(token)
+        for path in own & _written:
             _delete(spark, path)
             _written.discard(path)
 

@@ -6,15 +6,29 @@ a line, with ``initialize``, ``ping``, ``tools/list`` and ``tools/call``.
 
 from __future__ import annotations
 
+import functools
 import inspect
 import json
 import sys
+from collections.abc import Callable
 from typing import TextIO
 
 from pyspark.sql import SparkSession
 
 from lodestrata.engine import CodeIndex
 from lodestrata.sources.index import build_index
+from lodestrata.storage import scratch
+
+
+def _scoped(tool: Callable) -> Callable:
+    """A call's intermediate tables go with it."""
+
+    @functools.wraps(tool)
+    def run(self: AgentTools, *args: object, **options: object) -> object:
+        with scratch(self._spark):
+            return tool(self, *args, **options)
+
+    return run
 
 
 class AgentTools:
@@ -27,22 +41,27 @@ class AgentTools:
         self._open = self._open or CodeIndex(self._spark, self._root)
         return self._open
 
+    @_scoped
     def search_code(self, query: str, k: int = 8, language: str = "", kind: str = "") -> list[dict]:
         """Hybrid keyword, vector and graph search; hits with file, lines and related symbols."""
         return self._index().search(query, k=k, language=language or None, kind=kind or None)
 
+    @_scoped
     def find_symbol(self, name: str) -> list[dict]:
         """Definitions of a symbol, by exact name or else by part of it."""
         return [r.asDict() for r in self._index().find_symbol(name).drop("ord").collect()]
 
+    @_scoped
     def find_callers(self, name: str) -> list[dict]:
         """Symbols that call the named one."""
         return [r.asDict() for r in self._index().callers(name).collect()]
 
+    @_scoped
     def impact_analysis(self, name: str, max_depth: int = 4) -> list[dict]:
         """All that depends on a symbol through calls, inheritance and imports."""
         return [r.asDict() for r in self._index().impact(name, max_depth).collect()]
 
+    @_scoped
     def file_outline(self, file_path: str) -> list[dict]:
         """Symbols of a file in order of line."""
         return [r.asDict() for r in self._index().outline(file_path).collect()]
@@ -53,6 +72,7 @@ class AgentTools:
         self._open = None
         return stats
 
+    @_scoped
     def index_stats(self) -> dict:
         """Counts, languages and embedder of the index."""
         return self._index().stats()
