@@ -372,7 +372,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         candidates = candidates.unionByName(_by_difference(stars, placed, per_cent))
     if not crowd.isEmpty():
         candidates = candidates.unionByName(_by_rarity(crowd, sets, placed, per_cent))
-    late = _with_sets(_unlinked(candidates.distinct(), placed, per_cent), sets).withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
+    left = materialize(_unlinked(candidates.distinct(), placed, per_cent), "open-pairs")
+    late = _with_sets(left, sets).withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
     late = materialize(late.where(_reaches(per_cent)).select("u", "v"), "links")
     if not late.isEmpty():
         # Components that late links join are found on the graph of components alone.
@@ -381,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         above = connected_components(joined.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
         placed = materialize(placed.select("cls", "root").join(above, "root", "left").select("cls", F.coalesce("top", "root").alias("root")), "placed")
     # Sketches, classes and roots are all that the result is read from.
-    drop_table(buckets, sets, stars, beyond, crowd, late)
+    drop_table(buckets, sets, stars, beyond, crowd, left, late)
 
     rooted = classes.select("cls", "id").join(placed.select("cls", "root"), "cls")
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("least")), "root").select("cls", "least")
