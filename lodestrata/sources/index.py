@@ -13,7 +13,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,6 +82,17 @@ def diff_files(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "file_path", "full_outer").select("file_path", status.alias("status"))
 
 
+STATUSES = ("added", "changed", "removed", "unchanged")
+
+
+def counted_status(old: DataFrame, new: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``diff_files`` as a table, and how many files have each status, counted while it is written."""
+    seen = Observation()
+    of = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES]
+    status = materialize(diff_files(old, new).observe(seen, *of), "status")
+    return status, seen.get
+
+
 def with_order(rows: DataFrame) -> DataFrame:
     """``ord`` over (file_path, place): a prefix sum over files in two levels.
 
@@ -149,7 +160,7 @@ def _build(spark: SparkSession, files: DataFrame, path: str, full: bool, options
         old = None
     read = materialize(files.select("file_path", "language", "content", "sha1"), "tree")
     known = old.table("files").select("file_path", "sha1") if old else spark.createDataFrame([], "file_path string, sha1 string")
-    status = materialize(diff_files(known, read), "status")
+    status, count = counted_status(known, read)
     # Unreadable files stay listed, have a node, and are neither parsed nor carried over.
     changed = read.where(F.col("content").isNotNull()).join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
     unchanged = status.where("status = 'unchanged'").select("file_path")
@@ -157,10 +168,14 @@ def _build(spark: SparkSession, files: DataFrame, path: str, full: bool, options
 
     version = f"v-{uuid.uuid4().hex}"
     base = f"{path}/{version}"
+    #: Rows of each table, counted while they are written.
+    written: dict[str, int] = {}
 
     def save(name: str, df: DataFrame, *sort: str) -> DataFrame:
-        schema = TABLES[name]
-        (df.sortWithinPartitions(*sort) if sort else df).select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{base}/{name}")
+        schema, seen = TABLES[name], Observation()
+        rows = (df.sortWithinPartitions(*sort) if sort else df).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+        rows.observe(seen, F.count("*").alias("n")).write.parquet(f"{base}/{name}")
+        written[name] = seen.get["n"]
         return spark.read.schema(schema).parquet(f"{base}/{name}")
 
     chunks, symbols, imports = _unnested(parsed, "chunks"), _unnested(parsed, "symbols"), parsed.select("file_path", "imports")
@@ -190,13 +205,12 @@ def _build(spark: SparkSession, files: DataFrame, path: str, full: bool, options
         vectors = embed(texts, "chunk_id", "ord")
     save("vectors", vectors, "bucket")
 
-    count = {r.status: r.n for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     stats = {
-        "files_indexed": count.get("added", 0) + count.get("changed", 0),
-        "files_skipped": count.get("unchanged", 0),
-        "files_removed": count.get("removed", 0),
-        "chunks": chunks.count(),
-        "symbols": symbols.count(),
+        "files_indexed": count["added"] + count["changed"],
+        "files_skipped": count["unchanged"],
+        "files_removed": count["removed"],
+        "chunks": written["chunks"],
+        "symbols": written["symbols"],
         "seconds": round(time.time() - began, 3),
     }
     meta = {"version": version, "root": root, "embedder": embedder, "updated_at": int(time.time()), "stats": stats}

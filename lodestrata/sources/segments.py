@@ -30,7 +30,7 @@ from lodestrata.functions.text import boosted_terms, embedded_text
 from lodestrata.operators import blocks
 from lodestrata.operators.dense_blocks import vector_rows
 from lodestrata.operators.resolve import build_graph
-from lodestrata.sources.index import diff_files, make_embedder, numbered
+from lodestrata.sources.index import counted_status, make_embedder, numbered
 from lodestrata.storage import _delete, materialize, read_text, replace_text, scratch
 
 #: Segments of about one size that are merged into one of the next.
@@ -154,13 +154,12 @@ class SegmentStore:
     def refresh(self, files: DataFrame) -> tuple[SegmentStore, dict]:
         """Bring the index to a listing (file_path, language, content, sha1) of all files; paths aren't repeated."""
         with scratch(self.spark):
-            status = materialize(diff_files(self.rows("files").select("file_path", "sha1"), files.select("file_path", "sha1")), "status")
-            count = {r.status: r.n for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            status, count = counted_status(self.rows("files").select("file_path", "sha1"), files.select("file_path", "sha1"))
             # The listing is read once more for its contents; a file that changes in between is found the next time.
             changed = files.select("file_path", "language", "content", "sha1").join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
             changed = materialize(changed, "changed")
-            store, stats = self._apply(changed, status.where("status = 'removed'").select("file_path"), count.get("changed", 0) + count.get("removed", 0), sum(v for k, v in count.items() if k != "unchanged"))
-        return store, stats | {"files_indexed": count.get("added", 0) + count.get("changed", 0), "files_skipped": count.get("unchanged", 0), "files_removed": count.get("removed", 0)}
+            store, stats = self._apply(changed, status.where("status = 'removed'").select("file_path"), count["changed"] + count["removed"], sum(v for k, v in count.items() if k != "unchanged"))
+        return store, stats | {"files_indexed": count["added"] + count["changed"], "files_skipped": count["unchanged"], "files_removed": count["removed"]}
 
     def apply(self, changed: DataFrame, removed: DataFrame | None = None) -> tuple[SegmentStore, dict]:
         """Add or replace the files of ``changed`` and remove those of ``removed`` (file_path); no other file is looked at."""

@@ -127,3 +127,16 @@ def test_one_changed_document(spark, sf_dir, path):
     assert (stats["files_indexed"], stats["tombstones"]) == (1, 1)
     assert all(own == {"texts/7.txt"} for name, own in written(store, stats["segment"]).items() if name != "symbols")
     assert store.stored("postings", stats["segment"]).count() == 4
+
+
+def test_builds_count_while_they_write(spark, path, tmp_path, monkeypatch):
+    """No job only counts."""
+
+    def refuse(*_):
+        raise AssertionError("a counting job")
+
+    monkeypatch.setattr(type(spark.range(1)), "count", refuse)
+    stats = build_tables(spark, listing(spark, FILES), f"file://{tmp_path}/counted")
+    assert (stats["files_indexed"], stats["chunks"], stats["symbols"]) == (5, 6, 5)
+    _, stats = SegmentStore.create(spark, path).refresh(listing(spark, FILES))
+    assert (stats["files"], stats["chunks"], stats["symbols"]) == (5, 6, 5)
