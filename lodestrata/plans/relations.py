@@ -87,6 +87,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(_edges(spark, sf_dir), _start(spark, "region:1"))
 
 
+@register(
+    "impact_all",
+    f"""WITH RECURSIVE {_EDGES}, starts AS (SELECT 'supp:' || s_suppkey AS s FROM supplier UNION SELECT 'nation:' || n_nationkey FROM nation UNION SELECT 'region:' || r_regionkey FROM region),
+    walk(start, node, depth) AS (
+      SELECT s, s, 0 FROM starts UNION SELECT start, src, depth + 1 FROM walk JOIN edges ON dst = node AND edge_type IN ('calls', 'inherits', 'imports') WHERE depth < 4
+    ), least AS (SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL),
+    ways AS (SELECT l.start, l.node, l.depth, min(CASE edge_type WHEN 'calls' THEN 1 WHEN 'inherits' THEN 2 ELSE 3 END) AS way
+      FROM least l JOIN edges e ON e.src = l.node AND edge_type IN ('calls', 'inherits', 'imports') JOIN least p ON p.start = l.start AND p.node = e.dst AND p.depth = l.depth - 1 WHERE l.depth > 0 GROUP BY ALL)
+    SELECT start, node, depth, CASE way WHEN 1 THEN 'calls' WHEN 2 THEN 'inherits' ELSE 'imports' END AS via FROM ways""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on any supplier, nation or region."""
+    starts = [table(spark, sf_dir, name).select(F.concat(F.lit(prefix), F.col(key)).alias("start")) for name, prefix, key in (("supplier", "supp:", "s_suppkey"), ("nation", "nation:", "n_nationkey"), ("region", "region:", "r_regionkey"))]
+    return graph.impact_many(_edges(spark, sf_dir), starts[0].unionByName(starts[1]).unionByName(starts[2]))
+
+
 @register(
     "remove_file",
     f"""WITH {_EDGES}, gone AS (SELECT dst AS node FROM edges WHERE edge_type = 'contains' AND src = 'region:1' UNION SELECT 'region:1')

@@ -2,7 +2,7 @@
 
 import random
 
-from lodestrata.operators import dense, lookup
+from lodestrata.operators import dense, graph, lookup
 from lodestrata.sources.index import numbered
 from lodestrata.storage import read_text, replace_text
 
@@ -47,3 +47,16 @@ def test_small_files_are_replaced(spark, tmp_path):
     for text in ("one", '{"two": "ä"}'):
         replace_text(spark, path, text)
         assert read_text(spark, path) == text
+
+
+def test_impact_of_many_starts_is_each_ones(spark):
+    """150 starts, so that some words are full; a hub, cycles, and nodes that several types of edge reach."""
+    rng = random.Random(3)
+    rows = {(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}", rng.choice(["calls", "inherits", "imports", "contains"])) for _ in range(400)}
+    rows |= {(f"n{k}", "n0", "calls") for k in range(1, 90)}
+    edges = graph.typed_edges(spark.createDataFrame(sorted(rows), "src string, dst string, edge_type string"))
+    starts = spark.createDataFrame([(f"n{k}",) for k in range(150)] + [("n3",), ("nowhere",)], "start string")
+    got = sorted(map(tuple, graph.impact_many(edges, starts).collect()))
+    assert got == sorted(map(tuple, graph.impact(edges, starts).select("start", "node", "depth", "via").collect())) and len(got) > 1500
+    assert graph.impact_many(edges, starts.where("start = 'nowhere'")).collect() == graph.impact_many(edges.where("false"), starts).collect() == []
+    assert sorted(map(tuple, graph.impact_many(edges, starts, max_depth=1).collect())) == [r for r in got if r[2] == 1]
