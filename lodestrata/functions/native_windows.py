@@ -18,8 +18,9 @@ ID_TEXT_CHARS = 64
 
 def lines_of(text: Column) -> Column:
     """A text's lines without what ends them; what follows the last end is a line only if it isn't empty."""
-    parts = F.split(text, f"\r\n|[{BREAKS}]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # The end of the last line goes first, so that what is left is split once.
+    body = F.regexp_replace(text, f"(?:\\r\\n|[{BREAKS}])\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, f"\\r\\n|[{BREAKS}]", -1))
 
 
 def _blank(text: Column) -> Column:

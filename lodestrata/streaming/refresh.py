@@ -25,7 +25,7 @@ def latest(versions: DataFrame) -> DataFrame:
 def parsed_chunks(versions: DataFrame) -> DataFrame:
     """Chunks of file versions, with their terms; a null content is a removed file and has none."""
     parsed = parse_files(versions.where(F.col("content").isNotNull()))
-    rows = parsed.select(F.posexplode("chunks").alias("place", "c")).select("place", "c.*")
+    rows = parsed.select(F.posexplode_outer("chunks").alias("place", "c")).where("c is not null").select("place", "c.*")
     return rows.withColumn("tokens", boosted_terms(F.col("text"), F.col("symbol"), F.col("docstring"), F.col("file_path"))).join(versions.select("file_path", "version"), "file_path")
 
 
