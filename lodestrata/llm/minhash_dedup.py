@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     done.add(want)
                     cls.append(want)
                     n.append(len(own))
-                    shingles.append(own.view(np.int64).tolist())
+                    shingles.append(own.view(np.int64))
             yield pd.DataFrame({"cls": pd.Series(cls, dtype="int64"), "n": pd.Series(n, dtype="int64"), "shingles": pd.Series(shingles, dtype="object")})
 
     if wanted.count() <= BROADCAST_IDS:
