@@ -27,6 +27,8 @@ BITS = 4
 SEEDS = 4
 #: Values up to which terms or ranges become a filter on the stored table.
 FILTER_VALUES = 1024
+#: More of them up to which a list is broadcast, at some 50 bytes each.
+BROADCAST_VALUES = 100_000
 #: Rounding of sums can't lift a score above its bound by more.
 SLACK = 1e-5
 
@@ -78,8 +80,12 @@ def stored_blocks(df: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tup
 
 def pushed(stored: DataFrame, column: str, asked: DataFrame) -> DataFrame:
     """Rows whose ``column`` is asked for, as a filter that reaches the scan while the values are few."""
-    few = [r[0] for r in asked.select(column).distinct().limit(FILTER_VALUES + 1).collect()]
-    return stored.where(F.col(column).isin(few)) if len(few) <= FILTER_VALUES else stored.join(asked.select(column).distinct(), column, "left_semi")
+    wanted = asked.select(column).distinct()
+    few = [r[0] for r in wanted.limit(FILTER_VALUES + 1).collect()]
+    if len(few) <= FILTER_VALUES:
+        return stored.where(F.col(column).isin(few))
+    some = wanted.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    return stored.join(F.broadcast(wanted) if some else wanted, column, "left_semi")
 
 
 @dataclass(frozen=True)
@@ -93,7 +99,7 @@ class Search:
 def _scores(blocks: Blocks, pairs: DataFrame, weights: DataFrame, avgdl: float, round_to: int | None) -> DataFrame:
     """(query_id, range, slot, score) of all documents in the pairs (query_id, range) that share a term with the query."""
     asked = pairs.select("query_id", "range").join(weights, "query_id")
-    found = pushed(blocks.postings, "range", pairs).select("range", "term", "entries").join(asked, ["range", "term"])
+    found = pushed(blocks.postings, "term", weights).select("range", "term", "entries").join(asked, ["range", "term"])
     each = found.select("query_id", "range", "idf", "qtf", F.explode("entries").alias("e"))
     total = F.sum(contribution(F.col("idf"), F.col("e.tf"), -F.col("e.less"), F.lit(avgdl), F.col("qtf")))
     score = F.round(total, round_to) if round_to is not None else total
