@@ -176,7 +176,7 @@ SELECT doc_id, a + 1 AS start_line, b AS end_line, md5(array_to_string(l[a + 1 :
 
 @register("chunk_windows", _WINDOWS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("text").alias("language"), F.col("text").alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("text").alias("language"), F.col("text").alias("content")))
     # An outer explode, as an inner one has the optimiser test the array's size, and compute it, once more.
     chunks = parse_files(docs).select(F.explode_outer("chunks").alias("c")).where("c is not null")
     return chunks.select(F.col("c.file_path").cast("long").alias("doc_id"), "c.start_line", "c.end_line", F.md5("c.text").alias("text_md5"))
