@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import DIM
+from lodestrata.functions.terms import half_up
 from lodestrata.operators.lexical import top_candidates
 
 QUERIES = 2048
@@ -35,11 +36,6 @@ def vector_rows(vectors: DataFrame, everything: DataFrame, *keys: str) -> DataFr
     return every.select(*keys, F.col("v.bucket").alias("buckets"), F.col("v.w").alias("weights"))
 
 
-def half_up(x: np.ndarray, decimals: int | None) -> np.ndarray:
-    """Halves go away from 0; what is a half in decimals may lie a little below it in binary."""
-    return x if decimals is None else np.copysign(np.floor(np.abs(x) * 10.0**decimals + 0.5 + 1e-7) / 10.0**decimals, x)
-
-
 class Best:
     """The best ``k`` (score, key) of each query, ties to the lesser key."""
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.answer import HIT, extract_text
 from lodestrata.functions.parsing import parse_files
 from lodestrata.functions.text import language_of, module_of, split_identifier, tokenize
-from lodestrata.operators import fusion, graph, lexical, ranking, resolve
-from lodestrata.plans.inputs import CANDIDATES, SQL_DOCUMENT_TOKENS, QuerySet, document_tokens, sql_bm25, table
+from lodestrata.operators import fusion, graph, lexical, lexical_tasks, ranking, resolve
+from lodestrata.plans.inputs import CANDIDATES, SQL_DOCUMENT_TOKENS, QuerySet, document_texts, sql_bm25, table
 from lodestrata.sources.repos import plan_sync
 from lodestrata.sources.tree import ignored
 from lodestrata.storage import materialize
@@ -150,12 +150,8 @@ hits AS (SELECT f.query_id, o.*, score, score * CASE WHEN kind = 'function' THEN
 
 def _top_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) of every benchmark text."""
-    tokens = materialize(document_tokens(spark, sf_dir), "tokens")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("q"))
-    terms = materialize(lexical.query_terms(asked, F.col("q")), "query-terms")
-    found = lexical.exploded(tokens, "doc_id").join(terms.select("term").distinct(), "term", "left_semi")
-    posts = materialize(found.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")
-    return lexical.top_candidates(lexical.bm25_scores(posts, lexical.lengths(tokens, "doc_id"), terms, key="doc_id", round_to=6), k, key="doc_id")
+    return lexical_tasks.best_documents(document_texts(spark, sf_dir), lexical.query_terms(asked, F.col("q")), k, round_to=6)
 
 
 def _ranked(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:

@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def document_texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """(doc_id, further columns, text) of all documents."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
+
+
 def document_tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """(doc_id, further columns, tokens) of all documents."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))

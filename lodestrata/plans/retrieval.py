@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import bucket, sign
+from lodestrata.functions.terms import hashed_rows
 from lodestrata.functions.text import boosted_terms, chunk_id, embedded_text, split_identifier, tokenize
-from lodestrata.operators import dense, fusion, lexical, lookup
-from lodestrata.plans.inputs import QuerySet, CANDIDATES, QUERY, SQL_DOCUMENT_TOKENS, document_tokens, sql_bm25, sql_hashed, sql_tokens, stated, table, values
+from lodestrata.operators import dense, dense_blocks, fusion, lexical, lexical_tasks, lookup
+from lodestrata.plans.inputs import QuerySet, CANDIDATES, QUERY, SQL_DOCUMENT_TOKENS, document_texts, document_tokens, sql_bm25, sql_hashed, sql_tokens, stated, table, values
 from lodestrata.storage import materialize, spread
 
 OWN = QuerySet()
@@ -71,14 +72,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bm25_batch", f"WITH queries AS (SELECT item_id AS query_id, text FROM benchmark), {SQL_DOCUMENT_TOKENS}, {sql_bm25('queries')} SELECT query_id, doc_id, score, rank + 1 AS rank FROM bm25 WHERE rank < 5")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = materialize(document_tokens(spark, sf_dir), "tokens")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("q"))
-    terms = materialize(lexical.query_terms(queries, F.col("q")), "query-terms")
-    # Only the queries' terms become postings, written once, as they are joined and counted.
-    found = lexical.exploded(tokens, "doc_id").join(terms.select("term").distinct(), "term", "left_semi")
-    posts = materialize(found.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")
-    scores = lexical.bm25_scores(posts, lexical.lengths(tokens, "doc_id"), terms, key="doc_id", round_to=6)
-    return lexical.top_candidates(scores, 5, key="doc_id").select("query_id", "doc_id", "score", (F.col("rank") + 1).alias("rank"))
+    found = lexical_tasks.best_documents(document_texts(spark, sf_dir), lexical.query_terms(queries, F.col("q")), 5, round_to=6)
+    return found.withColumn("rank", F.col("rank") + 1)
 
 
 @register("bm25_field_boost", f"WITH tokens AS (SELECT doc_id, list_concat({sql_tokens('text')}, {sql_tokens('lang')}, {sql_tokens('lang')}, {sql_tokens('lang')}, {sql_tokens('source')}) AS t FROM documents), {values('queries', 'query_id, text', [(1, 'fr src7 onerth')])}, {sql_bm25('queries')} SELECT doc_id, score FROM bm25 WHERE rank < {CANDIDATES}")
@@ -100,11 +96,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.groupBy("doc_id").agg(F.count("*").alias("nnz"), F.round(F.sum(F.col("w") * F.col("w")), 4).alias("norm"))
 
 
-def _dense_hits(tokens: DataFrame) -> DataFrame:
-    spark = tokens.sparkSession
+def _dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = stated(spark, [(1, QUERY)], "query_id int, text string").select("query_id", tokenize(F.col("text")).alias("tokens"))
     queries = dense.hashed_vectors(asked, "query_id", round_to=None)
-    return dense.nearest(dense.hashed_vectors(tokens, "doc_id"), queries, tokens, CANDIDATES, key="doc_id", round_to=5)
+    return dense_blocks.nearest(hashed_rows(document_texts(spark, sf_dir), "doc_id"), queries, CANDIDATES, key="doc_id", round_to=5)
 
 
 _DENSE = f"{sql_hashed('tokens', 'doc_id', 'dv', True)}, qtok AS (SELECT query_id, {sql_tokens('text')} AS t FROM queries), {sql_hashed('qtok', 'query_id', 'qv', False)}, ds AS (SELECT d.doc_id, round(coalesce(s, 0), 5) AS score FROM tokens d LEFT JOIN (SELECT doc_id, sum(dv.w * qv.w) AS s FROM dv JOIN qv USING (bucket) GROUP BY doc_id) x ON d.doc_id = x.doc_id), dense AS (SELECT 1 AS query_id, *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM ds)"
@@ -112,8 +107,7 @@ _DENSE = f"{sql_hashed('tokens', 'doc_id', 'dv', True)}, qtok AS (SELECT query_i
 
 @register("dense_hash_topk", f"WITH {_ONE}, {SQL_DOCUMENT_TOKENS}, {_DENSE} SELECT doc_id, score FROM dense WHERE rank < {CANDIDATES}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = materialize(document_tokens(spark, sf_dir), "tokens")
-    return _dense_hits(tokens).select("doc_id", "score")
+    return _dense_hits(spark, sf_dir).select("doc_id", "score")
 
 
 @register("vector_topk", f"SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT {CANDIDATES}")
@@ -134,8 +128,9 @@ _FUSED = f"WITH {_ONE}, {SQL_DOCUMENT_TOKENS}, {sql_bm25('queries')}, {_DENSE},
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = materialize(document_tokens(spark, sf_dir), "tokens")
-    legs = {"bm25": lexical.top_candidates(fixed_query_scores(tokens, QUERY), CANDIDATES, key="doc_id"), "dense": _dense_hits(tokens)}
+    asked = stated(spark, [(1, QUERY)], "query_id int, text string").select("query_id", tokenize(F.col("text")).alias("q"))
+    best = lexical_tasks.best_documents(document_texts(spark, sf_dir), lexical.query_terms(asked, F.col("q")), CANDIDATES, round_to=6)
+    legs = {"bm25": best, "dense": _dense_hits(spark, sf_dir)}
     fused = fusion.reciprocal_rank_fusion(legs, key="doc_id")
     return fused.select("doc_id", F.round("score", 6).alias("score"), F.array_join("sources", "+").alias("sources"))
 
