@@ -5,25 +5,36 @@ range. Beside them it keeps the pairs (tf, dl) that no other posting of it beats
 the greatest contribution of the block follows for any mean length, so blocks stay valid while the
 corpus changes around them. The sum of its blocks' bounds is a bound on every score in a range.
 
-A search scores the most promising ranges of each query first. The score that ends the best ``k``
-there is a threshold; of all other ranges only those whose bound reaches it are read. Nothing is
-lost: a document of a skipped range scores less than ``k`` others.
+A search deals the blocks of its queries' terms out by range, some hundreds of ranges to a task, and
+each task scores the most promising ranges of each query first. The score that ends its best ``k`` is a
+threshold; of all other ranges only those whose bound reaches it are scored. Nothing is lost: a
+document of a skipped range scores less than ``k`` others. No pair of a query and a range or a document
+leaves a task, but the best ``k``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators.lexical import contribution, exploded, idf
+from lodestrata.functions.terms import half_up
+from lodestrata.operators.lexical import B, K1, exploded, idf
+from lodestrata.operators.lexical_tasks import QUERIES, Weights
 from lodestrata.storage import materialize
 
 BITS = 4
-#: Ranges of each query that are scored before there is a threshold.
+#: Postings that a task makes into blocks, and documents that a task searches, about.
+POSTINGS_PER_TASK, DOCUMENTS_PER_TASK = 1_000_000, 16_384
+#: A range's number holds its place within a task in so many bits, and above them the task's, in ``PART_BITS``.
+PLACE_BITS, PART_BITS = 20, 12
+#: Ranges of each query that a task scores before there is a threshold.
 SEEDS = 4
 #: Values up to which terms or ranges become a filter on the stored table.
 FILTER_VALUES = 1024
@@ -71,6 +82,78 @@ def posting_blocks(texts: DataFrame, tokens: Column) -> DataFrame:
     return blocks.select("range", "term", "n", "terms", most.alias("peaks"), "entries").sortWithinPartitions("term", "range")
 
 
+_PEAK, _ENTRY = pa.struct([("tf", pa.int32()), ("dl", pa.int32())]), pa.struct([("tf", pa.int32()), ("less", pa.int32()), ("slot", pa.int32())])
+_BLOCKS = "range long, term string, n long, terms long, peaks array<struct<tf:int,dl:int>>, entries array<struct<tf:int,less:int,slot:int>>"
+
+
+def tasks_for(postings: int) -> int:
+    """So many that a task's share of postings doesn't grow with their number."""
+    return min(max(1, -(-postings // POSTINGS_PER_TASK)), (1 << PART_BITS) - 1)
+
+
+def stored_counts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
+    """``counts`` as a table, and its rows, the sum of their lengths and that of their postings, counted while it is written."""
+    seen, zero = Observation(), F.lit(0).cast("long")
+    of = {"n": F.count("*"), "words": F.coalesce(F.sum("dl"), zero), "postings": F.coalesce(F.sum(F.size("terms").cast("long")), zero)}
+    stored = materialize(counts.observe(seen, *[c.alias(k) for k, c in of.items()]), "term-counts")
+    return stored, (seen.get["n"], seen.get["words"], seen.get["postings"])
+
+
+def ranged(rows: DataFrame, tasks: int, *keys: str, bits: int = BITS, first: int = 0) -> DataFrame:
+    """``rows`` with ``range`` and ``slot`` in order of ``keys``, which aren't repeated; no range lies in two tasks."""
+    place = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("at", place)
+    within = F.col("at").bitwiseAND((1 << 33) - 1)
+    number = F.shiftleft(F.shiftright("at", 33), PLACE_BITS) + F.shiftright(within, bits) + first
+    return dealt.withColumn("range", number).withColumn("slot", within.bitwiseAND((1 << bits) - 1).cast("int")).drop("at")
+
+
+def counted_blocks(counts: DataFrame, tasks: int) -> DataFrame:
+    """(range, slot, dl, terms, tfs) -> what ``posting_blocks`` makes of their terms, with no more than a range of postings as objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                ranges, names, entries = [], [], []
+                for r in batch.slice(begin, 256).to_pylist():
+                    if r["range"] != at:
+                        ranges += [at] * len(found)
+                        names += found
+                        entries += found.values()
+                        at, found = r["range"], {}
+                    less, slot = -r["dl"], r["slot"]
+                    for t, tf in zip(r["terms"], r["tfs"], strict=True):
+                        found.setdefault(t, []).append((tf, less, slot))
+                if ranges:
+                    yield _block_batch(ranges, names, entries)
+        if found:
+            yield _block_batch([at] * len(found), list(found), list(found.values()))
+
+    dealt = counts.select("range", "slot", "dl", "terms", "tfs").repartition(tasks, "range").sortWithinPartitions("range", "slot")
+    return dealt.mapInArrow(run, _BLOCKS).sortWithinPartitions("term", "range")
+
+
+def _block_batch(ranges: list[int], names: list[str], entries: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+    peaks, sizes = [], []
+    for own in entries:
+        own.sort(reverse=True)
+        before = len(peaks)
+        for tf, less, _ in own:
+            if len(peaks) == before or -less < peaks[-1][1]:
+                peaks.append((tf, -less))
+        sizes.append(len(peaks) - before)
+
+    def nested(counts: list[int], rows: list[tuple], kind: pa.StructType) -> pa.ListArray:
+        columns = zip(*rows, strict=True) if rows else [()] * kind.num_fields
+        flat = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
+
+    n = [len(own) for own in entries]
+    columns = [pa.array(ranges, pa.int64()), pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array([sum(e[0] for e in own) for own in entries], pa.int64()), nested(sizes, peaks, _PEAK), nested(n, [e for own in entries for e in own], _ENTRY)]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "term", "n", "terms", "peaks", "entries"])
+
+
 def stored_blocks(df: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
     """What ``write`` makes of posting blocks, and how many terms they hold, counted on the way."""
     seen = Observation()
@@ -96,17 +179,6 @@ class Search:
     effort: DataFrame
 
 
-def _scores(blocks: Blocks, pairs: DataFrame, weights: DataFrame, avgdl: float, round_to: int | None) -> DataFrame:
-    """(query_id, range, slot, score) of all documents in the pairs (query_id, range) that share a term with the query."""
-    asked = pairs.select("query_id", "range").join(weights, "query_id")
-    found = pushed(blocks.postings, "term", weights).select("range", "term", "entries").join(asked, ["range", "term"])
-    each = found.select("query_id", "range", "idf", "qtf", F.explode("entries").alias("e"))
-    total = F.sum(contribution(F.col("idf"), F.col("e.tf"), -F.col("e.less"), F.lit(avgdl), F.col("qtf")))
-    score = F.round(total, round_to) if round_to is not None else total
-    scored = each.groupBy("query_id", "range", F.col("e.slot").alias("slot")).agg(score.alias("score"))
-    return scored if blocks.dead is None else scored.join(blocks.dead, ["range", "slot"], "left_anti")
-
-
 def _first(scores: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query and all that tie with the last of them."""
     place = F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))
@@ -128,21 +200,120 @@ def term_weights(blocks: Blocks, queries: DataFrame, n: int) -> DataFrame:
 def search(blocks: Blocks, queries: DataFrame, k: int, round_to: int | None = None, seeds: int = SEEDS) -> Search:
     """The best ``k`` documents of each query (query_id, term, qtf) with a score above 0."""
     n, words = blocks.size
-    avgdl = words / n if n else 0.0
-    weights = materialize(term_weights(blocks, queries, n), "weights")
-    meta = pushed(blocks.postings, "term", weights).select("range", "term", "peaks").join(weights, "term")
-    top = F.array_max(F.transform("peaks", lambda p: contribution(F.col("idf"), p["tf"], p["dl"], F.lit(avgdl), F.col("qtf"))))
-    bounds = materialize(meta.groupBy("query_id", "range").agg(F.sum(top).alias("bound"), F.count("*").alias("blocks")), "bounds")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
-    chosen = materialize(bounds.withColumn("place", place).where(F.col("place") <= seeds).drop("place"), "seeds")
-    begun = materialize(_first(_scores(blocks, chosen, weights, avgdl, round_to), k), "begun")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
-    least = begun.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
-    rest = bounds.join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).drop("least")
-    rest = materialize(rest.join(chosen.select("query_id", "range"), ["query_id", "range"], "left_anti"), "rest")
-    hits = _first(begun.unionByName(_scores(blocks, rest, weights, avgdl, round_to)), k)
-    read = chosen.unionByName(rest).groupBy("query_id").agg(F.sum("blocks").alias("blocks_read"))
-    return Search(hits, bounds.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id"))
+    weights = [tuple(r) for r in term_weights(blocks, queries, n).select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()]
+    ids = list(dict.fromkeys(q for q, *_ in weights))
+    spark, id_kind = blocks.postings.sparkSession, dict(queries.dtypes)["query_id"]
+    found = spark.createDataFrame([], f"query_id {id_kind}, range long, slot int, score double, blocks long, blocks_read long")
+    for begin in range(0, len(ids), QUERIES):
+        own = ids[begin : begin + QUERIES]
+        number = {q: i for i, q in enumerate(own)}
+        vocabulary = {t: i for i, t in enumerate(sorted({t for q, t, *_ in weights if q in number}))}
+        asked = Weights.of([(number[q], vocabulary[t], f, w) for q, t, f, w in weights if q in number], len(vocabulary))
+        names = spark.createDataFrame(list(enumerate(own)), f"q int, query_id {id_kind}")
+        rows = _pass(blocks, vocabulary, asked, len(own), (words / n if n else 0.0) or 1.0, k, round_to, seeds)
+        # As many rows as a pass has queries at most.
+        found = found.unionByName(rows.join(F.broadcast(names), "q").drop("q"))
+    found = materialize(found, "found")
+    effort = found.where("slot < 0").groupBy("query_id").agg(F.sum("blocks").alias("blocks"), F.sum("blocks_read").alias("blocks_read"))
+    return Search(_first(found.where("slot >= 0").select("query_id", "range", "slot", "score"), k), effort)
+
+
+def _pass(blocks: Blocks, vocabulary: dict[str, int], weights: Weights, queries: int, avgdl: float, k: int, round_to: int | None, seeds: int) -> DataFrame:
+    """(q, range, slot, score) of each task's best, and rows with slot -1 that say how many blocks a query has there and how many were read."""
+    spark = blocks.postings.sparkSession
+    places = spark.createDataFrame(list(vocabulary.items()), "term string, place int")
+    posts = pushed(blocks.postings, "term", places).join(F.broadcast(places) if len(vocabulary) <= BROADCAST_VALUES else places, "term")
+    rows = posts.select("range", "place", F.col("peaks.tf").alias("top_tf"), F.col("peaks.dl").alias("top_dl"), F.col("entries.tf").alias("tf"), F.col("entries.less").alias("less"), F.col("entries.slot").alias("slot"))
+    if blocks.dead is not None:
+        none = F.array().cast("array<int>")
+        gone = blocks.dead.groupBy("range").agg(F.collect_list("slot").alias("slot"))
+        rows = rows.unionByName(gone.select("range", F.lit(-1).alias("place"), none.alias("top_tf"), none.alias("top_dl"), none.alias("tf"), none.alias("less"), "slot"))
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            yield from _searched(table.combine_chunks(), shared.value, queries, avgdl, k, round_to, seeds)
+
+    tasks = max(1, math.ceil(blocks.size[0] / DOCUMENTS_PER_TASK))
+    return rows.repartition(tasks, "range").mapInArrow(run, "q int, range long, slot int, score double, blocks long, blocks_read long")
+
+
+def _column(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and flat values of a column of lists."""
+    lists = table.column(name).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+
+
+def _share(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(dl, 1) / avgdl))
+
+
+def _searched(table: pa.Table, weights: Weights, queries: int, avgdl: float, k: int, round_to: int | None, seeds: int) -> Iterator[pa.RecordBatch]:
+    ranges, at = np.unique(table.column("range").to_numpy(), return_inverse=True)
+    term = table.column("place").to_numpy()
+    order = np.argsort(at, kind="stable")
+    order = order[term[order] >= 0]
+    sizes, slots = _column(table, "slot")
+    width = int(slots.max(initial=0)) + 1
+    dead = np.zeros(len(ranges) * width, bool)
+    gone = np.repeat(term < 0, sizes)
+    dead[(np.repeat(at, sizes) * width + slots)[gone]] = True
+    # The greatest contribution of a block, and its postings, as parts of what a term weighs.
+    top_sizes, tops = _column(table, "top_tf")
+    most = np.zeros(table.num_rows)
+    np.maximum.at(most, np.repeat(np.arange(table.num_rows), top_sizes), _share(tops, _column(table, "top_dl")[1], avgdl))
+    per_range = np.bincount(at[order], minlength=len(ranges))
+    bound = weights.scores(per_range, term[order], most[order], queries)
+    blocks = weights.scores(per_range, term[order], np.ones(len(order)), queries, plain=True)
+    keep = ~gone
+    post_doc, post_term = (np.repeat(at, sizes) * width + slots)[keep], np.repeat(term, sizes)[keep]
+    tf, less = _column(table, "tf")[1], _column(table, "less")[1]
+    sorted_ = np.argsort(post_doc, kind="stable")
+    sorted_ = sorted_[~dead[post_doc[sorted_]]]
+    post_doc, post_term, share = post_doc[sorted_], post_term[sorted_], _share(tf, -less, avgdl)[sorted_]
+    first = np.searchsorted(post_doc, np.arange(len(ranges) + 1) * width)
+
+    least = np.full(queries, -np.inf)
+    kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(queries)]
+
+    def read(live: np.ndarray) -> None:
+        """Score the pairs (range, query) that are marked, some ranges at a time."""
+        some = np.flatnonzero(live.any(1))
+        for begin in range(0, len(some), 16):
+            own = some[begin : begin + 16]
+            place = np.concatenate([np.arange(first[r], first[r + 1]) for r in own])
+            doc = np.concatenate([r * width + np.arange(width) for r in own])
+            per_doc = np.bincount(np.searchsorted(doc, post_doc[place]), minlength=len(doc))
+            exact = weights.scores(per_doc, post_term[place], share[place], queries)
+            score = half_up(exact, round_to)
+            query, row = np.nonzero(((exact > 0) & np.repeat(live[own], width, 0) & (score >= least)).T)
+            for part in np.split(np.arange(len(query)), np.flatnonzero(np.diff(query)) + 1) if len(query) else ():
+                q = int(query[part[0]])
+                docs, scores = (np.concatenate([old, new]) for old, new in zip(kept[q] or (np.empty(0, np.int64), np.empty(0)), (doc[row[part]], score[row[part], q]), strict=True))
+                if len(scores) >= k:
+                    # What ties with the last of the best stays.
+                    least[q] = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    docs, scores = docs[scores >= least[q]], scores[scores >= least[q]]
+                kept[q] = [docs, scores]
+
+    asked = bound > 0
+    begun = np.zeros_like(asked)
+    # The ranges with the greatest bounds of each query, ties to the lesser number.
+    best_first = np.argsort(-bound, axis=0, kind="stable")[:seeds]
+    np.put_along_axis(begun, best_first, True, 0)
+    begun &= asked
+    read(begun)
+    rest = asked & ~begun & (bound >= least - SLACK)
+    read(rest)
+    every, taken = blocks.sum(0), (blocks * (begun | rest)).sum(0)
+    columns = [(q, int(ranges[d // width]), int(d % width), float(s), 0, 0) for q, own in enumerate(kept) if own for d, s in zip(own[0].tolist(), own[1].tolist(), strict=True)]
+    columns += [(q, 0, -1, 0.0, int(every[q]), int(taken[q])) for q in range(queries) if every[q]]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+    if columns:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), kinds, strict=True)], names=["q", "range", "slot", "score", "blocks", "blocks_read"])
 
 
 def best(found: Search, blocks: Blocks, k: int, *key: str) -> DataFrame:
