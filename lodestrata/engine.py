@@ -59,7 +59,7 @@ class CodeIndex:
         if self.tables.meta["embedder"].startswith("hashing"):
             found = dense.hashed_vectors(asked.select("query_id", tokenize(F.col("embed_text")).alias("tokens")), "query_id", round_to=None)
         else:
-            found = embed(asked, "query_id")
+            found = dense.long_form(embed(asked, "query_id"), "query_id")
         return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("bucket", F.lit(0)).alias("bucket"), F.coalesce("w", F.lit(0.0)).alias("w"))
 
     def search(self, query: str, k: int = 10, language: str | None = None, kind: str | None = None, use_dense: bool = True, graph_context: bool = True, candidates: int = lexical.CANDIDATES) -> list[dict]:

@@ -81,6 +81,10 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0)), terms))
 
 
+#: How often the terms of a chunk's columns count.
+TERM_TIMES = {"text": 1, "symbol": 3, "docstring": 2, "file_path": 1}
+
+
 def boosted_terms(text: Column, symbol: Column, docstring: Column, path: Column) -> Column:
     """Terms of a chunk: its symbol counts three times, its docstring twice."""
     return F.concat(tokenize(text), F.flatten(F.array_repeat(tokenize(symbol), 3)), F.flatten(F.array_repeat(tokenize(docstring), 2)), tokenize(path))

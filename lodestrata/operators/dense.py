@@ -27,6 +27,11 @@ def hashed_vectors(tokens: DataFrame, *ids: str, dim: int = DIM, round_to: int |
     return damped.select(*ids, "bucket", (F.round(w, round_to) if round_to is not None else w).alias("w"))
 
 
+def long_form(rows: DataFrame, *ids: str) -> DataFrame:
+    """(ids, buckets, weights) -> (ids, bucket, w)."""
+    return rows.select(*ids, F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("w"))))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, everything: DataFrame, k: int = CANDIDATES, key: str = "ord", round_to: int | None = None) -> DataFrame:
     """(query_id, key, score, rank): the best ``k`` rows of ``everything`` for each query, from rank 0, ties to the smaller key.
 

@@ -24,7 +24,7 @@ SYMBOLS = _schema(f"ord bigint, {SYMBOL_FIELDS}")
 FILES = _schema("file_path string, language string, sha1 string, imports array<string>")
 NODES = _schema("node_id string, type string, path string, language string, name string, qualified string, kind string, line int")
 EDGES = _schema("src string, dst string, edge_type string")
-POSTINGS = _schema("term string, chunk_id string, ord bigint, tf bigint")
+POSTINGS = _schema("term string, ord bigint, tf bigint")
 LENGTHS = _schema("chunk_id string, ord bigint, dl bigint")
 VECTORS = _schema("chunk_id string, ord bigint, bucket int, w double")
 PARSED = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("chunks", T.ArrayType(_schema(CHUNK_FIELDS))), T.StructField("symbols", T.ArrayType(_schema(SYMBOL_FIELDS))), T.StructField("imports", T.ArrayType(T.StringType()))])

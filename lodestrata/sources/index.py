@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from lodestrata import schemas
 from lodestrata.functions.parsing import MAX_CHUNK_CHARS, parse_files
-from lodestrata.functions.text import boosted_terms, embedded_text, tokenize
-from lodestrata.operators import dense, lexical
+from lodestrata.functions.terms import hashed_rows, term_rows
+from lodestrata.functions.text import TERM_TIMES, embedded_text
+from lodestrata.operators import dense
 from lodestrata.operators.resolve import build_graph
 from lodestrata.sources.tree import INDEX_DIR, read_tree
 from lodestrata.storage import drop_below, is_local, materialize, read_text, replace_text, scratch
@@ -62,9 +63,9 @@ class IndexTables:
 
 
 def make_embedder(spec: str | None):
-    """(rows with ids and ``embed_text``) -> (ids, bucket, w). Only feature hashing is built in."""
+    """(rows with ids and ``embed_text``) -> (ids, buckets, weights). Only feature hashing is built in."""
     if not spec or spec == "hash" or spec.startswith("hashing"):
-        return EMBEDDER, lambda texts, *ids: dense.hashed_vectors(texts.select(*ids, tokenize(F.col("embed_text")).alias("tokens")), *ids)
+        return EMBEDDER, lambda texts, *ids: hashed_rows(texts, *ids, text="embed_text")
     try:
         import sentence_transformers  # noqa: F401
     except ImportError as e:
@@ -158,11 +159,14 @@ def _build(spark: SparkSession, files: DataFrame, path: str, full: bool, options
         old = None if full else IndexTables.open(spark, path)
     except FileNotFoundError:
         old = None
-    read = materialize(files.select("file_path", "language", "content", "sha1"), "tree")
+    # Contents are read once more where they are parsed; a file that changes in between is found the next time.
+    read = materialize(files.select("file_path", "language", "sha1"), "tree")
     known = old.table("files").select("file_path", "sha1") if old else spark.createDataFrame([], "file_path string, sha1 string")
     status, count = counted_status(known, read)
     # Unreadable files stay listed, have a node, and are neither parsed nor carried over.
-    changed = read.where(F.col("content").isNotNull()).join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
+    changed = files.select("file_path", "language", "content").where(F.col("content").isNotNull())
+    if old:
+        changed = changed.join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
     unchanged = status.where("status = 'unchanged'").select("file_path")
     parsed = materialize(parse_files(changed, options.max_chunk_chars), "parsed")
 
@@ -190,19 +194,21 @@ def _build(spark: SparkSession, files: DataFrame, path: str, full: bool, options
     save("nodes", nodes)
     save("edges", edges, "edge_type", "src")
 
-    terms = materialize(chunks.select("chunk_id", "ord", boosted_terms(F.col("text"), F.col("symbol"), F.col("docstring"), F.col("file_path")).alias("tokens")), "terms")
+    terms = materialize(term_rows(chunks, "chunk_id", "ord", times=TERM_TIMES), "terms")
     # Sorted by term, so that a query's terms prune row groups.
-    save("postings", lexical.postings(terms, "chunk_id", "ord").repartitionByRange("term"), "term")
-    save("lengths", lexical.lengths(terms, "chunk_id", "ord"))
+    postings = terms.select("ord", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    save("postings", postings.repartitionByRange("term"), "term")
+    save("lengths", terms.select("chunk_id", "ord", "dl"))
 
     texts = chunks.select("chunk_id", "ord", "file_path", embedded_text(F.col("file_path"), F.col("symbol"), F.col("docstring"), F.col("text")).alias("embed_text"))
-    if old and old.meta.get("embedder") == embedder:
+    if old and old.meta.get("embedder") == embedder != EMBEDDER:
+        # A model's vectors are carried over; to hash a text again costs less than to find its vector.
         reusable = texts.join(unchanged, "file_path", "left_semi").select("chunk_id", "ord")
         kept = old.table("vectors").select("chunk_id", "bucket", "w").join(reusable, "chunk_id")
         fresh = texts.join(unchanged, "file_path", "left_anti")
-        vectors = embed(fresh, "chunk_id", "ord").unionByName(kept.select("chunk_id", "ord", "bucket", "w"))
+        vectors = dense.long_form(embed(fresh, "chunk_id", "ord"), "chunk_id", "ord").unionByName(kept.select("chunk_id", "ord", "bucket", "w"))
     else:
-        vectors = embed(texts, "chunk_id", "ord")
+        vectors = dense.long_form(embed(texts, "chunk_id", "ord"), "chunk_id", "ord")
     save("vectors", vectors, "bucket")
 
     stats = {

@@ -13,7 +13,7 @@ from lodestrata.operators.dense import rounded
 
 
 def neural_vectors(texts: DataFrame, model: str, *ids: str) -> DataFrame:
-    """(ids, embed_text) -> (ids, bucket, w), a row for each component; each worker loads the model once."""
+    """(ids, embed_text) -> (ids, buckets, weights); each worker loads the model once."""
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -23,4 +23,5 @@ def neural_vectors(texts: DataFrame, model: str, *ids: str) -> DataFrame:
         for batch in batches:
             yield pd.Series(list(np.asarray(own.encode(batch.tolist(), normalize_embeddings=True), dtype=float)))
 
-    return texts.select(*ids, F.posexplode(rounded(encode("embed_text"))).alias("bucket", "w"))
+    made = texts.select(*ids, rounded(encode("embed_text")).alias("weights"))
+    return made.select(*ids, F.transform("weights", lambda _, k: k).alias("buckets"), "weights")

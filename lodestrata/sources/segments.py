@@ -26,19 +26,17 @@ from pyspark.sql import types as T
 
 from lodestrata import schemas
 from lodestrata.functions.parsing import MAX_CHUNK_CHARS, parse_files
-from lodestrata.functions.text import boosted_terms, embedded_text
+from lodestrata.functions.terms import term_rows
+from lodestrata.functions.text import TERM_TIMES, embedded_text
 from lodestrata.operators import blocks
-from lodestrata.operators.dense_blocks import vector_rows
 from lodestrata.operators.resolve import build_graph
-from lodestrata.sources.index import counted_status, make_embedder, numbered
+from lodestrata.sources.index import counted_status, make_embedder
 from lodestrata.storage import _delete, materialize, read_text, replace_text, scratch
 
 #: Segments of about one size that are merged into one of the next.
 FACTOR = 8
 #: Files with tombstones up to which a list of them is broadcast.
 BROADCAST_FILES = 100_000
-#: Chunks of a segment up to which their places are broadcast, at about 100 bytes each.
-BROADCAST_CHUNKS = 100_000
 #: A range's number begins with its segment's.
 SEGMENT_BITS = 32
 _PLACED = "file_path string, place int"
@@ -157,14 +155,13 @@ class SegmentStore:
             status, count = counted_status(self.rows("files").select("file_path", "sha1"), files.select("file_path", "sha1"))
             # The listing is read once more for its contents; a file that changes in between is found the next time.
             changed = files.select("file_path", "language", "content", "sha1").join(status.where("status in ('added', 'changed')"), "file_path", "left_semi")
-            changed = materialize(changed, "changed")
             store, stats = self._apply(changed, status.where("status = 'removed'").select("file_path"), count["changed"] + count["removed"], sum(v for k, v in count.items() if k != "unchanged"))
         return store, stats | {"files_indexed": count["added"] + count["changed"], "files_skipped": count["unchanged"], "files_removed": count["removed"]}
 
     def apply(self, changed: DataFrame, removed: DataFrame | None = None) -> tuple[SegmentStore, dict]:
         """Add or replace the files of ``changed`` and remove those of ``removed`` (file_path); no other file is looked at."""
         with scratch(self.spark):
-            changed = materialize(changed.select("file_path", "language", "content", "sha1"), "changed")
+            changed = changed.select("file_path", "language", "content", "sha1")
             gone = materialize(removed.select("file_path"), "removed") if removed is not None else changed.select("file_path").limit(0)
             return self._apply(changed, gone, None, None)
 
@@ -174,6 +171,8 @@ class SegmentStore:
         seg = meta["next"]
         meta["next"] += 1
         if touched != 0:
+            # Contents are read once more where they are parsed.
+            contents, changed = changed, materialize(changed.select("file_path", "language", "sha1"), "changed")
             if buried != 0 and meta["segments"]:
                 # Only files that have rows get a tombstone.
                 paths = changed.select("file_path").unionByName(gone).distinct()
@@ -184,7 +183,7 @@ class SegmentStore:
                 if held.get["n"]:
                     meta["tombstones"].append({"name": name, "files": held.get["n"]})
                     stats["tombstones"] = held.get["n"]
-            parsed = materialize(parse_files(changed.where("content is not null"), meta["max_chunk_chars"]), "parsed")
+            parsed = materialize(parse_files(contents.where("content is not null"), meta["max_chunk_chars"]), "parsed")
             files = changed.select("file_path", "language", "sha1").join(parsed.select("file_path", "imports"), "file_path", "left")
             counts = self._write(seg, files, _placed(parsed, "chunks"), _placed(parsed, "symbols"))
             if counts["files"]:
@@ -208,18 +207,15 @@ class SegmentStore:
         chunks = save("chunks", chunks)
         save("symbols", symbols)
         # Neighbours in the tree lie in one range, so that their common terms are in few blocks.
-        # ``numbered`` has a column ``place`` of its own.
-        order = numbered(chunks.select("file_path", F.col("place").alias("at"), "chunk_id", "language"), "language", "file_path", "at")
-        places = materialize(blocks.in_ranges(order, first=seg << SEGMENT_BITS).withColumnRenamed("at", "place"), "places")
-        slim = places.select("file_path", "place", "range", "slot")
-        texts = chunks.select("file_path", "place", "text", "symbol", "docstring").join(F.broadcast(slim) if counts["chunks"] <= BROADCAST_CHUNKS else slim, ["file_path", "place"])
-        posts = save("postings", blocks.posting_blocks(texts, boosted_terms(F.col("text"), F.col("symbol"), F.col("docstring"), F.col("file_path"))))
-        lengths = posts.select("range", F.explode("entries").alias("e")).groupBy("range", F.col("e.slot").alias("slot")).agg((-F.max("e.less")).alias("dl"))
-        save("documents", places.join(lengths, ["range", "slot"], "left").withColumn("dl", F.coalesce("dl", F.lit(0))))
+        counted, (_, _, postings) = blocks.stored_counts(term_rows(chunks, "file_path", "place", "chunk_id", "language", times=TERM_TIMES))
+        tasks = blocks.tasks_for(postings)
+        placed = materialize(blocks.ranged(counted, tasks, "language", "file_path", "place", first=seg << SEGMENT_BITS), "places")
+        save("documents", placed)
+        save("postings", blocks.counted_blocks(placed, tasks))
         if vectors is None:
             _, embed = make_embedder(self._embedder_spec())
             texts = chunks.select("file_path", "place", embedded_text(F.col("file_path"), F.col("symbol"), F.col("docstring"), F.col("text")).alias("embed_text"))
-            vectors = vector_rows(embed(texts, "file_path", "place"), chunks, "file_path", "place")
+            vectors = embed(texts, "file_path", "place")
         save("vectors", vectors)
         return {c: counts[c] for c in ("files", "chunks", "symbols")}
 
