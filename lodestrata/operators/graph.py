@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,53 +78,69 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, type
 
 #: Starts whose marks one long holds.
 WORD_BITS = 64
+#: Rows of marks, and starts, up to which they are broadcast; more are joined by shuffles.
+BROADCAST_MARKS = 1_000_000
 
 
-def impact_many(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, types: tuple[str, ...] = IMPACT_TYPES) -> DataFrame:
-    """The same as ``impact`` for many starts at once, 64 to a row.
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS else df
+
 
-    Starts are numbered, and a node's marks are longs, one for each word of numbers: a level ors the
-    marks of a node's neighbours together, for each type of edge, and takes away those it had. So what
-    is joined and shuffled is a row for each node and word, not for each node and start; a node that
-    all starts reach has a row for each word. A hub's edges meet as many rows as there are words, and
-    marks are or-ed before they are shuffled. Rows of one start come apart in the result only.
+def impact_many(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, types: tuple[str, ...] = IMPACT_TYPES) -> DataFrame:
+    """The same as ``impact`` for many starts at once, 64 to a row; ``edges`` may hold an edge more than once.
+
+    Starts are numbered in the order of their names, so that those of one file or kind share words, and
+    a node's marks are longs, one for each word of numbers. Only edges to nodes that have dependents of
+    their own take part in the levels, which or the marks of a node's neighbours together and take away
+    those it had. Most edges lead to nodes that nothing depends on; all edges are met once, at the end,
+    by the marks of every level, a column for each, and what comes by them is or-ed by node and word for
+    each depth and type. A start's depth and way are the first of these that have its bit. So edges are
+    shuffled once to find the inner ones and once for the result, at any depth, and no table that is
+    written grows with edges to outer nodes. Rows of one start come apart in the result only.
     """
+    if max_depth < 1:
+        starts = starts.where("false")
     bits = "bigint"
+    none = F.lit(0).cast(bits)
     order = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("edge_type"))
-    back = materialize(edges.where(F.col("edge_type").isin(*types)).select(F.col("dst").alias("node"), F.col("src").alias("next"), order.alias("way")), "impact-edges")
+    turned = edges.where(F.col("edge_type").isin(*types) & (F.col("src") != F.col("dst"))).select(F.col("dst").alias("node"), F.col("src").alias("next"), order.cast("int").alias("way"))
+    inner = materialize(turned.select("node", "next").join(turned.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next"), "impact-edges")
     # Numbers are dense within a partition, so that words are full but for each partition's last.
-    number = F.monotonically_increasing_id()
-    named = starts.select("start").distinct().withColumn("number", number)
-    named = materialize(named.select("start", F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(WORD_BITS - 1).cast("int").alias("bit")), "impact-starts")
-    mark = F.call_function("shiftleft", F.lit(1).cast(bits), F.col("bit"))
-    frontier = named.groupBy(F.col("start").alias("node"), "word").agg(F.bit_or(mark).alias("marks"))
-    seen, levels = materialize(frontier, "impact-seen"), []
-    frontier = seen
-    ways = [f"way{k}" for k in range(1, len(types) + 1)]
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(back, "node").groupBy(F.col("next").alias("node"), "word").agg(*[F.bit_or(F.when(F.col("way") == k, F.col("marks")).otherwise(F.lit(0).cast(bits))).alias(w) for k, w in enumerate(ways, 1)])
-        known = reached.join(seen.withColumnRenamed("marks", "had"), ["node", "word"], "left").withColumn("had", F.coalesce("had", F.lit(0).cast(bits)))
-        fresh, taken = [], F.col("had")
-        for w in ways:
-            # A mark that comes by several types has the first of them.
-            fresh.append(F.col(w).bitwiseAND(F.bitwise_not(taken)).alias(w))
-            taken = taken.bitwiseOR(F.col(w))
-        new = known.select("node", "word", *fresh)
-        anything = reduce(lambda a, b: a.bitwiseOR(b), [F.col(w) for w in ways])
-        level = materialize(new.withColumn("marks", anything).where("marks <> 0"), "impact")
+    named = materialize(starts.select("start").distinct().repartitionByRange("start").sortWithinPartitions("start").withColumn("number", F.monotonically_increasing_id()), "impact-starts")
+    mark = F.call_function("shiftleft", F.lit(1).cast(bits), F.col("number").bitwiseAND(WORD_BITS - 1).cast("int"))
+    level = materialize(named.groupBy(F.col("start").alias("node"), F.shiftright("number", 6).alias("word")).agg(F.bit_or(mark).alias("marks")), "impact")
+    levels = [level]
+    for _ in range(1, max_depth):
+        reached = inner.join(level, "node").select(F.col("next").alias("node"), "word", "marks", none.alias("had"))
+        seen = [m.select("node", "word", none.alias("marks"), F.col("marks").alias("had")) for m in levels]
+        new = reduce(DataFrame.unionByName, seen, reached).groupBy("node", "word").agg(F.bit_or("marks").alias("marks"), F.bit_or("had").alias("had"))
+        level = materialize(new.select("node", "word", F.col("marks").bitwiseAND(F.bitwise_not("had")).alias("marks")).where("marks <> 0"), "impact")
         if level.isEmpty():
             break
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        frontier = level.select("node", "word", "marks")
-        seen = materialize(seen.unionByName(frontier).groupBy("node", "word").agg(F.bit_or("marks").alias("marks")), "impact-seen")
-    if not levels:
-        return named.where("false").select("start", F.lit("").alias("node"), F.lit(0).alias("depth"), F.lit("").alias("via"))
-    marked = reduce(DataFrame.unionByName, levels)
-    each = marked.select("node", "word", "depth", F.explode(F.array(*[F.struct(F.lit(t).alias("via"), F.col(w).alias("own")) for t, w in zip(types, ways, strict=True)])).alias("m")).where("m.own <> 0")
-    # A row's marks name its starts: no more than 64 for each.
-    places = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda k: F.call_function("shiftright", F.col("m.own"), k).bitwiseAND(F.lit(1).cast(bits)) != 0)
-    found = each.select("node", "word", "depth", "m.via", F.explode(places).alias("bit"))
-    return found.join(named, ["word", "bit"]).select("start", "node", "depth", "via")
+        levels.append(level)
+    at = [f"at{k}" for k in range(len(levels))]
+    side = [m.select("node", "word", *[(F.col("marks") if c == own else none).alias(c) for c in at]) for own, m in zip(at, levels, strict=True)]
+    held = materialize(reduce(DataFrame.unionByName, side).groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in at]), "impact-held")
+    few = _few(held)
+    # Where marks are broadcast, edges lie by the node that they lead to, and nothing is shuffled after the join. Parts
+    # are stated, as those of the size that Spark would join them to take long and hold 1 GB of groups.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = turned.repartition(parts, "next").join(few, "node") if few is not held else turned.join(held, "node")
+    masks = {(depth, k): f"m{depth}_{k}" for depth in range(1, len(at) + 1) for k in range(1, len(types) + 1)}
+    marked = met.groupBy("next", "word").agg(*[F.bit_or(F.when(F.col("way") == k, F.col(at[depth - 1])).otherwise(none)).alias(c) for (depth, k), c in masks.items()])
+    every = reduce(lambda a, b: a.bitwiseOR(b), [F.col(c) for c in masks.values()])
+    # A single mark's place is the number of bits below it, the highest one's has no number one less.
+    place = F.coalesce(F.bit_count(F.try_subtract(every, F.lit(1).cast(bits))), F.lit(WORD_BITS - 1))
+    places = F.when(F.bit_count(every) == 1, F.array(place)).otherwise(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)))
+
+    def has(c: Column) -> Column:
+        return F.call_function("shiftright", c, F.col("bit")).bitwiseAND(F.lit(1).cast(bits)) != 0
+
+    each = marked.where(every != 0).select(F.col("next").alias("node"), "word", *masks.values(), F.explode(places).alias("bit")).where(has(every))
+    first = F.coalesce(*[F.when(has(F.col(c)), F.lit((depth - 1) * len(types) + k - 1)) for (depth, k), c in masks.items()])
+    found = each.select("node", (F.shiftleft("word", 6) + F.col("bit")).alias("number"), first.alias("first")).join(_few(named), "number").where(F.col("start") != F.col("node"))
+    depth, way = F.floor(F.col("first") / len(types)).cast("int") + 1, F.col("first") % len(types) + 1
+    return found.select("start", "node", depth.alias("depth"), F.element_at(F.array(*[F.lit(t) for t in types]), way).alias("via"))
 
 
 def remove_file(nodes: DataFrame, edges: DataFrame, file_id: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +28,23 @@ _EDGES = """edges AS (
   UNION SELECT 'nation:' || c_nationkey, 'cust:' || c_custkey, 'imports' FROM customer)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edge_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The graph's edges by their tables; an edge may come more than once."""
+
     def part(name: str, src: str, src_col: str, dst: str, dst_col: str, kind: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(src), F.col(src_col)).alias("src"), F.concat(F.lit(dst), F.col(dst_col)).alias("dst"), F.lit(kind).alias("edge_type"))
 
-    return graph.typed_edges(
+    return [
         part("lineitem", "part:", "l_partkey", "supp:", "l_suppkey", "calls"),
         part("supplier", "supp:", "s_suppkey", "nation:", "s_nationkey", "calls"),
         part("nation", "nation:", "n_nationkey", "region:", "n_regionkey", "inherits"),
         part("nation", "region:", "n_regionkey", "nation:", "n_nationkey", "contains"),
         part("customer", "nation:", "c_nationkey", "cust:", "c_custkey", "imports"),
-    )
+    ]
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.typed_edges(*_edge_parts(spark, sf_dir))
 
 
 def _start(spark: SparkSession, *nodes: str) -> DataFrame:
@@ -100,7 +108,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What depends on any supplier, nation or region."""
     starts = [table(spark, sf_dir, name).select(F.concat(F.lit(prefix), F.col(key)).alias("start")) for name, prefix, key in (("supplier", "supp:", "s_suppkey"), ("nation", "nation:", "n_nationkey"), ("region", "region:", "r_regionkey"))]
-    return graph.impact_many(_edges(spark, sf_dir), starts[0].unionByName(starts[1]).unionByName(starts[2]))
+    return graph.impact_many(reduce(DataFrame.unionByName, _edge_parts(spark, sf_dir)), reduce(DataFrame.unionByName, starts))
 
 
 @register(

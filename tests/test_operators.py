@@ -60,3 +60,26 @@ def test_impact_of_many_starts_is_each_ones(spark):
     assert got == sorted(map(tuple, graph.impact(edges, starts).select("start", "node", "depth", "via").collect())) and len(got) > 1500
     assert graph.impact_many(edges, starts.where("start = 'nowhere'")).collect() == graph.impact_many(edges.where("false"), starts).collect() == []
     assert sorted(map(tuple, graph.impact_many(edges, starts, max_depth=1).collect())) == [r for r in got if r[2] == 1]
+
+
+def test_impact_writes_nothing_for_outer_nodes(spark, monkeypatch):
+    """Each edge to a node that nothing depends on comes twice and is in no table that is written; either way of joining marks."""
+    rows = [(f"b{k}", f"a{k % 3}", "inherits") for k in range(70)] + [(f"leaf{n}", f"b{n * k % 70}", ("calls", "imports")[n % 2]) for n in range(1500) for k in (1, 3)] + [("leaf1", "a1", "imports"), ("a1", "a1", "calls"), (None, "a1", "calls"), ("b1", None, "calls")]
+    edges = spark.createDataFrame(rows * 2, "src string, dst string, edge_type string")
+    starts = spark.createDataFrame([(f"a{k}",) for k in range(3)] + [(f"b{k}",) for k in range(70)] + [(None,)], "start string")
+    want = sorted(map(tuple, graph.impact(graph.typed_edges(edges), starts).select("start", "node", "depth", "via").collect()))
+    written, write = {}, graph.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        written[name] = written.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    for limit in (graph.BROADCAST_MARKS, 0):
+        monkeypatch.setattr(graph, "BROADCAST_MARKS", limit)
+        written.clear()
+        got = graph.impact_many(edges, starts).collect()
+        assert sum(written.values()) < 1000, written
+        assert sorted(map(tuple, got)) == want and len(want) > 5000
+    assert graph.impact_many(edges, starts, max_depth=0).collect() == []
